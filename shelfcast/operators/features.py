@@ -207,8 +207,9 @@ def encode(train: DataFrame, cols: list[str]):
         inputCols=cols, outputCols=[f"{c}_idx" for c in cols], handleInvalid="keep",
         stringOrderType="frequencyDesc",
     )
+    # the indexer already keeps a last index for unseen values, so the encoder needs no slot of its own
     onehot = OneHotEncoder(
-        inputCols=index.getOutputCols(), outputCols=[f"{c}_vec" for c in cols], dropLast=False, handleInvalid="keep"
+        inputCols=index.getOutputCols(), outputCols=[f"{c}_vec" for c in cols], dropLast=False, handleInvalid="error"
     )
     return Pipeline(stages=[index, onehot]).fit(train)
 
