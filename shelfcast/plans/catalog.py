@@ -1,6 +1,6 @@
 """All registered queries; importing a module registers its queries."""
 
-from . import q_features, q_panel, q_patterns  # noqa: F401
+from . import q_features, q_panel, q_patterns, q_forecast, q_hybrid  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
