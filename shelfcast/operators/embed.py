@@ -7,7 +7,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.columns import as_col, shift_period
-from ..functions.runtime import bounded_rows
+from ..functions.runtime import bounded_rows, durable
 from ..functions.vectors import topk_cosine
 from .clusters import cluster_input, steady_order
 from .panel import by_series
@@ -177,7 +177,7 @@ def analog(panel: DataFrame, keys: list[str], freq: str, origin, H: int, L: int,
         F.collect_list("qty").over(w.rowsBetween(1, H)).alias("next"),
     ).where(F.size("lookback") == L)
     rows = scaled_windows(rows, L).where(F.col("win_sd") > 1e-9)
-    rows = rows.withColumn("id", F.concat_ws("|", *keys, "period"))
+    rows = durable(rows.withColumn("id", F.concat_ws("|", *keys, "period")))
     past = rows.where(F.size("next") == H)
     now = rows.where(F.col("period") == at)
     near = topk(past, now, k)

@@ -5,8 +5,6 @@ A series has one row per period, so exact quantiles and per-series windows are o
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.columns import period_index, ratio
@@ -170,6 +168,13 @@ def crosstab(df: DataFrame, a: str, b: str, values: list[str]) -> DataFrame:
     return df.groupBy(a).agg(*[F.count_if(F.col(b) == v).alias(v) for v in values])
 
 
-def merge_profiles(keys: list[str], *frames: DataFrame) -> DataFrame:
-    """One wide profile row per series."""
-    return reduce(lambda x, y: x.join(y, keys), frames)
+def wide_profile(panel: DataFrame, keys: list[str]) -> DataFrame:
+    """All profile numbers that segmentation uses, from one aggregation of a dense panel."""
+    y = F.when(F.col("qty") > 0, F.col("qty"))
+    return panel.groupBy(*keys).agg(
+        ratio(F.count("*"), F.count(y)).alias("adi"),
+        F.pow(ratio(F.stddev_pop(y), F.avg(y)), 2).alias("cv2"),
+        ratio(F.stddev_pop("qty"), F.avg("qty")).alias("cv"),
+        F.avg("qty").alias("mean"),
+        F.avg((F.col("qty") == 0).cast("double")).alias("zero_share"),
+    )

@@ -8,9 +8,10 @@ from functools import partial
 from pyspark.sql import functions as F
 
 from ..operators import clusters as C, embed as E, features as X, learn as L, neural as N, patterns as T, rules as R
+from ..functions.runtime import durable
 from ..operators.score import score
 from ..sources.tables import table
-from .base import KEYS, PANEL, panel
+from .base import KEYS, PANEL
 from .q_features import qty_panel
 from .q_forecast import H, ORIGIN
 from .q_patterns import SBC_SQL, VARIATION_SQL
@@ -22,10 +23,13 @@ PROFILE = ["adi", "cv2", "cv", "mean", "zero_share"]
 # ---- clustering ---------------------------------------------------------------------------------
 
 
+def stored_panel(spark, sf):
+    """The panel, written once: the steps below read it several times."""
+    return durable(qty_panel(spark, sf))
+
+
 def wide_profile(spark, sf):
-    p = panel(spark, sf).select(*KEYS, "period", "qty")
-    prof = T.profile(p, KEYS).select(*KEYS, "mean", "zero_share")
-    return T.merge_profiles(KEYS, T.adi_cv2(p, KEYS), T.variation(p, KEYS), prof).select(*KEYS, *PROFILE)
+    return durable(T.wide_profile(qty_panel(spark, sf), KEYS).select(*KEYS, *PROFILE))
 
 
 def z_profile(spark, sf):
@@ -80,7 +84,7 @@ def near_profile(spark, sf):
     wide = wide_profile(spark, sf)
     z = C.cluster_input(wide, PROFILE, KEYS)
     rule = R.classify_sbc(wide).select(*KEYS, F.col("segment").alias("rule"))
-    labelled = z.join(rule, KEYS)
+    labelled = durable(z.join(rule, KEYS))
     return C.assign(labelled, C.centroids_of(labelled, "rule", PROFILE), "rule", PROFILE)
 
 
@@ -121,7 +125,7 @@ COLS = X.feature_names()
 
 def matrix(spark, sf):
     """Feature matrix without rows that lack a feature (heads, and no sale yet)."""
-    return X.supervised(qty_panel(spark, sf), KEYS, "month", h=1).dropna(subset=COLS)
+    return durable(X.supervised(qty_panel(spark, sf), KEYS, "month", h=1).dropna(subset=COLS))
 
 
 def split(sup):
@@ -150,18 +154,19 @@ def _(spark, sf):
 
 @query("ml_count_glm", rounded="yhat")
 def _(spark, sf):
-    p = trained(spark, sf, L.fit_glm, "poisson")
-    return p.unionByName(trained(spark, sf, partial(L.fit_glm, family="tweedie"), "tweedie"))
+    train, test = split(matrix(spark, sf))
+    one = lambda family: L.predict(L.fit_glm(train, KEYS, COLS, family), test, KEYS, family)
+    return one("poisson").unionByName(one("tweedie"))
 
 
 @query("ml_direct", rounded="yhat")
 def _(spark, sf):
-    return L.direct(qty_panel(spark, sf), KEYS, "month", ORIGIN, 3, partial(L.fit_linear, reg=0.1))
+    return L.direct(stored_panel(spark, sf), KEYS, "month", ORIGIN, 3, partial(L.fit_linear, reg=0.1))
 
 
 @query("ml_recursive", rounded="yhat")
 def _(spark, sf):
-    return L.recursive(qty_panel(spark, sf), KEYS, "month", ORIGIN, H, L.fit_gbt)
+    return L.recursive(stored_panel(spark, sf), KEYS, "month", ORIGIN, H, L.fit_gbt)
 
 
 @query("feature_importance", rounded="importance")
@@ -172,7 +177,7 @@ def _(spark, sf):
 
 @query("ml_backtest", rounded="mae rmse wape smape bias rmsle")
 def _(spark, sf):
-    p = qty_panel(spark, sf)
+    p = stored_panel(spark, sf)
     sup = X.supervised(p, KEYS, "month", h=1).dropna(subset=COLS)
     cuts = [dt.date(2000, 2, 1), dt.date(2000, 8, 1), CUT]
     fc = L.backtest_model(sup, KEYS, COLS, cuts, dt.date(2001, 8, 1), partial(L.fit_linear, reg=0.1), "linear")
@@ -210,7 +215,7 @@ def _(spark, sf):
 
 
 def one_step(spark, sf):
-    w = L.windows(qty_panel(spark, sf), KEYS, LOOK)
+    w = durable(L.windows(qty_panel(spark, sf), KEYS, LOOK))
     return w.where(F.col("period") < F.lit(CUT)), w.where(F.col("period") >= F.lit(CUT))
 
 
@@ -254,7 +259,7 @@ def _(spark, sf):
 
 @query("embed_pca", rounded="pc_1 pc_2 pc_3")
 def _(spark, sf):
-    w = E.scaled_windows(L.windows(qty_panel(spark, sf), KEYS, LOOK), LOOK)
+    w = durable(E.scaled_windows(L.windows(qty_panel(spark, sf), KEYS, LOOK), LOOK))
     return E.embed_pca(w.select(*KEYS, "period", "emb"), KEYS, 3)[0].drop("emb")
 
 
@@ -276,7 +281,7 @@ def _(spark, sf):
 
 @query("embed_word2vec", rounded="emb_1 emb_2 emb_3 emb_4")
 def _(spark, sf):
-    words = E.sax(qty_panel(spark, sf), KEYS, 16, 4)
+    words = durable(E.sax(qty_panel(spark, sf), KEYS, 16, 4))
     emb, _ = E.embed_word2vec(words, KEYS, 4)
     return E.add_embeddings(emb.select(*KEYS, "word"), emb, KEYS, 4)
 

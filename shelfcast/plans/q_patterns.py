@@ -233,8 +233,7 @@ SELECT p_brand, c_nationkey, adi, cv2, cv, coalesce(label, 'unmatched') AS label
 FROM adi JOIN cv USING (p_brand, c_nationkey) LEFT JOIN (SELECT * FROM hit WHERE rn = 1) USING (p_brand, c_nationkey)""",
     rounded="adi cv2 cv")
 def _(spark, sf):
-    p = panel(spark, sf)
-    prof = T.merge_profiles(KEYS, T.adi_cv2(p, KEYS), T.variation(p, KEYS)).select(*KEYS, "adi", "cv2", "cv")
+    prof = T.wide_profile(panel(spark, sf), KEYS).select(*KEYS, "adi", "cv2", "cv")
     return R.classify_rules(prof, spark.createDataFrame(RULES, RULE_DDL), ["adi", "cv2", "cv"])
 
 
