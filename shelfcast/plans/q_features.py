@@ -206,18 +206,22 @@ def _(spark, sf):
     return z.withColumn("scaled_log", F.log1p("qty"))
 
 
-SUPERVISED_SQL = PANEL + f""",
-supervised AS (
-  SELECT p_brand, c_nationkey, lag(period) OVER w AS origin, lead(period, 2) OVER w AS period, 3 AS h,
+def supervised_sql(h: int) -> str:
+    sold = "CASE WHEN qty > 0 THEN year(period) * 12 + month(period) END"
+    return f"""supervised AS (
+  SELECT p_brand, c_nationkey, lag(period) OVER w AS origin, lead(period, {h - 1}) OVER w AS period, {h} AS h,
          lag(qty, 1) OVER w AS lag_1, lag(qty, 2) OVER w AS lag_2, lag(qty, 3) OVER w AS lag_3,
          lag(qty, 12) OVER w AS lag_12, {_rolling_sql(3)}, {_rolling_sql(12)},
-         CAST(year(period) * 12 + month(period) - last_value(CASE WHEN qty > 0 THEN year(period) * 12 + month(period) END
-           IGNORE NULLS) OVER (PARTITION BY p_brand, c_nationkey ORDER BY period
-           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS INTEGER) AS since_sale,
-         CAST(month(lead(period, 2) OVER w) AS INTEGER) AS month, lead(qty, 2) OVER w AS label
+         CAST(year(period) * 12 + month(period) - last_value({sold} IGNORE NULLS) OVER (
+           PARTITION BY p_brand, c_nationkey ORDER BY period ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+           AS INTEGER) AS since_sale,
+         CAST(month(lead(period, {h - 1}) OVER w) AS INTEGER) AS month, lead(qty, {h - 1}) OVER w AS label
   FROM panel {W_SQL})"""
 
 
+SUPERVISED_SQL = PANEL + ", " + supervised_sql(3)
+
+
 @query("supervised_matrix", SUPERVISED_SQL + """
 SELECT * FROM supervised WHERE origin IS NOT NULL AND period IS NOT NULL""",
     rounded="mean_3 sd_3 zero_share_3 mean_12 sd_12 zero_share_12")

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
 from ..operators import forecast as FC, hybrid as Y, patterns as T, rules as R
 from ..operators.score import score
-from .base import KEYS, PANEL, panel, sparse_panel
+from .base import KEYS, PANEL, panel
 from .q_features import qty_panel
 from .q_forecast import FOLDS, H, METRIC_COLS, MODELS, ORIGIN, fc_sql, score_sql
-from .q_patterns import ADI_SQL
+from .q_patterns import SBC_SQL, segments
 from .registry import query
 
 ROUTING = {"smooth": "ses", "erratic": "ma", "intermittent": "croston", "lumpy": "sba"}
@@ -143,7 +144,7 @@ CONFIG = Y.HybridConfig(
 )
 
 
-@query("hybrid_run", PANEL + f""", {KNOWN_SBC}, {ALL_FC}, {SPLIT}, {BY_SERIES}, {BEST_SQL}, {WEIGHT_SQL}, {COMBINED_SQL}
+HYBRID_SQL = PANEL + f""", {KNOWN_SBC}, {ALL_FC}, {SPLIT}, {BY_SERIES}, {BEST_SQL}, {WEIGHT_SQL}, {COMBINED_SQL}
 SELECT p_brand, c_nationkey, segment, origin, period, h, model, yhat FROM fc JOIN seg USING (p_brand, c_nationkey)
 WHERE (segment = 'smooth' AND model = 'ses') OR (segment = 'lumpy' AND model = 'sba')
 UNION ALL
@@ -151,6 +152,38 @@ SELECT p_brand, c_nationkey, segment, origin, period, h, model, yhat FROM combin
 WHERE segment = 'erratic'
 UNION ALL
 SELECT p_brand, c_nationkey, segment, origin, period, h, fc.model, yhat FROM fc JOIN seg USING (p_brand, c_nationkey)
-JOIN best USING (p_brand, c_nationkey, model) WHERE segment = 'intermittent'""", rounded="yhat")
+JOIN best USING (p_brand, c_nationkey, model) WHERE segment = 'intermittent'"""
+
+
+@query("hybrid_run", HYBRID_SQL, rounded="yhat")
 def _(spark, sf):
     return Y.hybrid(qty_panel(spark, sf), CONFIG)
+
+
+# ---- the same at item grain: many short, mostly intermittent series -----------------------------
+
+ITEM = ["l_partkey"]
+
+
+def by_item(sql: str) -> str:
+    return sql.replace("p_brand, c_nationkey", "l_partkey")
+
+
+def item_panel(spark, sf):
+    return panel(spark, sf, ITEM).select(*ITEM, "period", "qty")
+
+
+@query("hybrid_run_items", by_item(HYBRID_SQL), rounded="yhat")
+def _(spark, sf):
+    return Y.hybrid(item_panel(spark, sf), replace(CONFIG, keys=ITEM))
+
+
+@query("rolling_backtest_items", by_item(PANEL + f", {fc_sql(FOLDS)}, {score_sql('model, origin, h')} SELECT * FROM scored"),
+       rounded=METRIC_COLS)
+def _(spark, sf):
+    return FC.backtest(item_panel(spark, sf), ITEM, "month", FOLDS, H, MODELS)
+
+
+@query("classify_sbc_items", by_item(PANEL + f", {SBC_SQL} SELECT * FROM sbc"), rounded="mean_size adi cv2")
+def _(spark, sf):
+    return segments(spark, sf, ITEM)

@@ -12,7 +12,7 @@ from ..functions.runtime import durable
 from ..operators.score import score
 from ..sources.tables import table
 from .base import KEYS, PANEL
-from .q_features import qty_panel
+from .q_features import qty_panel, supervised_sql
 from .q_forecast import H, ORIGIN
 from .q_patterns import SBC_SQL, VARIATION_SQL
 from .registry import query
@@ -357,7 +357,9 @@ def _(spark, sf):
     return C.agreement(out, "label", "cluster")
 
 
-@query("embed_features", rounded=" ".join([f"emb_{i}" for i in range(1, 6)] + ["mean_3", "sd_3", "zero_share_3", "mean_12", "sd_12", "zero_share_12"]))
+@query("embed_features", Z_SQL + f""", {supervised_sql(1)}
+SELECT s.*, {", ".join(f"z.{c} AS emb_{i + 1}" for i, c in enumerate(PROFILE))}
+FROM supervised s LEFT JOIN z USING (p_brand, c_nationkey) WHERE origin IS NOT NULL AND period IS NOT NULL""", rounded=" ".join([f"emb_{i}" for i in range(1, 6)] + ["mean_3", "sd_3", "zero_share_3", "mean_12", "sd_12", "zero_share_12"]))
 def _(spark, sf):
     vectors = E.embed_stats(wide_profile(spark, sf), KEYS, PROFILE)
     return E.add_embeddings(X.supervised(qty_panel(spark, sf), KEYS, "month"), vectors, KEYS, len(PROFILE))
