@@ -1,17 +1,28 @@
 """Forecasters as expressions over one series' history array.
 
-``y`` is an ``array<double>`` column: the dense history in time order, one element per period. Every
-forecaster returns an ``array<double>`` column of H values, or null where the history is too short.
-They run inside the JVM, and any number of them share one pass over the data.
+``y`` is an ``array<double>`` column: the dense history in time order, one element per period. A
+forecaster first folds the history into a small state, then projects the state H steps; forecasters
+with the same state (named by ``fold``) share the fold. A projection is an ``array<double>`` of H
+values, or null where the history is too short. All of it runs inside the JVM, and any number of
+forecasters share one pass over the data.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, functions as F
 
-Forecaster = Callable[[Column, int], Column]
+
+@dataclass(frozen=True)
+class Forecaster:
+    project: Callable[[Column, Column, int], Column]  # (history, state, H) → array of H values
+    fold: str | None = None  # name of the state, None when the history itself is enough
+    state: Callable[[Column], Column] | None = None
+
+    def __call__(self, y: Column, H: int) -> Column:
+        return self.project(y, self.state(y) if self.state else y, H)
 
 
 def _last(y: Column, n: int) -> Column:
@@ -34,22 +45,22 @@ def _sum(a: Column) -> Column:
 def naive(m: int = 1) -> Forecaster:
     """The last value, or with m > 1 the last season repeated."""
 
-    def forecast(y: Column, H: int) -> Column:
+    def project(y: Column, _, H: int) -> Column:
         season = F.flatten(F.array_repeat(_last(y, m), -(-H // m)))
         return F.when(F.size(y) >= m, F.slice(season, 1, H))
 
-    return forecast
+    return Forecaster(project)
 
 
 def moving_average(n: int) -> Forecaster:
     """Mean of the last n values, or of all when there are fewer."""
 
-    def forecast(y: Column, H: int) -> Column:
+    def project(y: Column, _, H: int) -> Column:
         have = F.least(F.size(y), F.lit(n))
         tail = F.when(F.size(y) > n, _last(y, n)).otherwise(y)
         return _flat(F.when(have > 0, _sum(tail) / have), H)
 
-    return forecast
+    return Forecaster(project)
 
 
 def ses_level(y: Column, alpha: float) -> Column:
@@ -58,7 +69,7 @@ def ses_level(y: Column, alpha: float) -> Column:
 
 
 def ses(alpha: float) -> Forecaster:
-    return lambda y, H: _flat(ses_level(y, alpha), H)
+    return Forecaster(lambda y, level, H: _flat(level, H), f"ses_{alpha}", lambda y: ses_level(y, alpha))
 
 
 def holt_winters(m: int, alpha: float, beta: float, gamma: float) -> Forecaster:
@@ -68,7 +79,18 @@ def holt_winters(m: int, alpha: float, beta: float, gamma: float) -> Forecaster:
     seasonal indices are a queue: the one in use is in front and goes to the back once updated.
     """
 
-    def forecast(y: Column, H: int) -> Column:
+    def step(state: Column, x: Column) -> Column:
+        level, trend, season = state["level"], state["trend"], state["season"]
+        now = F.get(season, F.lit(0))
+        new_level = alpha * (x - now) + (1 - alpha) * (level + trend)
+        new_now = gamma * (x - new_level) + (1 - gamma) * now
+        return F.struct(
+            new_level.alias("level"),
+            (beta * (new_level - level) + (1 - beta) * trend).alias("trend"),
+            F.concat(F.slice(season, 2, m - 1), F.array(new_now)).alias("season"),
+        )
+
+    def fold(y: Column) -> Column:
         mean1 = _sum(F.slice(y, 1, m)) / m
         mean2 = _sum(F.slice(y, m + 1, m)) / m
         start = F.struct(
@@ -76,27 +98,16 @@ def holt_winters(m: int, alpha: float, beta: float, gamma: float) -> Forecaster:
             ((mean2 - mean1) / m).alias("trend"),
             F.transform(F.slice(y, 1, m), lambda v: v - mean1).alias("season"),
         )
+        return F.when(F.size(y) >= 2 * m, F.aggregate(_after_first(y, m), start, step))
 
-        def step(state: Column, x: Column) -> Column:
-            level, trend, season = state["level"], state["trend"], state["season"]
-            now = F.get(season, F.lit(0))
-            new_level = alpha * (x - now) + (1 - alpha) * (level + trend)
-            new_now = gamma * (x - new_level) + (1 - gamma) * now
-            return F.struct(
-                new_level.alias("level"),
-                (beta * (new_level - level) + (1 - beta) * trend).alias("trend"),
-                F.concat(F.slice(season, 2, m - 1), F.array(new_now)).alias("season"),
-            )
-
-        def project(end: Column) -> Column:
-            return F.transform(
-                F.sequence(F.lit(0), F.lit(H - 1)),
-                lambda i: end["level"] + (i + 1) * end["trend"] + F.get(end["season"], i % m),
-            )
-
-        return F.when(F.size(y) >= 2 * m, F.aggregate(_after_first(y, m), start, step, project))
+    def project(y: Column, end: Column, H: int) -> Column:
+        ahead = F.transform(
+            F.sequence(F.lit(0), F.lit(H - 1)),
+            lambda i: end["level"] + (i + 1) * end["trend"] + F.get(end["season"], i % m),
+        )
+        return F.when(end.isNotNull(), ahead)
 
-    return forecast
+    return Forecaster(project, f"hw_{m}_{alpha}_{beta}_{gamma}", fold)
 
 
 def croston(alpha: float, variant: str = "croston") -> Forecaster:
@@ -124,14 +135,16 @@ def croston(alpha: float, variant: str = "croston") -> Forecaster:
             (s["since"] + 1.0).alias("since"),
         )
 
-    def forecast(y: Column, H: int) -> Column:
+    def fold(y: Column) -> Column:
         null = F.lit(None).cast("double")
         start = F.struct(null.alias("size"), null.alias("rate"), F.lit(1.0).alias("since"))
+        return F.when(F.size(y) > 0, F.aggregate(y, start, chance_step if variant == "tsb" else interval_step))
+
+    def project(y: Column, end: Column, H: int) -> Column:
         if variant == "tsb":
-            value = F.aggregate(y, start, chance_step, lambda s: s["size"] * s["rate"])
+            value = end["size"] * end["rate"]
         else:
-            factor = 1 - alpha / 2 if variant == "sba" else 1.0
-            value = F.aggregate(y, start, interval_step, lambda s: s["size"] / s["rate"] * factor)
-        return _flat(F.when(F.size(y) > 0, F.coalesce(value, F.lit(0.0))), H)
+            value = end["size"] / end["rate"] * (1 - alpha / 2 if variant == "sba" else 1.0)
+        return _flat(F.when(end.isNotNull(), F.coalesce(value, F.lit(0.0))), H)
 
-    return forecast
+    return Forecaster(project, f"{'tsb' if variant == 'tsb' else 'croston'}_{alpha}", fold)

@@ -60,7 +60,7 @@ def sax(panel: DataFrame, keys: list[str], w: int, a: int) -> DataFrame:
     above = sum((F.col("_m") >= c).cast("int") for c in cuts)
     letter = F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"[:a]), above + 1, F.lit(1))
     letters = means.select(*keys, "segment", letter.alias("letter"))
-    ordered = F.array_sort(F.collect_list(F.struct("segment", "letter")))
+    ordered = F.sort_array(F.collect_list(F.struct("segment", "letter")))
     out = letters.groupBy(*keys).agg(F.transform(ordered, lambda x: x["letter"]).alias("letters"))
     return out.withColumn("word", F.array_join("letters", ""))
 
@@ -132,7 +132,7 @@ def analog_own(panel: DataFrame, keys: list[str], freq: str, origin, H: int, L:
     """
     point = F.struct("period", F.col("qty").alias("y"))
     known = panel.where(F.col("period") <= as_col(origin))
-    s = known.groupBy(*keys).agg(F.array_sort(F.collect_list(point)).alias("_p"))
+    s = known.groupBy(*keys).agg(F.sort_array(F.collect_list(point)).alias("_p"))
     s = s.select(*keys, F.transform("_p", lambda p: p["y"]).alias("_y")).where(F.size("_y") >= 2 * L + H)
     y = F.col("_y")
     s = s.withColumn("_now", F.slice(y, -L, L))

@@ -77,7 +77,7 @@ def top_down(fc_total: DataFrame, history: DataFrame, keys: list[str]) -> DataFr
     total = history.agg(F.sum("qty")).scalar()
     shares = per_series.select(*keys, ratio("_q", total).alias("share"))
     # h joins nothing: every series gets every future period, listed in the row
-    steps = fc_total.agg(F.array_sort(F.collect_list(F.struct("period", "yhat")))).scalar()
+    steps = fc_total.agg(F.sort_array(F.collect_list(F.struct("period", "yhat")))).scalar()
     out = shares.withColumn("_f", F.explode(steps))
     return out.select(*keys, F.col("_f.period").alias("period"), "share", (F.col("share") * F.col("_f.yhat")).alias("yhat"))
 
@@ -105,17 +105,17 @@ class HybridConfig:
 def hybrid(panel: DataFrame, cfg: HybridConfig) -> DataFrame:
     """The whole chain on a dense panel: classes, forecasts, backtest, then the routed forecast.
 
-    All models are run from the origin and from all backtest origins in one pass over the history.
+    Forecasts, scores, classes and weights are all kept by series key, so one shuffle of the history
+    (which Spark reuses) serves them.
     Nothing after ``origin`` is looked at. Per series the routing names a model, 'best' (least backtest
     error) or 'combined' (weights 1/error).
     """
     keys = cfg.keys
     known = panel.where(F.col("period") <= as_col(cfg.origin))
     segments = classify_sbc(adi_cv2(known, keys), **cfg.segment_args).select(*keys, "segment")
-    fc = forecast(known, keys, cfg.freq, [*cfg.origins, cfg.origin], cfg.horizon, cfg.models)
-    now = F.col("origin") == as_col(cfg.origin)
-    scores = score(fc.where(~now), known, keys, [*keys, "model"])
-    final = fc.where(now)
+    past = forecast(known, keys, cfg.freq, cfg.origins, cfg.horizon, cfg.models, actuals=True)
+    scores = score(past, keys, [*keys, "model"])
+    final = forecast(known, keys, cfg.freq, [cfg.origin], cfg.horizon, cfg.models)
 
     target: Column = F.lit(None).cast("string")
     for segment, choice in cfg.routing.items():

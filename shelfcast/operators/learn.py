@@ -104,7 +104,7 @@ def tails(panel: DataFrame, keys: list[str], freq: str, origin, L: int) -> DataF
     """The last L values of each series up to ``origin``; only those rows are read."""
     at = as_col(origin)
     recent = panel.where((F.col("period") <= at) & (F.col("period") > shift_period(at, -L, freq)))
-    ordered = F.array_sort(F.collect_list(F.struct("period", F.col("qty").alias("y"))))
+    ordered = F.sort_array(F.collect_list(F.struct("period", F.col("qty").alias("y"))))
     out = recent.groupBy(*keys).agg(F.transform(ordered, lambda p: p["y"]).alias("lookback"))
     return out.where(F.size("lookback") == L).withColumn("origin", at)
 

@@ -5,7 +5,7 @@ A series has one row per period, so exact quantiles and per-series windows are o
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.columns import period_index, ratio
 from .panel import by_series
@@ -29,6 +29,13 @@ def profile(panel: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumns(cols).drop("_q")
 
 
+def _cv2(y: Column) -> Column:
+    """Population variance over squared mean, as n·Σy²/(Σy)² − 1: for whole quantities both sums are
+    exact, so the order of rows cannot move a series across a class border."""
+    total = F.sum(y)
+    return F.greatest(ratio(F.count(y) * F.sum(y * y), total * total) - 1, F.lit(0.0))
+
+
 def adi_cv2(panel: DataFrame, keys: list[str], n_periods=None) -> DataFrame:
     """Average demand interval and squared variation of nonzero sizes.
 
@@ -41,7 +48,7 @@ def adi_cv2(panel: DataFrame, keys: list[str], n_periods=None) -> DataFrame:
         F.count("*").alias("_rows"),
         F.count(y).alias("nonzero"),
         F.avg(y).alias("mean_size"),
-        F.stddev_pop(y).alias("_sd"),
+        _cv2(y).alias("cv2"),
     )
     out = out.withColumn("n", (F.col("_rows") if n_periods is None else n).cast("long"))
     return out.select(
@@ -50,7 +57,7 @@ def adi_cv2(panel: DataFrame, keys: list[str], n_periods=None) -> DataFrame:
         "nonzero",
         "mean_size",
         ratio("n", "nonzero").alias("adi"),
-        F.pow(ratio("_sd", "mean_size"), 2).alias("cv2"),
+        "cv2",
     )
 
 
@@ -173,7 +180,7 @@ def wide_profile(panel: DataFrame, keys: list[str]) -> DataFrame:
     y = F.when(F.col("qty") > 0, F.col("qty"))
     return panel.groupBy(*keys).agg(
         ratio(F.count("*"), F.count(y)).alias("adi"),
-        F.pow(ratio(F.stddev_pop(y), F.avg(y)), 2).alias("cv2"),
+        _cv2(y).alias("cv2"),
         ratio(F.stddev_pop("qty"), F.avg("qty")).alias("cv"),
         F.avg("qty").alias("mean"),
         F.avg((F.col("qty") == 0).cast("double")).alias("zero_share"),

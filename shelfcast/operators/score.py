@@ -18,13 +18,14 @@ def naive_scale(panel: DataFrame, keys: list[str], until, m: int = 1) -> DataFra
 
 
 def score(
-    fc: DataFrame, actual: DataFrame, keys: list[str], by: list[str], scale: DataFrame | None = None
+    fc: DataFrame, keys: list[str], by: list[str], actual: DataFrame | None = None, scale: DataFrame | None = None
 ) -> DataFrame:
     """MAE, RMSE, WAPE, sMAPE, bias (forecast − actual), RMSLE and with ``scale`` MASE per group.
 
-    A zero denominator gives null: the row is left out of sMAPE and MASE, WAPE is null for the group.
+    ``fc`` carries the actual as qty, or ``actual`` is joined. A zero denominator gives null: the row is
+    left out of sMAPE and MASE, WAPE is null for the group.
     """
-    rows = fc.join(actual.select(*keys, "period", "qty"), [*keys, "period"])
+    rows = fc.where(F.col("qty").isNotNull()) if actual is None else fc.join(actual.select(*keys, "period", "qty"), [*keys, "period"])
     if scale is not None:
         rows = rows.join(scale, keys, "left")
     y, f = F.col("qty"), F.col("yhat")

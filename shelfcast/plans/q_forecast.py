@@ -138,8 +138,8 @@ def _(spark, sf):
 {score_sql('p_brand, c_nationkey, model', scale=True)} SELECT * FROM scored""", rounded=METRIC_COLS + " mase")
 def _(spark, sf):
     p = qty_panel(spark, sf)
-    fc = FC.forecast(p, KEYS, "month", [ORIGIN], H, MODELS)
-    return score(fc, p, KEYS, [*KEYS, "model"], naive_scale(p, KEYS, ORIGIN, 12))
+    fc = FC.forecast(p, KEYS, "month", [ORIGIN], H, MODELS, actuals=True)
+    return score(fc, KEYS, [*KEYS, "model"], scale=naive_scale(p, KEYS, ORIGIN, 12))
 
 
 @query("accuracy_metrics_total", PANEL + f""", {fc_sql([ORIGIN])}, {SCALE_SQL},
@@ -147,7 +147,7 @@ def _(spark, sf):
 def _(spark, sf):
     p = qty_panel(spark, sf)
     fc = FC.forecast(p, KEYS, "month", [ORIGIN], H, MODELS)
-    return score(fc, p, KEYS, ["model"], naive_scale(p, KEYS, ORIGIN, 12))
+    return score(fc, KEYS, ["model"], actual=p, scale=naive_scale(p, KEYS, ORIGIN, 12))
 
 
 @query("rolling_backtest", PANEL + f""", {fc_sql(FOLDS)}, {score_sql('model, origin, h')} SELECT * FROM scored""",
@@ -179,7 +179,7 @@ def _(spark, sf):
 SELECT fc.*, yhat + a AS lo, yhat + b AS hi FROM fc LEFT JOIN q USING (model, h)""", rounded="yhat lo hi")
 def _(spark, sf):
     p = qty_panel(spark, sf)
-    past = FC.residuals(FC.forecast(p, KEYS, "month", FOLDS, H, MODELS), p, KEYS)
+    past = FC.residuals(FC.forecast(p, KEYS, "month", FOLDS, H, MODELS, actuals=True))
     # values of the two sides that are equal in exact arithmetic differ in their last bits
     past = past.withColumn("residual", F.round("residual", 9))
     return FC.intervals(FC.forecast(p, KEYS, "month", [ORIGIN], H, MODELS), past, ["model", "h"])

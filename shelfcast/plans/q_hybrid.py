@@ -22,7 +22,7 @@ PAST = [dt.date(2000, 1, 1), dt.date(2000, 7, 1)]
 KNOWN_SBC = """known AS (SELECT * FROM panel WHERE period <= DATE '2001-01-01'),
 adi AS (
   SELECT p_brand, c_nationkey, count(*) / nullif(count(*) FILTER (WHERE qty > 0), 0) AS adi,
-         power(stddev_pop(qty) FILTER (WHERE qty > 0) / avg(qty) FILTER (WHERE qty > 0), 2) AS cv2
+         count(*) FILTER (WHERE qty > 0) * sum(qty * qty) / nullif(sum(qty) * sum(qty), 0) - 1 AS cv2
   FROM known GROUP BY ALL),
 seg AS (
   SELECT p_brand, c_nationkey, CASE WHEN adi IS NULL THEN 'no_demand' WHEN adi < 1.32 AND cv2 < 0.49 THEN 'smooth'
@@ -48,12 +48,12 @@ def known_segments(p):
     return R.classify_sbc(T.adi_cv2(p.where(F.col("period") <= F.lit(ORIGIN)), KEYS)).select(*KEYS, "segment")
 
 
-def forecasts(p, origins):
-    return FC.forecast(p, KEYS, "month", origins, H, MODELS)
+def forecasts(p, origins, actuals=False):
+    return FC.forecast(p, KEYS, "month", origins, H, MODELS, actuals)
 
 
 def past_scores(p):
-    return score(forecasts(p, PAST), p, KEYS, [*KEYS, "model"])
+    return score(forecasts(p, PAST, actuals=True), KEYS, [*KEYS, "model"])
 
 
 @query("route_by_segment", PANEL + f""", {KNOWN_SBC}, {ROUTE_SQL}, {fc_sql([ORIGIN])}
@@ -134,8 +134,8 @@ SELECT *, {", ".join(f"1 - {m} / nullif(naive, 0) AS {m}_gain" for m in MODELS i
     rounded=" ".join([*MODELS, *[f"{m}_gain" for m in MODELS if m != "naive"]]))
 def _(spark, sf):
     p = qty_panel(spark, sf)
-    fc = forecasts(p, [ORIGIN]).join(known_segments(p), KEYS)
-    return Y.report(score(fc, p, KEYS, ["segment", "model"]), list(MODELS), "naive")
+    fc = forecasts(p, [ORIGIN], actuals=True).join(known_segments(p), KEYS)
+    return Y.report(score(fc, KEYS, ["segment", "model"]), list(MODELS), "naive")
 
 
 CONFIG = Y.HybridConfig(
@@ -184,6 +184,6 @@ def _(spark, sf):
     return FC.backtest(item_panel(spark, sf), ITEM, "month", FOLDS, H, MODELS)
 
 
-@query("classify_sbc_items", by_item(PANEL + f", {SBC_SQL} SELECT * FROM sbc"), rounded="mean_size adi cv2")
+@query("classify_sbc_items", by_item(PANEL + f", {SBC_SQL} SELECT * FROM sbc"))
 def _(spark, sf):
     return segments(spark, sf, ITEM)

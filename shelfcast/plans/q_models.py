@@ -181,7 +181,7 @@ def _(spark, sf):
     sup = X.supervised(p, KEYS, "month", h=1).dropna(subset=COLS)
     cuts = [dt.date(2000, 2, 1), dt.date(2000, 8, 1), CUT]
     fc = L.backtest_model(sup, KEYS, COLS, cuts, dt.date(2001, 8, 1), partial(L.fit_linear, reg=0.1), "linear")
-    return score(fc, p, KEYS, ["model", "cut"])
+    return score(fc, KEYS, ["model", "cut"], actual=p)
 
 
 @query("hurdle_forecast", rounded="p_sold size yhat")
@@ -244,7 +244,7 @@ def _(spark, sf):
     fc = N.predict_nn(test, KEYS, net)
     mean = F.aggregate("lookback", F.lit(0.0), lambda s, x: s + x) / LOOK
     base = test.select(*KEYS, "origin", F.lit("window_mean").alias("model"), "h", "period", mean.alias("yhat"))
-    out = score(fc.unionByName(base), test.withColumnRenamed("target", "qty"), KEYS, ["model"])
+    out = score(fc.unionByName(base), KEYS, ["model"], actual=test.withColumnRenamed("target", "qty"))
     return out.withColumns({c: F.round(c, 4) for c in ("mae", "rmse", "wape", "smape", "bias", "rmsle")})
 
 
@@ -308,7 +308,7 @@ def label_means(spark, sf):
     """The mean vector of each label."""
     v = table(spark, sf, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
     mean = v.groupBy("label", "i").agg(F.avg("x").cast("float").alias("x"))
-    ordered = F.array_sort(F.collect_list(F.struct("i", "x")))
+    ordered = F.sort_array(F.collect_list(F.struct("i", "x")))
     return mean.groupBy("label").agg(F.transform(ordered, lambda p: p["x"]).alias("embedding"))
 
 
