@@ -62,13 +62,22 @@ def bisecting(df: DataFrame, keys: list[str], cols: list[str], k: int, seed: int
     return out.drop("features"), model
 
 
-def gmm(df: DataFrame, keys: list[str], cols: list[str], k: int, seed: int = 1):
-    """(rows with ``cluster`` and membership ``p_0``…, model) by a Gaussian mixture."""
+def gmm(df: DataFrame, keys: list[str], cols: list[str], k: int, seed: int = 1, tries: int = 1):
+    """(rows with ``cluster`` and membership ``p_0``…, model) by a Gaussian mixture.
+
+    The start is random, so ``tries`` > 1 fits from that many seeds and keeps the most likely model.
+    """
     from pyspark.ml.clustering import GaussianMixture
     from pyspark.ml.functions import vector_to_array
 
-    out, model = _fit(df, keys, cols, GaussianMixture(k=k, seed=seed, maxIter=50))
+    vec = steady_order(to_vector(df, cols), keys).persist()
+    try:
+        fits = [GaussianMixture(k=k, seed=seed + i, maxIter=50, predictionCol="cluster").fit(vec) for i in range(tries)]
+    finally:
+        vec.unpersist()
+    model = max(fits, key=lambda m: m.summary.logLikelihood)
     p = vector_to_array("probability")
+    out = model.transform(to_vector(df, cols))
     return out.select(*df.columns, "cluster", *[p[i].alias(f"p_{i}") for i in range(k)]), model
 
 

@@ -120,17 +120,21 @@ def hybrid(panel: DataFrame, cfg: HybridConfig) -> DataFrame:
     target: Column = F.lit(None).cast("string")
     for segment, choice in cfg.routing.items():
         target = F.when(F.col("segment") == segment, choice).otherwise(target)
-    wanted = segments.withColumn("_want", target)
     best = best_model(scores, keys, cfg.metric).select(*keys, F.col("model").alias("_best"))
-    wanted = wanted.join(best, keys, "left").withColumn(
-        "_model", F.when(F.col("_want") == "best", F.col("_best")).otherwise(F.col("_want"))
+    # a few models per series: their weights travel as one map, so the join below is on the series key
+    pairs = F.collect_list(F.struct("model", "weight"))
+    blend = weights(scores, keys, cfg.metric).groupBy(*keys).agg(F.map_from_entries(pairs).alias("_weights"))
+    pick = segments.join(best, keys, "left").join(blend, keys, "left").select(
+        *keys, "segment", "_weights", F.when(target == "best", F.col("_best")).otherwise(target).alias("_pick")
     )
-    w = weights(scores, keys, cfg.metric)
-    rows = final.join(wanted, keys).join(w, [*keys, "model"], "left")
+    rows = final.join(pick.where(F.col("_pick").isNotNull()), keys)
     # one aggregate serves both cases: a single model is a blend with weight 1 on it
-    part = F.when(F.col("_want") == "combined", F.col("weight")).when(F.col("model") == F.col("_model"), 1.0)
+    part = F.when(F.col("_pick") == "combined", F.try_element_at("_weights", F.col("model"))).when(
+        F.col("model") == F.col("_pick"), 1.0
+    )
     rows = rows.withColumn("_part", part).where(F.col("_part") > 0)
-    return rows.groupBy(*keys, "segment", "origin", "period", "h").agg(
-        F.max(F.when(F.col("_want") == "combined", "combined").otherwise(F.col("model"))).alias("model"),
-        ratio(F.sum(F.col("_part") * F.col("yhat")), F.sum("_part")).alias("yhat"),
+    return (
+        rows.groupBy(*keys, "segment", "origin", "period", "h", F.col("_pick").alias("model"))
+        .agg(ratio(F.sum(F.col("_part") * F.col("yhat")), F.sum("_part")).alias("yhat"))
+        .select(*keys, "segment", "origin", "period", "h", "model", "yhat")
     )
