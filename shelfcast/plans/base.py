@@ -19,24 +19,28 @@ ZERO = {"qty": 0.0, "revenue": 0.0, "promo": 0.0}
 
 
 def order_span(spark: SparkSession, sf_dir: str, freq: str) -> tuple[Column, Column]:
-    """First full period and first day after the last one, as scalar subqueries over one column."""
-    days = table(spark, sf_dir, "orders")
-    lo = days.agg(first_full_period(F.min("o_orderdate"), freq)).scalar()
-    hi = days.agg(full_period_end(F.max("o_orderdate"), freq)).scalar()
-    return lo, hi
+    """First full period and first day after the last one.
+
+    Two dates from one pass over one column, fetched ahead: as literals they reach the file scans of
+    everything that follows.
+    """
+    row = table(spark, sf_dir, "orders").agg(
+        first_full_period(F.min("o_orderdate"), freq).alias("lo"), full_period_end(F.max("o_orderdate"), freq).alias("hi")
+    ).first()
+    return F.lit(row.lo), F.lit(row.hi)
 
 
 def sales(
-    spark: SparkSession, sf_dir: str, keys: list[str] = KEYS, full: str | None = None
+    spark: SparkSession, sf_dir: str, keys: list[str] = KEYS, span: tuple[Column, Column] | None = None
 ) -> DataFrame:
-    """Canonical sales; ``full`` keeps only dates in full periods of that frequency.
+    """Canonical sales, all or from the first day of ``span`` to before its second.
 
     Only the tables that the keys need are joined, and only the columns in use are read.
     """
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    if full:
-        lo, hi = order_span(spark, sf_dir, full)
+    if span:
+        lo, hi = span
         orders = orders.where((F.col("o_orderdate") >= lo.cast("timestamp_ntz")) & (F.col("o_orderdate") < hi.cast("timestamp_ntz")))
     lines = lines.join(orders, lines.l_orderkey == orders.o_orderkey)
     dims = []
@@ -55,9 +59,11 @@ def sales(
     )
 
 
-def sparse_panel(spark: SparkSession, sf_dir: str, keys: list[str] = KEYS, freq: str = "month") -> DataFrame:
+def sparse_panel(
+    spark: SparkSession, sf_dir: str, keys: list[str] = KEYS, freq: str = "month", span: tuple[Column, Column] | None = None
+) -> DataFrame:
     """Full periods only, rows only where something was sold."""
-    return demand_panel(sales(spark, sf_dir, keys, full=freq), keys, freq)
+    return demand_panel(sales(spark, sf_dir, keys, span or order_span(spark, sf_dir, freq)), keys, freq)
 
 
 def panel(spark: SparkSession, sf_dir: str, keys: list[str] = KEYS, freq: str = "month") -> DataFrame:
@@ -65,7 +71,7 @@ def panel(spark: SparkSession, sf_dir: str, keys: list[str] = KEYS, freq: str =
     lo, hi = order_span(spark, sf_dir, freq)
     last = F.date_add(hi, -1)
     return densify(
-        sparse_panel(spark, sf_dir, keys, freq),
+        sparse_panel(spark, sf_dir, keys, freq, (lo, hi)),
         keys,
         freq,
         start=lo,

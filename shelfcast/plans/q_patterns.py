@@ -31,7 +31,7 @@ def interval_profile(spark, sf, keys=KEYS):
     """ADI and CV² from the sparse panel: the number of periods is known, so no zero row is made."""
     lo, hi = order_span(spark, sf, "month")
     n = period_index(hi, "month") - period_index(lo, "month")
-    return T.adi_cv2(sparse_panel(spark, sf, keys), keys, n_periods=n)
+    return T.adi_cv2(sparse_panel(spark, sf, keys, span=(lo, hi)), keys, n_periods=n)
 
 
 def segments(spark, sf, keys=KEYS):
