@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import ratio
 from ..functions.ranks import exact_quantiles
@@ -150,17 +150,20 @@ def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.groupBy(a, b).agg(F.count("*").alias("n"))
 
 
-def _pairs(n) -> Column:
-    n = F.col(n) if isinstance(n, str) else n
-    return n * (n - 1) / 2
-
-
 def agreement(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Rand index of two labelings, from label counts only (no pair is built)."""
+    """Rand index of two labelings, from label counts only (no pair of rows is built).
+
+    One pass: the counts are rolled up to each labeling and to the total by grouping sets.
+    """
     cells = contingency(df, a, b)
-    inside = cells.agg(F.sum(_pairs("n"))).scalar()
-    same = lambda c: cells.groupBy(c).agg(F.sum("n").alias("n")).agg(F.sum(_pairs("n"))).scalar()
-    total = cells.agg(F.sum("n").alias("n_rows"))
-    out = total.select("n_rows", inside.alias("_ab"), same(a).alias("_a"), same(b).alias("_b"))
-    every = _pairs("n_rows")
-    return out.select("n_rows", ratio(every + 2 * F.col("_ab") - F.col("_a") - F.col("_b"), every).alias("rand_index"))
+    sums = cells.groupingSets([[F.col(a), F.col(b)], [F.col(a)], [F.col(b)], []], a, b).agg(
+        F.grouping_id().alias("_id"), F.sum("n").alias("_n")
+    )
+    pairs = F.col("_n") * (F.col("_n") - 1) / 2
+    part = lambda i: F.coalesce(F.sum(F.when(F.col("_id") == i, pairs)), F.lit(0.0))
+    out = sums.agg(
+        F.max(F.when(F.col("_id") == 3, F.col("_n"))).alias("n_rows"),
+        part(0).alias("_both"), part(1).alias("_a"), part(2).alias("_b"), part(3).alias("_all"),
+    )
+    together = F.col("_all") + 2 * F.col("_both") - F.col("_a") - F.col("_b")
+    return out.select("n_rows", ratio(together, "_all").alias("rand_index"))

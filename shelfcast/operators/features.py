@@ -139,11 +139,12 @@ def asof(
     """Newest external row per ``on`` with date < t, or ≤ t when it is known by then.
 
     Both sides are first cut to one row per (``on``, date): the window is bounded by the calendar even
-    when one ``on`` value holds a third of the panel. On equal dates the larger ``cols`` win. The tag
-    sorts external rows before panel rows for ≤ and after them for <.
+    when one ``on`` value holds a third of the panel. Of a day's rows the newest counts, of equally new
+    ones that with the larger ``cols``. The tag sorts external rows before panel rows for ≤ and after them for <.
     """
     want = panel.select(*on, F.col("period").alias("_d")).distinct()
-    have = ext.groupBy(*on, F.col(date).alias("_d")).agg(F.max(F.struct(*cols)).alias("_x"))
+    newest = F.max(F.struct(F.col(date).alias("_at"), *cols)).alias("_x")
+    have = ext.groupBy(*on, F.col(date).cast("date").alias("_d")).agg(newest)
     tag = 0 if known_by_t else 2
     both = want.withColumns({"_tag": F.lit(1), "_x": F.lit(None).cast(have.schema["_x"].dataType)}).unionByName(
         have.withColumn("_tag", F.lit(tag))
