@@ -22,11 +22,8 @@ def running_total(
     ``order`` must order the rows of a group fully. The slices are stored once, since both passes
     must see the same ones.
     """
-    spark = df.sparkSession
-    slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = durable(
-        df.repartitionByRange(slices, *[F.col(c) for c in by], *order).withColumn("_slice", F.spark_partition_id())
-    )
+    # AQE may merge neighbouring slices of little data; their order stays
+    ranged = durable(df.repartitionByRange(*[F.col(c) for c in by], *order).withColumn("_slice", F.spark_partition_id()))
     sums = ranged.groupBy(*by, "_slice").agg(F.sum(value).alias("_sum"))
     per_group = W.partitionBy(*by) if by else W.partitionBy()
     offsets = sums.select(

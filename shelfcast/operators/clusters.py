@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import ratio
 from ..functions.ranks import exact_quantiles
-from ..functions.runtime import bounded_rows
+from ..functions.runtime import bounded_rows, durable
 from ..functions.vectors import lit_json, squared_distance
 
 MAX_CENTROIDS = 1000
@@ -34,10 +34,13 @@ def to_vector(df: DataFrame, cols: list[str], out: str = "features") -> DataFram
 
 
 def steady_order(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Fixed partitions and row order, so that a seeded fit gives the same model on every run."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Fixed row order, so that a seeded fit gives the same model on every run over the same data.
+
+    The number of partitions is left to AQE, which merges small ones: training on little data is not
+    spread over hundreds of tiny tasks per iteration.
+    """
     order = [*keys, "period"] if "period" in df.columns and "period" not in keys else keys
-    return df.repartition(n, *keys).sortWithinPartitions(*order)
+    return df.repartition(*keys).sortWithinPartitions(*order)
 
 
 def _fit(df: DataFrame, keys: list[str], cols: list[str], estimator) -> tuple[DataFrame, object]:
@@ -70,11 +73,8 @@ def gmm(df: DataFrame, keys: list[str], cols: list[str], k: int, seed: int = 1,
     from pyspark.ml.clustering import GaussianMixture
     from pyspark.ml.functions import vector_to_array
 
-    vec = steady_order(to_vector(df, cols), keys).persist()
-    try:
-        fits = [GaussianMixture(k=k, seed=seed + i, maxIter=50, predictionCol="cluster").fit(vec) for i in range(tries)]
-    finally:
-        vec.unpersist()
+    vec = durable(steady_order(to_vector(df, cols), keys).select("features"))
+    fits = [GaussianMixture(k=k, seed=seed + i, maxIter=50, predictionCol="cluster").fit(vec) for i in range(tries)]
     model = max(fits, key=lambda m: m.summary.logLikelihood)
     p = vector_to_array("probability")
     out = model.transform(to_vector(df, cols))
@@ -86,15 +86,13 @@ def choose_k(df: DataFrame, keys: list[str], cols: list[str], ks: list[int], see
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.evaluation import ClusteringEvaluator
 
-    vec = steady_order(to_vector(df, cols), keys).select("features").persist()
-    try:
-        rows = []
-        for k in ks:
-            model = KMeans(k=k, seed=seed, maxIter=30, predictionCol="cluster").fit(vec)
-            quality = ClusteringEvaluator(predictionCol="cluster").evaluate(model.transform(vec))
-            rows.append((k, float(quality), float(model.summary.trainingCost)))
-    finally:
-        vec.unpersist()
+    # written rather than cached: a cached frame keeps one partition per shuffle partition
+    vec = durable(steady_order(to_vector(df, cols), keys).select("features"))
+    rows = []
+    for k in ks:
+        model = KMeans(k=k, seed=seed, maxIter=30, predictionCol="cluster").fit(vec)
+        quality = ClusteringEvaluator(predictionCol="cluster").evaluate(model.transform(vec))
+        rows.append((k, float(quality), float(model.summary.trainingCost)))
     rows.sort(key=lambda r: (-r[1], r[0]))
     ranked = [(i + 1, *r) for i, r in enumerate(rows)]
     return df.sparkSession.createDataFrame(ranked, "rank int, k int, silhouette double, cost double")
