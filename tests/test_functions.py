@@ -24,8 +24,16 @@ def test_periods(spark):
         assert spark.range(1).select(gap.alias("g")).first().g == 5
 
 
+@pytest.fixture
+def many_slices(spark):
+    """Keep AQE from merging the small slices of a test into one."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 @pytest.mark.parametrize("hot", [0, 200])
-def test_running_total_with_a_hot_group(spark, hot):
+def test_running_total_with_a_hot_group(spark, many_slices, hot):
     rng = np.random.default_rng(1)
     rows = [("hot" if i < hot else f"g{i % 3}", i, int(v)) for i, v in enumerate(rng.integers(0, 9, 300))]
     df = spark.createDataFrame(rows, "g string, i int, v long")
@@ -39,7 +47,7 @@ def test_running_total_with_a_hot_group(spark, hot):
             acc += v
 
 
-def test_exact_quantiles_against_numpy(spark):
+def test_exact_quantiles_against_numpy(spark, many_slices):
     rng = np.random.default_rng(2)
     # one value fills a third of the rows
     a = np.r_[np.zeros(100), rng.normal(size=201)]
