@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
+import io
+import os
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, Row, SparkSession
 
@@ -13,24 +15,26 @@ class TooLarge(ValueError):
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
+    """The shared folder named by ``spark.checkpoint.dir`` or by ``SparkContext.setCheckpointDir``.
 
-    A folder of our own is made only where none is set and Spark runs in one local process (tests);
-    on a cluster a machine-local folder would be lost with its machine, so that is an error.
+    There is no other choice: a folder of the driver's machine would be lost with it, and the
+    executors would not see it. Tests and benchmarks set one of their own.
     """
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = sc.getCheckpointDir()
+    folder = _named_folder(spark)
     if not folder:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="shelfcast-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(folder)
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return folder
 
 
+def has_checkpoint_dir(spark: SparkSession) -> bool:
+    return bool(_named_folder(spark))
+
+
+def _named_folder(spark: SparkSession) -> str | None:
+    sc = spark.sparkContext
+    return spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -54,3 +58,29 @@ def bounded_rows(df: DataFrame, bound: int, what: str) -> list[Row]:
     if len(rows) > bound:
         raise TooLarge(f"{what}: more than {bound} rows")
     return rows
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the package to the Python workers of this application, once.
+
+    They must not depend on the folder in which the driver was started. The archive goes through the
+    shared folder, if there is one, and Spark hands it to every worker.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_shelfcast_shipped", False):
+        return
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(top):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(top)))
+    path = f"{checkpoint_dir(spark).rstrip('/')}/shelfcast-{uuid.uuid4().hex}.zip"
+    hadoop = sc._jvm.org.apache.hadoop.fs.Path(path)
+    out = hadoop.getFileSystem(sc._jsc.hadoopConfiguration()).create(hadoop)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
+    sc.addPyFile(path)
+    sc._shelfcast_shipped = True

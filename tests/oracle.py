@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import argparse
 import math
+import tempfile
 import time
 
 import duckdb
@@ -31,6 +32,7 @@ def session(cpus: str = "8"):
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="shelfcast-tests-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
