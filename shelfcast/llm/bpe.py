@@ -10,13 +10,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import map_texts, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 NEVER = 1 << 60
@@ -183,30 +181,25 @@ def public_vocabulary(name: str = VOCABULARY) -> tuple[str, str]:
     return public_tokenizers.path(name), public_tokenizers.PATTERN
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", ids: bool = False) -> DataFrame:
-    """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256, and with ``ids`` the ids.
+def encode_documents(docs: DataFrame, path: str, pattern: str, keep: list[str], text: str = "text", ids: bool = False) -> DataFrame:
+    """One row per document: the ``keep`` columns, n_tokens, ids_sha256, decoded_sha256, and with ``ids`` the ids.
 
     Documents are read where they lie, without a shuffle. A null text is empty: no tokens and the
     digest of no bytes. ``path`` must be readable on all machines.
     """
-    kind = docs.schema[doc_id].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def compute(texts: list[str | None]) -> dict:
         c = codec(path, pattern)
-        for batch in batches:
-            rows = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []} | ({"ids": []} if ids else {})
-            for body in batch["_text"]:
-                packed = c.encode(body) if body else b""
-                rows["n_tokens"].append(len(packed) // 4)
-                rows["ids_sha256"].append(hashlib.sha256(packed).hexdigest())
-                rows["decoded_sha256"].append(hashlib.sha256(c.decode(packed)).hexdigest())
-                if ids:
-                    rows["ids"].append(memoryview(packed).cast("I").tolist())
-            yield pd.DataFrame({"doc_id": batch["_id"], **rows})
+        packed = [c.encode(t) if t else b"" for t in texts]
+        return {
+            "n_tokens": [len(p) // 4 for p in packed],
+            "ids_sha256": [hashlib.sha256(p).hexdigest() for p in packed],
+            "decoded_sha256": [hashlib.sha256(c.decode(p)).hexdigest() for p in packed],
+        } | ({"ids": [memoryview(p).cast("I").tolist() for p in packed]} if ids else {})
 
-    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
-    return docs.selectExpr(f"`{doc_id}` AS _id", f"`{text}` AS _text").mapInPandas(run, schema)
+    schema = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>" * ids
+    return map_texts(docs, keep, text, schema, compute)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_documents(table(spark, sf_dir, "documents"), *public_vocabulary())
+    return encode_documents(table(spark, sf_dir, "documents"), *public_vocabulary(), ["doc_id"])

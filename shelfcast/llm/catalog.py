@@ -1,10 +1,13 @@
 """Registered queries of this subpackage, one per operator, and SQL where SQL can say the same."""
 
-from . import bpe, mixing, ring, warc
+from . import bpe, fingerprint, langid, mixing, ring, simhash_ball, warc
 
 QUERIES = {
+    "op2_kneser_ney_langid": langid.query,
     "op3_warc_revisits": warc.query,
+    "op4_simhash": fingerprint.query,
     "op5_ring_shards": ring.query,
+    "op7_simhash_ball": simhash_ball.query,
     "op9_prefix_bpe": bpe.query,
     "op10_entropy_mix": mixing.query,
 }

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions.runtime import durable
 
@@ -14,6 +19,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def map_texts(docs: DataFrame, keep: list[str], text: str, schema: str, compute: Callable[[list[str | None]], dict]) -> DataFrame:
+    """The ``keep`` columns as they are and what ``compute`` makes of the texts of a batch: a list per column of ``schema``.
+
+    Texts are read whole and where they lie, without a shuffle.
+    """
+    kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    types = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            *columns, texts = batch.columns
+            found = compute(texts.to_pylist())
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(found[f.name], f.type) for f in types)], [*keep, *types.names])
+
+    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_text")).mapInArrow(run, f"{kept}, {schema}" if keep else schema)
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Words with A-Z in lower case. The bytes methods touch ASCII only, as asked."""
     return text.encode().lower().split() if text else []
