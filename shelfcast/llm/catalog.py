@@ -1,14 +1,17 @@
 """Registered queries of this subpackage, one per operator, and SQL where SQL can say the same."""
 
-from . import bpe, fingerprint, langid, mixing, ring, simhash_ball, warc
+from . import bpe, brown, fingerprint, langid, licenses, mixing, pivots, ring, simhash_ball, warc
 
 QUERIES = {
+    "op1_pivot_permutations": pivots.query,
     "op2_kneser_ney_langid": langid.query,
     "op3_warc_revisits": warc.query,
     "op4_simhash": fingerprint.query,
     "op5_ring_shards": ring.query,
+    "op6_brown_classes": brown.query,
     "op7_simhash_ball": simhash_ball.query,
+    "op8_license_digests": licenses.query,
     "op9_prefix_bpe": bpe.query,
     "op10_entropy_mix": mixing.query,
 }
-ORACLES = {"op3_warc_revisits": warc.SQL}
+ORACLES = {"op3_warc_revisits": warc.SQL, "op8_license_digests": licenses.SQL}

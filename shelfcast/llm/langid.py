@@ -242,13 +242,15 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     return out
 
 
-def identify(docs: DataFrame, model: Identifier, keep: list[str], text: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: Identifier, keep: list[str], text: str = "text", prefix: str = "") -> DataFrame:
     """The ``keep`` columns with lang_pred, score and rejected; whole texts, read where they lie.
 
+    ``prefix`` comes before the new names, where ``keep`` may have them already.
     A text that is null or has no letter is ``und`` with score 0, and rejected.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample it was fitted on
-    return map_texts(docs, keep, text, "lang_pred string, score double, rejected boolean", lambda texts: shared.value.predict(texts))
+    schema = f"`{prefix}lang_pred` string, `{prefix}score` double, `{prefix}rejected` boolean"
+    return map_texts(docs, keep, text, schema, lambda texts: {prefix + k: v for k, v in shared.value.predict(texts).items()})
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,19 +82,23 @@ def links(fps: DataFrame) -> DataFrame:
     return stars.where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)).distinct()
 
 
+def roots(found: DataFrame) -> DataFrame:
+    """(fp, root) of the distinct fingerprints of stored rows: the smallest fingerprint that links reach."""
+    distinct = durable(found.select("fp").distinct())
+    linked = components(links(durable(with_neighbours(distinct)))).select(F.col("node").alias("fp"), "root")
+    return distinct.join(durable(linked), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def classes(found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """(fp, component_id) for stored rows with ``doc_id`` and ``fp``.
 
     component_id is the smallest doc_id that links reach, ids that are null left out; it is null
     where a class has no other.
     """
-    distinct = durable(found.groupBy("fp").agg(F.min(doc_id).alias("least")))
-    near = durable(with_neighbours(distinct.select("fp")))
-    roots = durable(components(links(near)))
-    known = roots.join(distinct.withColumnRenamed("fp", "node"), "node")
-    least = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = durable(roots.join(least, "root").select(F.col("node").alias("fp"), "component_id"))
-    return distinct.join(of, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    least = found.groupBy("fp").agg(F.min(doc_id).alias("least"))
+    known = durable(least.join(roots(found), "fp"))
+    of = known.groupBy("root").agg(F.min("least").alias("component_id"))
+    return known.join(of, "root").select("fp", "component_id")
 
 
 def hexadecimal(fp: str) -> Column:
