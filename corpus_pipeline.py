@@ -13,14 +13,20 @@ from shelfcast.functions.runtime import durable
 from shelfcast.llm import bpe, langid, mixing, simhash_ball
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """Each document as one column ``row``, so that no column of it can clash with those of a stage."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the character models accept; lang becomes the language they find.
 
     Rejected are texts without letters and those far less like the chosen language than labelled
     texts that the models have not seen.
     """
-    found = langid.identify(docs, langid.fit(docs), docs.columns, prefix="_")
-    return found.where("NOT _rejected").withColumn("lang", F.col("_lang_pred")).select(*docs.columns)
+    rows = packed(docs).select("row", F.col("row.text").alias("text"))
+    found = langid.identify(rows, langid.fit(docs), ["row"]).where("NOT rejected")
+    return found.select(F.col("row").withField("lang", F.col("lang_pred")).alias("row")).select("row.*")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,24 +34,25 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Among rows with that id one stays, of several texts the one with the smallest hash.
     """
-    text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
-    keyed = docs.select("doc_id", "text", text_hash.alias("_hash"))
-    found = durable(simhash_ball.fingerprints(keyed, ["doc_id", "_hash"]))
+    rows = packed(docs).withColumns({"id": F.col("row.doc_id"), "hash": F.xxhash64(F.coalesce("row.text", F.lit("")))})
+    found = durable(simhash_ball.fingerprints(rows.withColumn("text", F.col("row.text")), ["id", "hash"]))
     # rows of a class meet as one small row per class and task
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_hash"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash"))
     kept = found.join(simhash_ball.roots(found), "fp").groupBy("root").agg(first.alias("k"))
-    kept = kept.select(F.col("k.doc_id").alias("_id"), F.col("k._hash").alias("_h"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h"))
+    kept = kept.select(F.col("k.id").alias("kept_id"), F.col("k.hash").alias("kept_hash"))
+    same = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("hash") == F.col("kept_hash"))
     # repeated rows of a kept document are dropped where the join has brought them together
-    return docs.withColumn("_hash", text_hash).join(kept, same, "left_semi").dropDuplicates(["doc_id", "_hash"]).select(*docs.columns)
+    return rows.join(kept, same, "left_semi").dropDuplicates(["id", "hash"]).select("row.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: each source comes near its target share of words."""
-    sized = docs.withColumns({"_size": mixing.size_of("text"), "_pick": mixing.pick_order("doc_id", "text")})
-    rows = durable(sized.select("source", F.col("_size").alias("size"), F.col("_pick").alias("pick")))
-    taken = mixing.copies_of(sized, mixing.plan(rows), "source", "_size", "_pick").where("copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    sized = docs.select("source", mixing.size_of("text").alias("size"), mixing.pick_order("doc_id", "text").alias("pick"))
+    rows = packed(docs).withColumns({
+        "source": F.col("row.source"), "size": mixing.size_of("row.text"), "pick": mixing.pick_order("row.doc_id", "row.text"),
+    })
+    taken = mixing.copies_of(rows, mixing.plan(durable(sized)), "source", "size", "pick").where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

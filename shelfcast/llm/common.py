@@ -24,8 +24,8 @@ def map_texts(docs: DataFrame, keep: list[str], text: str, schema: str, compute:
 
     Texts are read whole and where they lie, without a shuffle.
     """
-    kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    types = to_arrow_schema(StructType.fromDDL(schema))
+    added = StructType.fromDDL(schema)
+    types, whole = to_arrow_schema(added), StructType([*(docs.schema[c] for c in keep), *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -33,7 +33,7 @@ def map_texts(docs: DataFrame, keep: list[str], text: str, schema: str, compute:
             found = compute(texts.to_pylist())
             yield pa.RecordBatch.from_arrays([*columns, *(pa.array(found[f.name], f.type) for f in types)], [*keep, *types.names])
 
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_text")).mapInArrow(run, f"{kept}, {schema}" if keep else schema)
+    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_text")).mapInArrow(run, whole)
 
 
 def words_of(text: str | None) -> list[bytes]:
