@@ -174,12 +174,12 @@ class Identifier:
             own = truth == k
             if own.any():
                 self.usual[k] = np.median(bits[own, k])
+        far = self.excess(bits, n, truth)
         for k in range(len(self.models)):
-            own = truth == k
-            if own.sum() >= 20:
-                far = self.excess(bits[own], n[own], truth[own])
-                # a margin above the quantile, for documents that are rarer than the sample is large
-                self.limit[k] = max(np.quantile(far, quantile), 0.1) * margin
+            # languages with few texts take the limit of all
+            own = truth == k if (truth == k).sum() >= 100 else truth >= 0
+            # a margin above the quantile, for documents that are rarer than the sample is large
+            self.limit[k] = max(np.quantile(far[own], quantile), 0.1) * margin
 
     def predict(self, texts: list[str | None]) -> dict[str, np.ndarray]:
         """lang_pred, score and rejected for each text."""
@@ -235,9 +235,8 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     frame = counted.to_pandas().sort_values(["lang", *places])
     models = {name: KneserNey(part[places].to_numpy("uint32"), part["n"].to_numpy("int64")) for name, part in frame.groupby("lang", sort=True)}
     out = Identifier(list(models), list(models.values()))
-    # half of that fold is enough for a quantile and halves what the driver holds: an eighth of the sample
-    calibration = sample.where("fold = 1").where(F.col("lang").isin(*out.languages))
-    shown = calibration.where(F.xxhash64("id", F.lit(11)) % 2 == 0).select("text", "lang").toArrow().to_pandas()
+    # a quarter of the sample reaches the driver as text
+    shown = sample.where("fold = 1").where(F.col("lang").isin(*out.languages)).select("text", "lang").toArrow().to_pandas()
     out.calibrate(list(shown["text"]), list(shown["lang"]))
     return out
 
