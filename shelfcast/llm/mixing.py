@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
@@ -100,27 +101,38 @@ def solve(cells: DataFrame, cap: float = CAP, close: float = 1e-9, steps: int =
     return now.select("source", "lam")
 
 
-def _whole_copies(cells: pd.DataFrame) -> pd.DataFrame:
-    """Copies of each size of one source: the whole number under or over n · rate that brings the words taken nearer to their sum."""
+def whole_copies(cells: pd.DataFrame, cap: int) -> pd.DataFrame:
+    """Copies of each size of one source, so that the words taken come near the sum of those wished.
+
+    From the largest size to the smallest each takes the whole number under or over n · rate that
+    leaves least behind. What is left then is made up by single copies, the fitting size first.
+    """
     cells = cells.sort_values("size", ascending=False)
-    out, behind = [], 0.0
-    for size, n, rate in zip(cells["size"], cells["n"], cells["rate"]):
-        wish = n * rate
-        least, most = math.floor(wish + 1e-9), math.ceil(wish - 1e-9)
-        behind += wish * size
-        k = min(max(round(behind / size), least), most) if size else n
-        behind -= k * size
-        out.append(k)
-    return cells.assign(copies=out).drop(columns="rate")
+    size, n, wish = (cells[c].to_numpy("float64") for c in ("size", "n", "wish"))
+    copies, behind = n.copy(), 0.0
+    for i in range(len(cells)):
+        if size[i]:
+            behind += wish[i] * size[i]
+            copies[i] = min(max(round(behind / size[i]), math.floor(wish[i] + 1e-9)), math.ceil(wish[i] - 1e-9))
+            behind -= copies[i] * size[i]
+    while len(cells):
+        sign = 1 if behind > 0 else -1
+        may = (size > 0) & ((copies < cap * n) if sign > 0 else (copies > 0))
+        after = np.where(may, np.abs(behind - sign * size), np.inf)
+        i = int(after.argmin())
+        if after[i] >= abs(behind) - 1e-9:
+            break
+        copies[i] += sign
+        behind -= sign * size[i]
+    return cells.assign(copies=copies.astype("int64")).drop(columns="wish")
 
 
 def plan(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """Copies for stored documents (source, size, pick): one row per (source, size).
 
     Returns source, size, source_size, target, base, last. A document of the cell is taken ``base``
-    times, and once more if its ``pick`` is at most ``last`` (null: none). Rates are rounded from the
-    largest to the smallest size of a source, so what one size lacks the next ones make good. A group
-    there has a row per distinct size, of which there are at most the square root of twice its words.
+    times, and once more if its ``pick`` is at most ``last`` (null: none). Rates are rounded per source;
+    a group there has a row per distinct size, at most the square root of twice the source's words.
     Documents of size 0 keep one copy.
     """
     cells = durable(sized.groupBy("source", "size").agg(F.count("*").alias("n")))
@@ -137,10 +149,10 @@ def plan(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP)
     # at the cap exp(log 3) is not quite 3
     rate = F.when(F.abs(rate - cap) < 1e-9, float(cap)).otherwise(rate)
     rated = cells.alias("c").join(lam.alias("l"), F.col("c.source").eqNullSafe(F.col("l.source")), "left").select(
-        "c.source", "size", "n", "source_size", "target", rate.alias("rate")
+        "c.source", "size", "n", "source_size", "target", (F.col("n") * rate).alias("wish")
     )
     schema = "source string, size long, n long, source_size long, target double, copies long"
-    rounded = rated.groupBy("source").applyInPandas(_whole_copies, schema)
+    rounded = rated.groupBy("source").applyInPandas(lambda cells: whole_copies(cells, cap), schema)
     counted = durable(
         rounded.withColumn("base", F.floor(F.col("copies") / F.col("n")).cast("long"))
         .withColumn("more", F.col("copies") - F.col("base") * F.col("n"))
