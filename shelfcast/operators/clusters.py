@@ -9,8 +9,6 @@ from ..functions.ranks import exact_quantiles
 from ..functions.runtime import bounded_rows, durable
 from ..functions.vectors import lit_json, squared_distance
 
-MAX_CENTROIDS = 1000
-
 
 def cluster_input(profile: DataFrame, cols: list[str], keys: list[str]) -> DataFrame:
     """z-scores of the columns (population sd), nulls as the mean; a constant column becomes 0.
@@ -109,13 +107,13 @@ def model_centroids(model, cols: list[str], spark) -> DataFrame:
     return spark.createDataFrame(rows, "cluster int, " + ", ".join(f"`{c}` double" for c in cols))
 
 
-def assign(df: DataFrame, centroids: DataFrame, label: str, cols: list[str]) -> DataFrame:
+def assign(df: DataFrame, centroids: DataFrame, label: str, cols: list[str], most: int = 100_000) -> DataFrame:
     """Nearest centroid of each row as ``cluster``, with its ``distance``; ties by label.
 
-    The centroids, checked to be few, become one literal: no join, no shuffle, and new series can be
-    assigned long after the fit.
+    The centroids, checked to be at most ``most``, become one literal: no join, no shuffle, and new
+    series can be assigned long after the fit.
     """
-    rows = bounded_rows(centroids.select(label, *cols).orderBy(label), MAX_CENTROIDS, "centroids")
+    rows = bounded_rows(centroids.select(label, *cols).orderBy(label), most, "centroids")
     kind = centroids.schema[label].dataType.simpleString()
     points = [{"id": r[label], "v": [float(r[c]) for c in cols]} for r in rows]
     table = lit_json(points, f"array<struct<id: {kind}, v: array<double>>>")

@@ -7,13 +7,11 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.columns import as_col, shift_period
-from ..functions.runtime import bounded_rows, durable
+from ..functions.runtime import durable
 from ..functions.vectors import topk_cosine
 from .clusters import cluster_input, steady_order
 from .panel import by_series
 
-MAX_LSH_QUERIES = 10_000
-
 
 def zscore_array(a: Column, mean: Column, sd: Column) -> Column:
     """z-scored array; a constant one becomes zeros."""
@@ -97,23 +95,20 @@ def lsh_pairs(
 ) -> DataFrame:
     """Approximate (query, vector) pairs within Euclidean distance d, by random projections.
 
-    The query side is checked to be small, so work grows with the number of vectors, not with its
-    square. Equal vectors are hashed and compared once and expanded at the end, so a large group of
-    copies is no hot bucket.
+    Work grows with the candidates that queries meet in their buckets; the query side is a frame of any
+    size. Equal vectors are hashed and compared once and expanded at the end, so a large group of copies
+    is no hot bucket.
     """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
-    spark = vectors.sparkSession
-    few = bounded_rows(queries.select(id, emb), MAX_LSH_QUERIES, "LSH queries")
-    small = spark.createDataFrame(few, queries.select(id, emb).schema)
     as_vec = lambda c: array_to_vector(F.transform(c, lambda x: x.cast("double")))
     members = vectors.select(F.col(id).alias("neighbour_id"), F.col(emb).alias("_e"), F.xxhash64(emb).alias("_hash"))
     distinct = members.groupBy("_hash", "_e").agg(F.count("*").alias("copies")).withColumn("_v", as_vec("_e"))
     lsh = BucketedRandomProjectionLSH(
         inputCol="_v", outputCol="_h", bucketLength=bucket, numHashTables=tables, seed=seed
     ).fit(distinct)
-    left = small.select(F.col(id).alias("query_id"), as_vec(emb).alias("_v"))
+    left = queries.select(F.col(id).alias("query_id"), as_vec(emb).alias("_v"))
     pairs = lsh.approxSimilarityJoin(left, distinct.select("_hash", "_e", "_v"), d, distCol="distance").select(
         F.col("datasetA.query_id").alias("query_id"),
         F.col("datasetB._hash").alias("_hash"),
@@ -127,14 +122,18 @@ def analog_own(panel: DataFrame, keys: list[str], freq: str, origin, H: int, L:
     """Forecast from the k past windows of the same series that look most like its latest window.
 
     What followed each of them, measured in its own mean and sd, is averaged and scaled to the latest
-    window. A past window must end at least H periods before ``origin``. A series is one bounded array,
-    so this is linear in the number of series.
+    window. A past window must end at least H periods before ``origin``. A series that has none, or is
+    constant in its latest window, gets the mean of that window (of what there is of it). A series is
+    one bounded array, so this is linear in the number of series.
     """
     point = F.struct("period", F.col("qty").alias("y"))
     known = panel.where(F.col("period") <= as_col(origin))
     s = known.groupBy(*keys).agg(F.sort_array(F.collect_list(point)).alias("_p"))
-    s = s.select(*keys, F.transform("_p", lambda p: p["y"]).alias("_y")).where(F.size("_y") >= 2 * L + H)
+    s = s.select(*keys, F.transform("_p", lambda p: p["y"]).alias("_y"))
     y = F.col("_y")
+    recent = F.slice(y, F.greatest(F.size(y) - L + 1, F.lit(1)), F.lit(L))
+    flat = s.select(*keys, (F.aggregate(recent, F.lit(0.0), lambda t, v: t + v) / F.size(recent)).alias("_flat"))
+    s = s.where(F.size("_y") >= 2 * L + H)
     s = s.withColumn("_now", F.slice(y, -L, L))
     mean, sd = _stats(F.col("_now"), L)
     s = s.withColumns({"_mean": mean, "_sd": sd})
@@ -157,14 +156,24 @@ def analog_own(panel: DataFrame, keys: list[str], freq: str, origin, H: int, L:
     out = steps.groupBy(*keys, (F.col("_h") + 1).alias("h")).agg(
         (F.first("_mean") + F.first("_sd") * F.avg((F.col("_v") - F.col("m")) / F.col("d"))).alias("yhat")
     )
+    return _every_step(flat, out, keys, freq, origin, H, "analog_own")
+
+
+def _every_step(flat: DataFrame, fc: DataFrame, keys: list[str], freq: str, origin, H: int, name: str) -> DataFrame:
+    """Forecast frame with a row per series of ``flat`` and step: yhat of ``fc``, else ``_flat``."""
     at = as_col(origin)
-    return out.select(*keys, at.alias("origin"), F.lit("analog_own").alias("model"), "h", shift_period(at, F.col("h"), freq).alias("period"), "yhat")
+    steps = flat.withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(H)))).join(fc, [*keys, "h"], "left")
+    return steps.select(
+        *keys, at.alias("origin"), F.lit(name).alias("model"), "h", shift_period(at, F.col("h"), freq).alias("period"),
+        F.coalesce("yhat", "_flat").alias("yhat"),
+    )
 
 
 def analog(panel: DataFrame, keys: list[str], freq: str, origin, H: int, L: int, k: int) -> DataFrame:
     """As ``analog_own``, with the past windows of all series as candidates (exact search).
 
-    A window is named by its series and last period, which also decides between equal similarities.
+    A window is named by its series and last period, which also decides between equal similarities. A
+    series that is short or constant in its latest window gets the mean of that window.
     Work is series × windows: for very many series use ``analog_own``.
     """
     w = by_series(keys)
@@ -176,20 +185,18 @@ def analog(panel: DataFrame, keys: list[str], freq: str, origin, H: int, L: int,
         F.collect_list("qty").over(w.rowsBetween(-L + 1, 0)).alias("lookback"),
         F.collect_list("qty").over(w.rowsBetween(1, H)).alias("next"),
     ).where(F.size("lookback") == L)
-    rows = scaled_windows(rows, L).where(F.col("win_sd") > 1e-9)
-    rows = durable(rows.withColumn("id", F.concat_ws("|", *keys, "period")))
-    past = rows.where(F.size("next") == H)
-    now = rows.where(F.col("period") == at)
+    rows = durable(scaled_windows(rows, L).withColumn("id", F.concat_ws("|", *keys, "period")))
+    past = rows.where((F.size("next") == H) & (F.col("win_sd") > 1e-9))
+    now = rows.where((F.col("period") == at) & (F.col("win_sd") > 1e-9))
+    recent = known.where(F.col("period") > shift_period(at, -L, freq))
+    flat = known.select(*keys).distinct().join(recent.groupBy(*keys).agg(F.avg("qty").alias("_flat")), keys, "left")
     near = topk(past, now, k)
     scale = now.select(F.col("id").alias("query_id"), *keys, F.col("win_mean").alias("_mean"), F.col("win_sd").alias("_sd"))
     then = past.select(F.col("id").alias("neighbour_id"), "next", F.col("win_mean").alias("m"), F.col("win_sd").alias("d"))
     steps = near.join(then, "neighbour_id").select("query_id", "m", "d", F.posexplode("next").alias("_h", "_v"))
     mean = steps.groupBy("query_id", (F.col("_h") + 1).alias("h")).agg(F.avg((F.col("_v") - F.col("m")) / F.col("d")).alias("_f"))
-    return mean.join(scale, "query_id").select(
-        *keys, at.alias("origin"), F.lit("analog").alias("model"), "h",
-        shift_period(at, F.col("h"), freq).alias("period"),
-        (F.col("_mean") + F.col("_sd") * F.col("_f")).alias("yhat"),
-    )
+    fc = mean.join(scale, "query_id").select(*keys, "h", (F.col("_mean") + F.col("_sd") * F.col("_f")).alias("yhat"))
+    return _every_step(flat.fillna(0.0, ["_flat"]), fc, keys, freq, origin, H, "analog")
 
 
 def embed_clusters(vectors: DataFrame, keys: list[str], k: int, seed: int = 1, emb: str = "emb"):

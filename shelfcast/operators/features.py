@@ -274,13 +274,6 @@ def feature_names(ks: tuple[int, ...] = (1, 2, 3, 12), ns: tuple[int, ...] = (3,
     ] + ["since_sale", "month"]
 
 
-def assemble(df: DataFrame, cols: list[str], out: str = "features") -> DataFrame:
-    """Feature vector; rows with a missing feature are dropped, as a model cannot use them."""
-    from pyspark.ml.feature import VectorAssembler
-
-    return VectorAssembler(inputCols=cols, outputCol=out, handleInvalid="skip").transform(df)
-
-
 def rank_features(df: DataFrame, cols: list[str], label: str) -> DataFrame:
     """Features by absolute correlation with the label; a constant feature has none and goes last."""
     x = lambda c: F.col(c).cast("double")

@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.columns import as_col, ratio
+from ..functions.columns import as_col, ratio, shift_period
 from ..functions.series import Forecaster
 from .forecast import forecast
 from .panel import hierarchy
@@ -16,14 +16,26 @@ from .rules import classify_sbc
 from .score import score
 
 
-def route(segments: DataFrame, routing: dict[str, str], forecasts: DataFrame, keys: list[str]) -> DataFrame:
-    """Keep for each series the forecast of the model its segment is routed to."""
+def routed(routing: dict[str, str], other: str | None = None) -> Column:
+    """Model of the row's ``segment``; ``other`` for segments that the routing does not name."""
     # the routing table is a short dict: an expression, not a join
-    target: Column = F.lit(None).cast("string")
-    for segment, model in routing.items():
-        target = F.when(F.col("segment") == segment, model).otherwise(target)
-    chosen = segments.select(*keys, "segment", target.alias("model")).where(F.col("model").isNotNull())
-    return forecasts.join(chosen, [*keys, "model"])
+    pairs = [F.lit(x) for pair in routing.items() for x in pair]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("segment")), F.lit(other).cast("string"))
+
+
+def route(
+    segments: DataFrame, routing: dict[str, str], forecasts: DataFrame, keys: list[str], other: str | None = None
+) -> DataFrame:
+    """Forecast of the model that each series' segment is routed to, for every series, origin and period.
+
+    Where that model has no forecast, or the segment has no model, yhat is null and the row stays, so
+    that ``fallback`` can fill it.
+    """
+    at = ["origin", "period", "h"]
+    grid = forecasts.select(*keys, *at).distinct().join(segments.select(*keys, "segment"), keys, "left")
+    return grid.withColumn("model", routed(routing, other)).join(
+        forecasts.select(*keys, *at, "model", "yhat"), [*keys, *at, "model"], "left"
+    )
 
 
 def best_model(scores: DataFrame, keys: list[str], metric: str = "mae") -> DataFrame:
@@ -43,10 +55,14 @@ def weights(scores: DataFrame, keys: list[str], metric: str = "mae") -> DataFram
 
 
 def combine(forecasts: DataFrame, scores: DataFrame, keys: list[str], metric: str = "mae") -> DataFrame:
-    """Weighted mean of the models' forecasts; weights are renormalised where a model has none."""
-    rows = forecasts.join(weights(scores, keys, metric), [*keys, "model"])
+    """Weighted mean of the models' forecasts; weights are renormalised where a model has none.
+
+    A series without any score (a new one) gets the plain mean.
+    """
+    rows = forecasts.join(weights(scores, keys, metric), [*keys, "model"], "left")
+    blend = ratio(F.sum(F.col("weight") * F.col("yhat")), F.sum(F.when(F.col("yhat").isNotNull(), F.col("weight"))))
     return rows.groupBy(*keys, "origin", "period", "h").agg(
-        F.lit("combined").alias("model"), ratio(F.sum(F.col("weight") * F.col("yhat")), F.sum("weight")).alias("yhat")
+        F.lit("combined").alias("model"), F.coalesce(blend, F.avg("yhat")).alias("yhat")
     )
 
 
@@ -96,45 +112,70 @@ class HybridConfig:
     origin: object  # last known period
     horizon: int
     origins: list  # backtest origins; each plus horizon must not pass ``origin``
-    models: dict[str, Forecaster]
+    models: dict[str, Forecaster]  # classical models
     routing: dict[str, str]  # segment → model name, 'best' or 'combined'
     metric: str = "mae"
     segment_args: dict = field(default_factory=dict)
+    other: str | None = None  # model of segments that the routing does not name
+    repair: str = "snaive"  # model that stands in where the routed one has no forecast
+    recent: int = 12  # periods behind the segment mean, which stands in where that one has none either
+    frames: tuple = ()  # forecast frames of trained models, networks or analogs, from any of the origins
+    segments: DataFrame | None = None  # keys and segment; by default the ADI/CV² classes at the origin
 
 
 def hybrid(panel: DataFrame, cfg: HybridConfig) -> DataFrame:
     """The whole chain on a dense panel: classes, forecasts, backtest, then the routed forecast.
 
+    One row per series of the panel and step, whatever its history: ``source`` tells whether yhat is
+    the routed forecast (``routed``), that of ``cfg.repair``, the mean of the segment's recent demand
+    (``segment``) or, without any demand to go by, 0 (``none``). ``model`` is the routed choice.
+
     Forecasts, scores, classes and weights are all kept by series key, so one shuffle of the history
-    (which Spark reuses) serves them.
-    Nothing after ``origin`` is looked at. Per series the routing names a model, 'best' (least backtest
-    error) or 'combined' (weights 1/error).
+    (which Spark reuses) serves them. Nothing after ``origin`` is looked at but the names of series.
+    Per series the routing names a model, 'best' (least backtest error) or 'combined' (weights
+    1/error). Frames of other models are scored like the classical ones, by their rows from
+    ``cfg.origins``, and can be routed, chosen and blended like them.
     """
-    keys = cfg.keys
-    known = panel.where(F.col("period") <= as_col(cfg.origin))
-    segments = classify_sbc(adi_cv2(known, keys), **cfg.segment_args).select(*keys, "segment")
+    keys, at = cfg.keys, as_col(cfg.origin)
+    known = panel.where(F.col("period") <= at)
+    segments = cfg.segments if cfg.segments is not None else classify_sbc(adi_cv2(known, keys), **cfg.segment_args)
     past = forecast(known, keys, cfg.freq, cfg.origins, cfg.horizon, cfg.models, actuals=True)
-    scores = score(past, keys, [*keys, "model"])
     final = forecast(known, keys, cfg.freq, [cfg.origin], cfg.horizon, cfg.models)
+    for frame in cfg.frames:
+        rows = frame.select(*final.columns)
+        earlier = rows.where(F.col("origin") < at).join(known.select(*keys, "period", "qty"), [*keys, "period"])
+        past = past.unionByName(earlier)
+        final = final.unionByName(rows.where(F.col("origin") == at))
+    scores = score(past, keys, [*keys, "model"])
 
-    target: Column = F.lit(None).cast("string")
-    for segment, choice in cfg.routing.items():
-        target = F.when(F.col("segment") == segment, choice).otherwise(target)
+    target = routed(cfg.routing, cfg.other)
     best = best_model(scores, keys, cfg.metric).select(*keys, F.col("model").alias("_best"))
     # a few models per series: their weights travel as one map, so the join below is on the series key
     pairs = F.collect_list(F.struct("model", "weight"))
     blend = weights(scores, keys, cfg.metric).groupBy(*keys).agg(F.map_from_entries(pairs).alias("_weights"))
-    pick = segments.join(best, keys, "left").join(blend, keys, "left").select(
-        *keys, "segment", "_weights", F.when(target == "best", F.col("_best")).otherwise(target).alias("_pick")
+    pick = (
+        panel.select(*keys).distinct()
+        .join(segments.select(*keys, "segment"), keys, "left")
+        .join(best, keys, "left")
+        .join(blend, keys, "left")
+        .select(*keys, "segment", "_weights", F.when(target == "best", F.col("_best")).otherwise(target).alias("_pick"))
     )
-    rows = final.join(pick.where(F.col("_pick").isNotNull()), keys)
-    # one aggregate serves both cases: a single model is a blend with weight 1 on it
-    part = F.when(F.col("_pick") == "combined", F.try_element_at("_weights", F.col("model"))).when(
-        F.col("model") == F.col("_pick"), 1.0
+    # likewise the forecasts: one map of models per step
+    per_step = final.groupBy(*keys, "h").agg(F.map_from_entries(F.collect_list(F.struct("model", "yhat"))).alias("_yhat"))
+    steps = pick.withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(cfg.horizon)))).join(per_step, [*keys, "h"], "left")
+    means = segment_mean(known, segments, keys, shift_period(at, -cfg.recent, cfg.freq), at).withColumnRenamed("yhat", "_mean")
+    steps = steps.join(means, "segment", "left")
+    # a single model is a blend with weight 1 on it
+    shares = F.when(F.col("_pick") == "combined", F.col("_weights")).when(
+        F.col("_pick").isNotNull(), F.create_map(F.col("_pick"), F.lit(1.0))
     )
-    rows = rows.withColumn("_part", part).where(F.col("_part") > 0)
-    return (
-        rows.groupBy(*keys, "segment", "origin", "period", "h", F.col("_pick").alias("model"))
-        .agg(ratio(F.sum(F.col("_part") * F.col("yhat")), F.sum("_part")).alias("yhat"))
-        .select(*keys, "segment", "origin", "period", "h", "model", "yhat")
+    used = F.map_filter(shares, lambda m, w: (w > 0) & F.try_element_at("_yhat", m).isNotNull())
+    total = lambda value: F.aggregate(F.map_entries(used), F.lit(0.0), lambda t, e: t + value(e))
+    chosen = ratio(total(lambda e: e["value"] * F.try_element_at("_yhat", e["key"])), total(lambda e: e["value"]))
+    options = {"routed": chosen, cfg.repair: F.try_element_at("_yhat", F.lit(cfg.repair)), "segment": F.col("_mean"), "none": F.lit(0.0)}
+    steps = steps.withColumns({f"_o_{name}": c for name, c in options.items()})
+    return steps.select(
+        *keys, "segment", at.alias("origin"), shift_period(at, F.col("h"), cfg.freq).alias("period"), "h",
+        F.col("_pick").alias("model"), F.coalesce(*[F.col(f"_o_{n}") for n in options]).alias("yhat"),
+        F.coalesce(*[F.when(F.col(f"_o_{n}").isNotNull(), n) for n in options]).alias("source"),
     )

@@ -13,13 +13,30 @@ from .panel import by_series
 Fit = Callable[[DataFrame, list[str], list[str]], object]
 
 
-def _pipeline(sup: DataFrame, keys: list[str], cols: list[str], *stages):
-    """Fit assembler + stages; rows with a missing feature are left out of training."""
+FILLED, MISSING = "filled_", "_missing"
+
+
+def _pipeline(sup: DataFrame, keys: list[str], cols: list[str], *stages, label: str = "label"):
+    """Fit fill + assembler + stages. A missing feature counts as 0, and features that lack a value in
+    some training row have a flag beside them, so every row can be learned from and scored."""
     from pyspark.ml import Pipeline
-    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.feature import SQLTransformer, VectorAssembler
+
+    train = sup.where(F.col(label).isNotNull()).select(*keys, "period", *cols, label)
+    absent = lambda c: f"(`{c}` IS NULL OR isnan(CAST(`{c}` AS DOUBLE)))"
+    lacks = train.agg(*[F.coalesce(F.max(F.expr(absent(c))), F.lit(False)).alias(c) for c in cols]).first()
+    flagged = [c for c in cols if lacks[c]]
+    fill = [f"CASE WHEN {absent(c)} THEN 0.0D ELSE CAST(`{c}` AS DOUBLE) END AS `{FILLED}{c}`" for c in cols]
+    flags = [f"CAST({absent(c)} AS DOUBLE) AS `{c}{MISSING}`" for c in flagged]
+    inputs = [f"{FILLED}{c}" for c in cols] + [f"{c}{MISSING}" for c in flagged]
+    filled = SQLTransformer(statement=f"SELECT *, {', '.join(fill + flags)} FROM __THIS__")
+    assembler = VectorAssembler(inputCols=inputs, outputCol="features")
+    return Pipeline(stages=[filled, assembler, *stages]).fit(steady_order(train, keys))
+
 
-    assembler = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="skip")
-    return Pipeline(stages=[assembler, *stages]).fit(steady_order(sup.select(*keys, "period", *cols, "label"), keys))
+def feature_names(model) -> list[str]:
+    """Names of the features of a fitted model, flags of missing values included."""
+    return [c.removeprefix(FILLED) for c in model.stages[1].getInputCols()]
 
 
 def fit_linear(sup: DataFrame, keys: list[str], cols: list[str], reg: float = 0.0, en: float = 0.0):
@@ -63,10 +80,10 @@ def predict(model, sup: DataFrame, keys: list[str], name: str, floor: float | No
     )
 
 
-def importance(model, names: list[str], spark) -> DataFrame:
+def importance(model, spark) -> DataFrame:
     """Importance of each feature of a fitted tree model, ranked. One row per feature."""
     values = model.stages[-1].featureImportances.toArray()
-    rows = sorted(zip(names, map(float, values)), key=lambda r: (-r[1], r[0]))
+    rows = sorted(zip(feature_names(model), map(float, values)), key=lambda r: (-r[1], r[0]))
     return spark.createDataFrame([(i + 1, n, v) for i, (n, v) in enumerate(rows)], "rank int, feature string, importance double")
 
 
@@ -101,12 +118,16 @@ def windows(panel: DataFrame, keys: list[str], L: int, h: int = 1) -> DataFrame:
 
 
 def tails(panel: DataFrame, keys: list[str], freq: str, origin, L: int) -> DataFrame:
-    """The last L values of each series up to ``origin``; only those rows are read."""
+    """The last L values of each series up to ``origin``; only those rows are read.
+
+    A shorter series had no demand before, so zeros stand in front.
+    """
     at = as_col(origin)
     recent = panel.where((F.col("period") <= at) & (F.col("period") > shift_period(at, -L, freq)))
     ordered = F.sort_array(F.collect_list(F.struct("period", F.col("qty").alias("y"))))
-    out = recent.groupBy(*keys).agg(F.transform(ordered, lambda p: p["y"]).alias("lookback"))
-    return out.where(F.size("lookback") == L).withColumn("origin", at)
+    out = recent.groupBy(*keys).agg(F.transform(ordered, lambda p: p["y"]).alias("_y"))
+    lookback = F.concat(F.array_repeat(F.lit(0.0), L - F.size("_y")), "_y")
+    return out.select(*keys, lookback.alias("lookback"), at.alias("origin"))
 
 
 def _training(panel: DataFrame, keys: list[str], origin, L: int, h: int) -> DataFrame:
@@ -157,19 +178,15 @@ def recursive(panel: DataFrame, keys: list[str], freq: str, origin, H: int, fit:
 
 def hurdle(train: DataFrame, rows: DataFrame, keys: list[str], cols: list[str], seed: int = 1, name: str = "hurdle") -> DataFrame:
     """P(demand > 0) × E(size | demand > 0): a logistic model and boosted trees on nonzero rows."""
-    from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    train = train.select(*keys, "period", *cols, "label")
-    assembler = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="skip")
     occurs = LogisticRegression(labelCol="sold", probabilityCol="_p", predictionCol="_sold", rawPredictionCol="_raw", regParam=1e-3)
-    chance = Pipeline(stages=[assembler, occurs]).fit(
-        steady_order(train.withColumn("sold", (F.col("label") > 0).cast("double")), keys)
-    )
+    sold = train.withColumn("sold", (F.col("label") > 0).cast("double"))
+    chance = _pipeline(sold, keys, cols, occurs, label="sold")
     size = fit_gbt(train.where(F.col("label") > 0), keys, cols, seed=seed)
-    out = size.transform(chance.transform(rows).drop("features"))
+    # both models name their features alike
+    out = size.transform(chance.transform(rows).select(*rows.columns, "_p"))
     p = vector_to_array("_p")[1]
     return out.select(
         *keys, "origin", F.lit(name).alias("model"), "h", "period",
@@ -181,13 +198,13 @@ def hurdle(train: DataFrame, rows: DataFrame, keys: list[str], cols: list[str],
 def residual(
     train: DataFrame, rows: DataFrame, keys: list[str], cols: list[str], base: str, fit: Fit, name: str = "residual"
 ) -> DataFrame:
-    """Baseline forecast (column ``base``) plus a model of what it misses."""
+    """Baseline forecast (column ``base``) plus a model of what it misses; without a baseline that is 0."""
     missed = train.where(F.col(base).isNotNull()).withColumn("label", F.col("label") - F.col(base))
     model = fit(missed, keys, cols)
     out = model.transform(rows)
     return out.select(
         *keys, "origin", F.lit(name).alias("model"), "h", "period",
-        F.col(base).alias("base"), F.greatest(F.col(base) + F.col("yhat"), F.lit(0.0)).alias("yhat"),
+        F.col(base).alias("base"), F.greatest(F.coalesce(base, F.lit(0.0)) + F.col("yhat"), F.lit(0.0)).alias("yhat"),
     )
 
 

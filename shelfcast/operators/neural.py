@@ -14,13 +14,11 @@ from ..functions.ranks import exact_quantiles
 from ..functions.vectors import lit_json
 from .clusters import steady_order
 
-MAX_BINS = 200
-
 
 def bin_bounds(train: DataFrame, n: int, col: str = "target") -> list[float]:
     """Distinct inner quantile bounds (at most n − 1 numbers) of the target."""
-    if not 2 <= n <= MAX_BINS:
-        raise ValueError(f"n must be 2 to {MAX_BINS}")
+    if n < 2:
+        raise ValueError("a single bin tells nothing")
     probs = {f"q{i}": i / n for i in range(1, n)}
     row = exact_quantiles(train, [], col, probs).first()
     return sorted({float(row[q]) for q in probs if row[q] is not None})
@@ -28,7 +26,7 @@ def bin_bounds(train: DataFrame, n: int, col: str = "target") -> list[float]:
 
 def bin_of(value: Column, bounds: list[float]) -> Column:
     """Bin number: how many bounds lie below the value."""
-    return sum(((value > b).cast("int") for b in bounds), F.lit(0))
+    return F.size(F.filter(F.lit([float(b) for b in bounds]).cast("array<double>"), lambda b: value > b))
 
 
 def bins(train: DataFrame, n: int, col: str = "target") -> DataFrame:

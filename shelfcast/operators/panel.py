@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from ..functions.columns import as_col, full_period_end, first_full_period, period_of, period_range, ratio, shift_period
+from ..functions.columns import as_col, full_period_end, first_full_period, period_index, period_of, period_range, ratio, shift_period
 
 
 def by_series(keys: list[str]):
@@ -204,8 +204,6 @@ def column_report(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 def gap_report(panel: DataFrame, keys: list[str], freq: str) -> DataFrame:
     """Per series: first and last period, rows, and periods missing in between."""
-    from ..functions.columns import period_index
-
     i = period_index("period", freq)
     return panel.groupBy(*keys).agg(
         F.min("period").alias("first_period"),

@@ -33,7 +33,8 @@ def _cv2(y: Column) -> Column:
     """Population variance over squared mean, as n·Σy²/(Σy)² − 1: for whole quantities both sums are
     exact, so the order of rows cannot move a series across a class border."""
     total = F.sum(y)
-    return F.greatest(ratio(F.count(y) * F.sum(y * y), total * total) - 1, F.lit(0.0))
+    spread = ratio(F.count(y) * F.sum(y * y), total * total) - 1
+    return F.when(spread < 0, 0.0).otherwise(spread)  # null without demand
 
 
 def adi_cv2(panel: DataFrame, keys: list[str], n_periods=None) -> DataFrame:

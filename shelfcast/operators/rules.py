@@ -7,10 +7,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.columns import as_col, period_index, ratio
 from ..functions.ranks import running_total
 from ..functions.runtime import bounded_rows
+from ..functions.vectors import lit_json
 from .patterns import adi_cv2
 
 SBC = ["smooth", "erratic", "intermittent", "lumpy", "no_demand"]
-MAX_RULES = 500
 
 
 def classify_sbc(profile: DataFrame, adi: float = 1.32, cv2: float = 0.49) -> DataFrame:
@@ -77,24 +77,26 @@ def lifecycle(panel: DataFrame, keys: list[str], freq: str, asof, new_n: int, do
     return out.withColumn("stage", stage)
 
 
-def classify_rules(profile: DataFrame, rules: DataFrame, metrics: list[str], default: str = "unmatched") -> DataFrame:
-    """First matching rule by priority gives the label.
+def classify_rules(profile: DataFrame, rules: DataFrame, metrics: list[str], default: str = "unmatched", most: int = 100_000) -> DataFrame:
+    """First matching rule by priority gives the label; rules of equal priority go by label.
 
     A rule row has ``priority``, ``label`` and per metric ``<m>_lo`` (included) and ``<m>_hi`` (excluded);
-    a null bound is open. The rules, checked to be few, become one conditional expression, so the profile
-    is neither shuffled nor joined.
+    a null bound is open. The rules, checked to be at most ``most``, become one literal array, whatever
+    their number, so the profile is neither shuffled nor joined and no expression is nested in another.
     """
-    rows = sorted(bounded_rows(rules, MAX_RULES, "rule table"), key=lambda r: (r["priority"], r["label"]))
-    label: Column = F.lit(default)
-    for r in reversed(rows):
+    rows = sorted(bounded_rows(rules, most, "rule table"), key=lambda r: (r["priority"], r["label"]))
+    ends = [f"{m}_{end}" for m in metrics for end in ("lo", "hi")]
+    listed = [{"label": r["label"]} | {e: None if r[e] is None else float(r[e]) for e in ends} for r in rows]
+    table = lit_json(listed, f"array<struct<label: string, {', '.join(f'`{e}`: double' for e in ends)}>>")
+
+    def matches(r: Column) -> Column:
         hit = F.lit(True)
         for m in metrics:
-            if r[f"{m}_lo"] is not None:
-                hit = hit & (F.col(m) >= r[f"{m}_lo"])
-            if r[f"{m}_hi"] is not None:
-                hit = hit & (F.col(m) < r[f"{m}_hi"])
-        label = F.when(hit, r["label"]).otherwise(label)
-    return profile.withColumn("label", label)
+            lo, hi = r[f"{m}_lo"], r[f"{m}_hi"]
+            hit = hit & (lo.isNull() | F.coalesce(F.col(m) >= lo, F.lit(False))) & (hi.isNull() | F.coalesce(F.col(m) < hi, F.lit(False)))
+        return hit
+
+    return profile.withColumn("label", F.coalesce(F.get(F.filter(table, matches), F.lit(0))["label"], F.lit(default)))
 
 
 def transitions(panel: DataFrame, keys: list[str], cut) -> DataFrame:

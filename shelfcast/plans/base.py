@@ -66,6 +66,11 @@ def sparse_panel(
     return demand_panel(sales(spark, sf_dir, keys, span or order_span(spark, sf_dir, freq)), keys, freq)
 
 
+def whole_panel(spark: SparkSession, sf_dir: str, keys: list[str] = KEYS, freq: str = "month") -> DataFrame:
+    """Every sale, also those of partial first and last periods; rows only where something was sold."""
+    return demand_panel(sales(spark, sf_dir, keys), keys, freq)
+
+
 def panel(spark: SparkSession, sf_dir: str, keys: list[str] = KEYS, freq: str = "month") -> DataFrame:
     """Dense panel from the first to the last full period."""
     lo, hi = order_span(spark, sf_dir, freq)
@@ -114,6 +119,14 @@ sparse AS (
   FROM sales, span WHERE ds >= first_day AND ds < end_day GROUP BY ALL)"""
 
 
+def whole_sql(keys: str = "p_brand, c_nationkey", freq: str = "month") -> str:
+    return f"""{SALES_SQL},
+whole AS (
+  SELECT {keys}, CAST(date_trunc('{freq}', ds) AS DATE) AS period, sum(qty) AS qty,
+         sum(CAST(round(qty * price * 100) AS BIGINT)) / 100.0 AS revenue
+  FROM sales GROUP BY ALL)"""
+
+
 def panel_sql(keys: str = "p_brand, c_nationkey", freq: str = "month") -> str:
     return f"""{sparse_sql(keys, freq)},
 calendar AS (
@@ -128,6 +141,7 @@ panel AS (
 
 PANEL = "WITH " + panel_sql()
 SPARSE = "WITH " + sparse_sql()
+WHOLE = "WITH " + whole_sql()
 WEEKLY = "WITH " + panel_sql("p_brand", "week")
 
 

@@ -40,8 +40,9 @@ WEIGHT_SQL = """wt AS (
     SELECT *, CASE WHEN min(mae) OVER (PARTITION BY p_brand, c_nationkey) = 0
                    THEN CASE WHEN mae = 0 THEN 1.0 ELSE 0.0 END ELSE 1 / mae END AS raw FROM scored))"""
 COMBINED_SQL = """combined AS (
-  SELECT p_brand, c_nationkey, origin, period, h, 'combined' AS model, sum(weight * yhat) / sum(weight) AS yhat
-  FROM fc JOIN wt USING (p_brand, c_nationkey, model) GROUP BY ALL)"""
+  SELECT p_brand, c_nationkey, origin, period, h, 'combined' AS model,
+         coalesce(sum(weight * yhat) / nullif(sum(weight), 0), avg(yhat)) AS yhat
+  FROM fc LEFT JOIN wt USING (p_brand, c_nationkey, model) GROUP BY ALL)"""
 
 
 def known_segments(p):
@@ -56,8 +57,11 @@ def past_scores(p):
     return score(forecasts(p, PAST, actuals=True), KEYS, [*KEYS, "model"])
 
 
-@query("route_by_segment", PANEL + f""", {KNOWN_SBC}, {ROUTE_SQL}, {fc_sql([ORIGIN])}
-SELECT fc.*, segment FROM fc JOIN seg USING (p_brand, c_nationkey) JOIN routing USING (segment, model)""", rounded="yhat")
+@query("route_by_segment", PANEL + f""", {KNOWN_SBC}, {ROUTE_SQL}, {fc_sql([ORIGIN])},
+grid AS (SELECT DISTINCT p_brand, c_nationkey, origin, period, h FROM fc)
+SELECT p_brand, c_nationkey, origin, period, h, segment, routing.model, yhat
+FROM grid LEFT JOIN seg USING (p_brand, c_nationkey) LEFT JOIN routing USING (segment)
+LEFT JOIN fc USING (p_brand, c_nationkey, origin, period, h, model)""", rounded="yhat")
 def _(spark, sf):
     p = qty_panel(spark, sf)
     return Y.route(known_segments(p), ROUTING, forecasts(p, [ORIGIN]), KEYS)
@@ -144,15 +148,23 @@ CONFIG = Y.HybridConfig(
 )
 
 
-HYBRID_SQL = PANEL + f""", {KNOWN_SBC}, {ALL_FC}, {SPLIT}, {BY_SERIES}, {BEST_SQL}, {WEIGHT_SQL}, {COMBINED_SQL}
-SELECT p_brand, c_nationkey, segment, origin, period, h, model, yhat FROM fc JOIN seg USING (p_brand, c_nationkey)
-WHERE (segment = 'smooth' AND model = 'ses') OR (segment = 'lumpy' AND model = 'sba')
-UNION ALL
-SELECT p_brand, c_nationkey, segment, origin, period, h, model, yhat FROM combined JOIN seg USING (p_brand, c_nationkey)
-WHERE segment = 'erratic'
-UNION ALL
-SELECT p_brand, c_nationkey, segment, origin, period, h, fc.model, yhat FROM fc JOIN seg USING (p_brand, c_nationkey)
-JOIN best USING (p_brand, c_nationkey, model) WHERE segment = 'intermittent'"""
+# every series and step; what the routing gives, else the seasonal naive, else the mean of the segment, else 0
+FILL_SQL = """
+means AS (SELECT segment, avg(qty) AS mean FROM known JOIN seg USING (p_brand, c_nationkey)
+          WHERE period > DATE '2000-01-01' GROUP BY segment),
+grid AS (SELECT * FROM (SELECT DISTINCT p_brand, c_nationkey FROM panel), (SELECT CAST(h AS INTEGER) AS h FROM range(1, 7) AS r(h)))
+SELECT p_brand, c_nationkey, segment, DATE '2001-01-01' AS origin, CAST(DATE '2001-01-01' + to_months(h) AS DATE) AS period, h,
+       pick AS model, coalesce(r.yhat, n.yhat, mean, 0.0) AS yhat,
+       CASE WHEN r.yhat IS NOT NULL THEN 'routed' WHEN n.yhat IS NOT NULL THEN 'snaive' WHEN mean IS NOT NULL THEN 'segment' ELSE 'none' END AS source
+FROM grid LEFT JOIN seg USING (p_brand, c_nationkey) LEFT JOIN picks USING (p_brand, c_nationkey)
+LEFT JOIN (SELECT p_brand, c_nationkey, h, model AS pick, yhat FROM {all}) AS r USING (p_brand, c_nationkey, h, pick)
+LEFT JOIN (SELECT p_brand, c_nationkey, h, yhat FROM fc WHERE model = 'snaive') AS n USING (p_brand, c_nationkey, h)
+LEFT JOIN means USING (segment)"""
+HYBRID_SQL = PANEL + f""", {KNOWN_SBC}, {ALL_FC}, {SPLIT}, {BY_SERIES}, {BEST_SQL}, {WEIGHT_SQL}, {COMBINED_SQL},
+picks AS (SELECT p_brand, c_nationkey, CASE segment WHEN 'smooth' THEN 'ses' WHEN 'lumpy' THEN 'sba' WHEN 'erratic' THEN 'combined'
+                 WHEN 'intermittent' THEN best.model END AS pick FROM seg LEFT JOIN best USING (p_brand, c_nationkey)),
+either AS (SELECT p_brand, c_nationkey, h, model, yhat FROM fc UNION ALL SELECT p_brand, c_nationkey, h, model, yhat FROM combined),
+""" + FILL_SQL.replace("{all}", "either")
 
 
 @query("hybrid_run", HYBRID_SQL, rounded="yhat")

@@ -124,8 +124,8 @@ COLS = X.feature_names()
 
 
 def matrix(spark, sf):
-    """Feature matrix without rows that lack a feature (heads, and no sale yet)."""
-    return durable(X.supervised(qty_panel(spark, sf), KEYS, "month", h=1).dropna(subset=COLS))
+    """Feature matrix of all rows; heads and series without a sale yet lack some features."""
+    return durable(X.supervised(qty_panel(spark, sf), KEYS, "month", h=1))
 
 
 def split(sup):
@@ -161,7 +161,7 @@ def _(spark, sf):
 
 @query("ml_direct", rounded="yhat")
 def _(spark, sf):
-    return L.direct(stored_panel(spark, sf), KEYS, "month", ORIGIN, 3, partial(L.fit_linear, reg=0.1))
+    return L.direct(stored_panel(spark, sf), KEYS, "month", ORIGIN, H, partial(L.fit_linear, reg=0.1))
 
 
 @query("ml_recursive", rounded="yhat")
@@ -172,13 +172,13 @@ def _(spark, sf):
 @query("feature_importance", rounded="importance")
 def _(spark, sf):
     train, _ = split(matrix(spark, sf))
-    return L.importance(L.fit_gbt(train, KEYS, COLS), COLS, spark)
+    return L.importance(L.fit_gbt(train, KEYS, COLS), spark)
 
 
 @query("ml_backtest", rounded="mae rmse wape smape bias rmsle")
 def _(spark, sf):
     p = stored_panel(spark, sf)
-    sup = X.supervised(p, KEYS, "month", h=1).dropna(subset=COLS)
+    sup = X.supervised(p, KEYS, "month", h=1)
     cuts = [dt.date(2000, 2, 1), dt.date(2000, 8, 1), CUT]
     fc = L.backtest_model(sup, KEYS, COLS, cuts, dt.date(2001, 8, 1), partial(L.fit_linear, reg=0.1), "linear")
     return score(fc, KEYS, ["model", "cut"], actual=p)
@@ -319,10 +319,13 @@ def _(spark, sf):
     return E.lsh_pairs(v, q, d=0.95, bucket=0.5)
 
 
-ANALOG_TAIL = """
+ANALOG_TAIL = """,
+f AS (SELECT p_brand, c_nationkey, j, any_value(qm) + any_value(qd) * avg((nxt[j] - m) / d) AS yhat FROM top, range(1, 7) AS r(j) GROUP BY ALL),
+flat AS (SELECT p_brand, c_nationkey, avg(qty) FILTER (WHERE period > DATE '2000-01-01') AS flat FROM panel
+         WHERE period <= DATE '2001-01-01' GROUP BY ALL)
 SELECT p_brand, c_nationkey, DATE '2001-01-01' AS origin, '{name}' AS model, CAST(j AS INTEGER) AS h,
-       CAST(DATE '2001-01-01' + to_months(CAST(j AS INTEGER)) AS DATE) AS period, any_value(qm) + any_value(qd) * avg((nxt[j] - m) / d) AS yhat
-FROM top, range(1, 7) AS r(j) GROUP BY ALL"""
+       CAST(DATE '2001-01-01' + to_months(CAST(j AS INTEGER)) AS DATE) AS period, coalesce(yhat, flat) AS yhat
+FROM (SELECT * FROM flat, range(1, 7) AS r(j)) LEFT JOIN f USING (p_brand, c_nationkey, j)"""
 ANALOG_SQL = PANEL + """,
 w AS (SELECT p_brand, c_nationkey, period, list(qty) OVER b AS x, list(qty) OVER f AS nxt FROM panel WHERE period <= DATE '2001-01-01'
       WINDOW b AS (PARTITION BY p_brand, c_nationkey ORDER BY period ROWS BETWEEN 11 PRECEDING AND CURRENT ROW),
@@ -357,9 +360,18 @@ def _(spark, sf):
     return C.agreement(out, "label", "cluster")
 
 
-@query("embed_features", Z_SQL + f""", {supervised_sql(1)}
+KNOWN_Z = Z_SQL.replace("FROM panel", "FROM known").replace(PANEL, PANEL + ", known AS (SELECT * FROM panel WHERE period < DATE '2000-01-01')", 1)
+
+
+@query("embed_features", KNOWN_Z + f""", {supervised_sql(1)}
 SELECT s.*, {", ".join(f"z.{c} AS emb_{i + 1}" for i, c in enumerate(PROFILE))}
-FROM supervised s LEFT JOIN z USING (p_brand, c_nationkey) WHERE origin IS NOT NULL AND period IS NOT NULL""", rounded=" ".join([f"emb_{i}" for i in range(1, 6)] + ["mean_3", "sd_3", "zero_share_3", "mean_12", "sd_12", "zero_share_12"]))
+FROM supervised s LEFT JOIN z USING (p_brand, c_nationkey) WHERE origin IS NOT NULL AND period >= DATE '2000-01-01'""", rounded=" ".join([f"emb_{i}" for i in range(1, 6)] + ["mean_3", "sd_3", "zero_share_3", "mean_12", "sd_12", "zero_share_12"]))
 def _(spark, sf):
-    vectors = E.embed_stats(wide_profile(spark, sf), KEYS, PROFILE)
-    return E.add_embeddings(X.supervised(qty_panel(spark, sf), KEYS, "month"), vectors, KEYS, len(PROFILE))
+    return embedded_features(stored_panel(spark, sf), dt.date(2000, 1, 1))
+
+
+def embedded_features(p, cut):
+    """Features of the periods from ``cut`` on, with embeddings that know the periods before it only."""
+    wide = durable(T.wide_profile(p.where(F.col("period") < F.lit(cut)), KEYS).select(*KEYS, *PROFILE))
+    rows = X.supervised(p, KEYS, "month").where(F.col("period") >= F.lit(cut))
+    return E.add_embeddings(rows, E.embed_stats(wide, KEYS, PROFILE), KEYS, len(PROFILE))

@@ -12,7 +12,7 @@ from ..operators import panel as P
 from ..sources.panel_store import read_panel, write_panel
 from ..sources.sales import read_sales, read_sales_csv
 from ..sources.tables import SCHEMAS, table
-from .base import KEYS, PANEL, SALES_SQL, SPARSE, panel, sales, span_sql, sparse_panel, sparse_sql
+from .base import KEYS, PANEL, SALES_SQL, SPARSE, WHOLE, panel, sales, span_sql, sparse_panel, sparse_sql, whole_panel
 from .registry import query
 
 LINE_MAP = {
@@ -56,21 +56,22 @@ def _(spark, sf):
     )
 
 
-@query("write_panel", SPARSE + """
+@query("write_panel", WHOLE + """
 SELECT p_brand, c_nationkey, period, CASE WHEN year(period) = 1998 THEN 2 * qty ELSE qty END AS qty,
-       CAST(year(period) AS INTEGER) AS bucket FROM sparse""")
+       CAST(year(period) AS INTEGER) AS bucket FROM whole""")
 def _(spark, sf):
     # Write all years, then rerun one year with doubled demand: only its partition may change.
     path = scratch_path(spark, "panel")
-    p = sparse_panel(spark, sf).select(*KEYS, "period", "qty")
+    p = whole_panel(spark, sf).select(*KEYS, "period", "qty")
     write_panel(p, path)
     write_panel(p.where(F.year("period") == 1998).withColumn("qty", F.col("qty") * 2), path)
     return read_panel(spark, path, "p_brand string, c_nationkey int, period date, qty double, bucket int")
 
 
-@query("dedupe_exact", "SELECT DISTINCT l_orderkey, l_partkey, l_linenumber, l_returnflag FROM lineitem")
+@query("dedupe_exact", "SELECT DISTINCT * REPLACE (CAST(l_shipdate AS DATE) AS l_shipdate) FROM lineitem")
 def _(spark, sf):
-    return P.dedupe(table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag"))
+    lines = table(spark, sf, "lineitem")
+    return P.dedupe(lines.unionByName(lines)).withColumn("l_shipdate", F.col("l_shipdate").cast("date"))
 
 
 @query("dedupe_newest", """
@@ -206,15 +207,15 @@ def _(spark, sf):
     return P.resample(daily, ["p_brand"], "month", {"qty": "sum", "price": "avg"})
 
 
-@query("hierarchy_rollup", SPARSE + """
+@query("hierarchy_rollup", WHOLE + """
 SELECT CAST(GROUPING(p_brand, c_nationkey) AS BIGINT) AS level_id,
        CASE GROUPING(p_brand, c_nationkey) WHEN 0 THEN 'p_brand_c_nationkey' WHEN 1 THEN 'p_brand'
             WHEN 2 THEN 'c_nationkey' ELSE 'total' END AS level,
        p_brand, c_nationkey, period, sum(qty) AS qty
-FROM sparse
+FROM whole
 GROUP BY GROUPING SETS ((period), (p_brand, period), (c_nationkey, period), (p_brand, c_nationkey, period))""")
 def _(spark, sf):
-    return P.hierarchy(sparse_panel(spark, sf), [[], ["p_brand"], ["c_nationkey"], KEYS])
+    return P.hierarchy(whole_panel(spark, sf), [[], ["p_brand"], ["c_nationkey"], KEYS])
 
 
 def _column_sql(c: str, numeric: bool) -> str:
@@ -225,8 +226,8 @@ def _column_sql(c: str, numeric: bool) -> str:
     )
 
 
-REPORTED = {"l_orderkey": True, "l_partkey": True, "l_quantity": True, "l_discount": True,
-            "l_returnflag": False, "l_shipdate": False}
+# all columns; those of numbers also report negatives
+REPORTED = {name: kind in ("bigint", "int", "double") for name, kind in (c.split() for c in SCHEMAS["lineitem"].split(", "))}
 
 
 @query("quality_report", "\nUNION ALL\n".join(_column_sql(c, n) for c, n in REPORTED.items()))
@@ -234,12 +235,12 @@ def _(spark, sf):
     return P.column_report(table(spark, sf, "lineitem"), list(REPORTED))
 
 
-@query("quality_gaps", SPARSE + """
+@query("quality_gaps", WHOLE + """
 SELECT p_brand, c_nationkey, min(period) AS first_period, max(period) AS last_period, count(*) AS n_rows,
        CAST(date_diff('month', min(period), max(period)) + 1 - count(*) AS BIGINT) AS gaps
-FROM sparse GROUP BY ALL""")
+FROM whole GROUP BY ALL""")
 def _(spark, sf):
-    return P.gap_report(sparse_panel(spark, sf), KEYS, "month")
+    return P.gap_report(whole_panel(spark, sf), KEYS, "month")
 
 
 @query("time_split", PANEL + """

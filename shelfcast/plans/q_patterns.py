@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import period_index
 from ..operators import patterns as T, rules as R
 from ..sources.tables import table
-from .base import KEYS, PANEL, SPARSE, order_span, panel, sparse_panel, sparse_sql
+from .base import KEYS, PANEL, SALES_SQL, SPARSE, WHOLE, order_span, panel, sparse_panel, sparse_sql, whole_panel, whole_sql
 from .q_features import qty_panel
 from .registry import query
 
@@ -145,8 +145,8 @@ def _(spark, sf):
     return T.crosstab(segments(spark, sf).join(place, "c_nationkey"), "r_name", "segment", R.SBC)
 
 
-ITEMS_SQL = "WITH " + sparse_sql("l_partkey", "month") + """,
-items AS (SELECT l_partkey, sum(CAST(round(revenue * 100) AS BIGINT)) AS cents FROM sparse GROUP BY l_partkey),
+ITEMS_SQL = "WITH " + whole_sql("l_partkey", "month") + """,
+items AS (SELECT l_partkey, sum(CAST(round(revenue * 100) AS BIGINT)) AS cents FROM whole GROUP BY l_partkey),
 ranked AS (
   SELECT *, (sum(cents) OVER (ORDER BY cents DESC, l_partkey ROWS UNBOUNDED PRECEDING) - cents) / sum(cents) OVER () AS share_before
   FROM items),
@@ -156,7 +156,7 @@ abc AS (SELECT l_partkey, CAST(cents AS BIGINT) AS cents, share_before,
 
 
 def item_cents(spark, sf, keys):
-    p = sparse_panel(spark, sf, keys)
+    p = whole_panel(spark, sf, keys)
     return p.groupBy(*keys).agg(F.sum(F.round(F.col("revenue") * 100).cast("long")).alias("cents"))
 
 
@@ -165,8 +165,8 @@ def _(spark, sf):
     return R.classify_abc(item_cents(spark, sf, ["l_partkey"]), ["l_partkey"], "cents")
 
 
-@query("classify_abc_by", SPARSE + """,
-items AS (SELECT p_brand, c_nationkey, sum(CAST(round(revenue * 100) AS BIGINT)) AS cents FROM sparse GROUP BY ALL),
+@query("classify_abc_by", WHOLE + """,
+items AS (SELECT p_brand, c_nationkey, sum(CAST(round(revenue * 100) AS BIGINT)) AS cents FROM whole GROUP BY ALL),
 ranked AS (
   SELECT *, (sum(cents) OVER (PARTITION BY c_nationkey ORDER BY cents DESC, p_brand ROWS UNBOUNDED PRECEDING) - cents)
             / sum(cents) OVER (PARTITION BY c_nationkey) AS share_before FROM items)
@@ -187,8 +187,8 @@ def _(spark, sf):
     return R.classify_xyz(T.variation(panel(spark, sf), KEYS))
 
 
-@query("abc_xyz_matrix", PANEL + f""", {VARIATION_SQL},
-items AS (SELECT p_brand, c_nationkey, sum(CAST(round(revenue * 100) AS BIGINT)) AS cents FROM sparse GROUP BY ALL),
+@query("abc_xyz_matrix", PANEL + f""", {VARIATION_SQL}, {whole_sql().removeprefix(SALES_SQL + ",")},
+items AS (SELECT p_brand, c_nationkey, sum(CAST(round(revenue * 100) AS BIGINT)) AS cents FROM whole GROUP BY ALL),
 ranked AS (SELECT *, (sum(cents) OVER (ORDER BY cents DESC, p_brand, c_nationkey ROWS UNBOUNDED PRECEDING) - cents)
                      / sum(cents) OVER () AS s FROM items)
 SELECT CASE WHEN s < 0.8 THEN 'A' WHEN s < 0.95 THEN 'B' ELSE 'C' END AS abc, xyz, count(*) AS series,

@@ -44,19 +44,33 @@ def read_sales_csv(
 ) -> tuple[DataFrame, DataFrame]:
     """(sales, rejects) from CSV; a line that does not parse goes to rejects as its raw text.
 
-    One record per line, so that large files stay splittable. Lines are parsed as an expression rather
-    than by the CSV source, which does not allow a query on the rejected text alone.
+    With a header its names decide which column is which; a column of ``colmap`` that it lacks is an
+    error. All files of ``path`` must have the same header. One record per line, so that large files
+    stay splittable. Lines are parsed as an expression rather than by the CSV source, which does not
+    allow a query on the rejected text alone.
     """
     schema = as_schema(schema)
     undeclared = set(colmap.values()) - set(schema.names)
     if undeclared:
         raise ValueError(f"columns not in the declared schema: {sorted(undeclared)}")
-    with_reject = T.StructType([*schema.fields, T.StructField(REJECT, T.StringType())])
     lines = spark.read.text(path)
+    columns = schema.names
     if header:
-        lines = lines.where(F.col("value") != ",".join(schema.names))
+        # the CSV source reads the names from the first line of the first file
+        columns = [c.strip().removeprefix("\ufeff") for c in spark.read.option("header", True).csv(path).columns]
+        missing = set(colmap.values()) - set(columns)
+        if missing and columns:
+            raise ValueError(f"columns not in the header of {path}: {sorted(missing)}")
+        # a header line parses to the names, however it is quoted
+        spaced = ", ".join(f"c{i} string" for i in range(len(columns))) or "c0 string"
+        first = F.from_csv("value", spaced, {"ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"})
+        plain = F.regexp_replace(F.concat_ws(",", *[first[f"c{i}"] for i in range(len(columns))]), "\ufeff", "")
+        named = F.col("value").contains(columns[0]) if columns else F.lit(False)  # parsed only where it can be one
+        lines = lines.where(~(named & (plain == ",".join(columns))))
+    kinds = {f.name: f.dataType.simpleString() for f in schema.fields}
+    parsed_as = ", ".join([*(f"`{c}` {kinds.get(c, 'string')}" for c in columns), f"{REJECT} string"])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": REJECT}
-    parsed = lines.where(F.trim("value") != "").select(F.from_csv("value", ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in with_reject), options).alias("r"))
+    parsed = lines.where(F.trim("value") != "").select(F.from_csv("value", parsed_as, options).alias("r"))
     rows = parsed.select("r.*")
     good = _canonical(rows.where(F.col(REJECT).isNull()), colmap)
     return good, rows.where(F.col(REJECT).isNotNull()).select(F.col(REJECT).alias("line"))

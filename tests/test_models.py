@@ -106,7 +106,7 @@ def test_trees_beat_the_linear_model_on_steps(steps):
         fc = L.predict(fit(steps, ["s"], ["a", "b"]), steps, ["s"], name).join(steps.select("s", "label"), "s")
         error[name] = fc.agg(F.avg(F.abs(F.col("yhat") - F.col("label")))).first()[0]
     assert error["gbt"] < 0.3 * error["linear"] and error["forest"] < 0.6 * error["linear"]
-    top = L.importance(L.fit_gbt(steps.withColumn("junk", F.lit(1.0)), ["s"], ["a", "b", "junk"]), ["a", "b", "junk"], steps.sparkSession)
+    top = L.importance(L.fit_gbt(steps.withColumn("junk", F.lit(1.0)), ["s"], ["a", "b", "junk"]), steps.sparkSession)
     assert top.orderBy("rank").collect()[-1].feature == "junk"
 
 
