@@ -6,13 +6,10 @@ import json
 from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from .runtime import TooLarge, bounded_rows
-
-MAX_QUERIES = 2048  # queries shipped to the tasks; more go through the blocked join
-BLOCK_ROWS = 20_000  # vectors per task in the blocked join
+QUERY_ROWS = 2048  # queries per block
+BLOCK_ROWS = 20_000  # vectors per block
 CHUNK = 2048  # vectors compared at once
 
 
@@ -67,52 +64,19 @@ def _scan(queries: np.ndarray, query_ids: np.ndarray, batches: Iterator[tuple[np
     return found
 
 
-def _arrow_batches(batches: Iterator[pa.RecordBatch]):
-    for b in batches:
-        if b.num_rows:
-            flat = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            yield np.asarray(b.column(0).to_pylist()), flat.reshape(b.num_rows, -1)
-
-
 def topk_cosine(vectors: DataFrame, queries: DataFrame, k: int, id: str, emb: str) -> DataFrame:
     """The k vectors most cosine-similar to each query, exactly, without the query itself.
 
-    Columns: query_id, neighbour_id, similarity (9 places), rank; ties by id. Every task keeps only k
-    rows per query, so no pair list is ever built. Up to MAX_QUERIES queries travel with the tasks; more
-    are cut into blocks that meet blocks of vectors in a join, which is still exact and never holds
-    more than one block of each side.
+    Columns: query_id, neighbour_id, similarity (9 places), rank; ties by id. Blocks of queries meet
+    blocks of vectors in a join, so a task never holds more than one block of each side, and it keeps
+    only k rows per query: no pair list is ever built. Both sides are frames of any size.
     """
     vectors, queries = vectors.select(id, emb), queries.select(id, emb)
     id_type = vectors.schema[id].dataType
     out = T.StructType([
         T.StructField("query_id", id_type), T.StructField("neighbour_id", id_type), T.StructField("similarity", T.DoubleType()),
     ])
-    try:
-        rows = bounded_rows(queries, MAX_QUERIES, "queries")
-    except TooLarge:
-        local = _blocked(vectors, queries, k, id, emb, out)
-    else:
-        if not rows:
-            local = queries.sparkSession.createDataFrame([], out)
-        else:
-            query_ids = np.asarray([r[id] for r in rows])
-            matrix = np.asarray([r[emb] for r in rows], dtype=np.float64)
-            names = out.names
-
-            def scan(batches):
-                found = _scan(matrix, query_ids, _arrow_batches(batches), k)
-                if found is not None:
-                    q, ids, sims = found
-                    yield pa.RecordBatch.from_arrays([pa.array(query_ids[q]), pa.array(ids), pa.array(sims)], names=names)
-
-            local = vectors.mapInArrow(scan, out)
-    # k rows per query and task: small groups
-    w = W.partitionBy("query_id").orderBy(F.desc("similarity"), "neighbour_id")
-    return local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def _blocked(vectors: DataFrame, queries: DataFrame, k: int, id: str, emb: str, out: T.StructType) -> DataFrame:
-    blocks = -(-queries.count() // MAX_QUERIES)
+    blocks = max(1, -(-queries.count() // QUERY_ROWS))
     slices = max(1, -(-vectors.count() // BLOCK_ROWS))
     part = lambda n: F.pmod(F.xxhash64(id), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -131,4 +95,7 @@ def _blocked(vectors: DataFrame, queries: DataFrame, k: int, id: str, emb: str,
         return pd.DataFrame({"query_id": query_ids[q], "neighbour_id": j, "similarity": sims})
 
     by = ["_block", "_slice"]
-    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(scan, out)
+    local = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(scan, out)
+    # k rows per query and slice: small groups
+    w = W.partitionBy("query_id").orderBy(F.desc("similarity"), "neighbour_id")
+    return local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

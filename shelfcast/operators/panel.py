@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ..functions.columns import as_col, full_period_end, first_full_period, period_index, period_of, period_range, ratio, shift_period
@@ -55,6 +57,28 @@ def demand_panel(sales: DataFrame, keys: list[str], freq: str, date: str = "ds")
     return sales.groupBy(*keys, period_of(date, freq).alias("period")).agg(*aggs)
 
 
+def demand_panels(sales: DataFrame, keys: list[str], freqs: list[str], date: str = "ds") -> DataFrame:
+    """``demand_panel`` for several frequencies, one below the other with their name in ``freq``.
+
+    Lines are added up once, by day; longer periods are sums of days, and Spark reuses the daily shuffle.
+    """
+    day = F.col(date).cast("date")
+    sums = {"qty": F.sum("qty")}
+    if "price" in sales.columns:
+        sums["_cents"] = F.sum(F.round(F.col("qty") * F.col("price") * 100).cast("long"))
+    if "promo" in sales.columns:
+        sums["_promoted"] = F.sum(F.col("qty") * F.col("promo"))
+    daily = sales.groupBy(*keys, day.alias("_day")).agg(*[c.alias(n) for n, c in sums.items()])
+
+    def rolled(freq: str) -> DataFrame:
+        p = daily.groupBy(*keys, period_of("_day", freq).alias("period")).agg(*[F.sum(n).alias(n) for n in sums])
+        made = {"revenue": F.col("_cents") / F.lit(100.0)} if "_cents" in sums else {}
+        made |= {"promo": ratio("_promoted", "qty")} if "_promoted" in sums else {}
+        return p.select(F.lit(freq).alias("freq"), *keys, "period", "qty", *[c.alias(n) for n, c in made.items()])
+
+    return reduce(DataFrame.unionByName, [rolled(f) for f in freqs])
+
+
 def drop_partial(panel: DataFrame, freq: str, min_ds, max_ds, period: str = "period") -> DataFrame:
     """Keep the periods that data from min_ds to max_ds covers fully.
 

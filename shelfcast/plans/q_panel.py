@@ -113,12 +113,7 @@ SELECT 'day', p_brand, c_nationkey, ds, sum(qty),
        sum(CAST(round(qty * price * 100) AS BIGINT)) / 100.0, sum(qty * promo) / sum(qty)
 FROM sales GROUP BY ALL""")
 def _(spark, sf):
-    s = sales(spark, sf)
-    out = None
-    for freq in ("day", "week", "month"):
-        one = P.demand_panel(s, KEYS, freq).select(F.lit(freq).alias("freq"), "*")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return P.demand_panels(sales(spark, sf), KEYS, ["day", "week", "month"])
 
 
 @query("densify", PANEL + " SELECT * FROM panel")

@@ -71,7 +71,7 @@ def _brute(ids, m, k):
 @pytest.mark.parametrize("blocked", [False, True])
 def test_topk_is_exact_with_many_copies(spark, monkeypatch, blocked):
     if blocked:
-        monkeypatch.setattr(vectors, "MAX_QUERIES", 16)
+        monkeypatch.setattr(vectors, "QUERY_ROWS", 16)
         monkeypatch.setattr(vectors, "BLOCK_ROWS", 20)
     monkeypatch.setattr(vectors, "CHUNK", 7)
     rng = np.random.default_rng(3)
