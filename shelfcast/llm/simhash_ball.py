@@ -71,13 +71,17 @@ def with_neighbours(fps: DataFrame) -> DataFrame:
 
 def links(fps: DataFrame) -> DataFrame:
     """(a, b) among distinct values ``fp``: stars that connect whatever links at 3 or fewer bits connect."""
+    # a fingerprint becomes up to 2017 rows, so tasks must not be cut by the size of their input
+    tasks = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), fps.count() // 2000)
+    fps = fps.repartition(tasks, "fp")
     even = F.bit_count("fp") % 2 == 0
     ball = F.when(even, F.lit([0, *_flips(64, 2)])).otherwise(F.lit(_flips(64, 1)))
     met = fps.select("fp", F.explode(ball).alias("flip")).select(
         F.col("fp").bitwiseXOR(F.col("flip")).alias("middle"), "fp", (F.bit_count("flip") < 2).alias("close")
     )
-    # at most 2081 words lie within 2 flips of a middle, so these lists are bounded
-    met = met.groupBy("middle").agg(F.collect_list("fp").alias("all"), F.min(F.when(F.col("close"), F.col("fp"))).alias("hub"))
+    # at most 2081 words lie within 2 flips of a middle, so these lists are bounded; most have one
+    # fingerprint, so there is nothing to aggregate before the shuffle
+    met = met.repartition("middle").groupBy("middle").agg(F.collect_list("fp").alias("all"), F.min(F.when(F.col("close"), F.col("fp"))).alias("hub"))
     stars = met.where("hub IS NOT NULL AND size(all) > 1").select(F.col("hub").alias("a"), F.explode("all").alias("b"))
     return stars.where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)).distinct()
 
