@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions.runtime import durable
 from .common import table
 
 # Licence texts as published.
@@ -91,9 +92,8 @@ def known() -> list[tuple[str, str]]:
     return TEXTS + [(spdx, f"{opening} {name}") for spdx, names in NAMES.items() for name in names for opening in OPENINGS]
 
 
-def canonical_line(line: Column) -> Column:
-    """Lower case, words only, equivalent spellings made one; empty for a line that states a copyright."""
-    low = F.translate(line, UPPER, LOWER)
+def canonical_line(low: Column) -> Column:
+    """Words only, equivalent spellings made one; empty for a line that states a copyright. For a line in lower case."""
     # two spaces between words, so that neighbouring words can both be replaced
     out = F.concat(F.lit(" "), F.replace(F.regexp_replace(low, SIGNS, " "), F.lit(" "), F.lit("  ")), F.lit(" "))
     for other, one in SPELLINGS:
@@ -103,7 +103,9 @@ def canonical_line(line: Column) -> Column:
 
 
 def canonical_lines(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, "\n"), canonical_line), lambda x: x != "")
+    """Lines that are left, made canonical. Only A-Z get lower case; lower() is the quicker way if there is nothing else."""
+    low = F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+    return F.filter(F.transform(F.split(low, "\n"), canonical_line), lambda x: x != "")
 
 
 def digests(spark: SparkSession, texts: list[tuple[str, str]]) -> DataFrame:
@@ -121,19 +123,26 @@ def scan(docs: DataFrame, texts: list[tuple[str, str]], doc_id: str = "doc_id",
     are a list given by the caller, so that side is broadcast; documents are not shuffled but for the
     few that have notices.
     """
+    spark = docs.sparkSession
+    listed = F.broadcast(digests(spark, texts))
+    # hashes of the listed texts sort out the lines that are looked up
+    quick = [r["h"] for r in spark.createDataFrame(texts, "license string, text string").select(F.xxhash64(F.array_join(canonical_lines(F.col("text")), " ")).alias("h")).distinct().collect()]
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(body).alias("hash"), canonical_lines(body).alias("lines"))
-    listed = F.broadcast(digests(docs.sparkSession, texts))
-    lines = rows.select("doc_id", "hash", F.posexplode("lines").alias("place", "line")).select("doc_id", "hash", "place", F.sha2("line", 256).alias("digest"))
+    lines = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(body).alias("hash"), canonical_lines(body).alias("lines"))
+    # stored, so that every text is made canonical once
+    rows = durable(lines.select(
+        "doc_id", "hash", F.sha2(F.array_join("lines", " "), 256).alias("text_digest"),
+        F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("place"), x.alias("line"))), lambda x: F.xxhash64(x["line"]).isin(quick)).alias("found"),
+    ))
+    asked = rows.select("doc_id", "hash", F.inline("found")).select("doc_id", "hash", "place", F.sha2("line", 256).alias("digest"))
     # places, for repeated rows are counted together
     found = (
-        lines.join(listed, "digest").groupBy("doc_id", "hash", "license", "place").agg(F.lit(1).alias("one"))
+        asked.join(listed, "digest").groupBy("doc_id", "hash", "license", "place").agg(F.lit(1).alias("one"))
         .groupBy("doc_id", "hash").agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices"), F.count("*").alias("n"))
+        .select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"), "notices", "n")
     )
-    whole = rows.select("doc_id", "hash", F.sha2(F.array_join("lines", " "), 256).alias("text_digest"))
-    whole = whole.join(listed.withColumnRenamed("digest", "text_digest"), "text_digest", "left")
-    repeats = found.select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"), "notices", "n")
-    joined = whole.join(repeats, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")), "left")
+    whole = rows.drop("found").join(listed.withColumnRenamed("digest", "text_digest"), "text_digest", "left")
+    joined = whole.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")), "left")
     return joined.select("doc_id", "text_digest", "license", F.coalesce("notices", F.lit("")).alias("notices"), F.coalesce("n", F.lit(0)).alias("n_notices"))
 
 
