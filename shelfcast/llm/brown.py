@@ -1,14 +1,15 @@
 """Language-model scores from a Brown class bigram model.
 
 The probability of a word is that of its class after the class of the word before, times that of the
-word in its class. Words that are at least a millionth (2^-20) of all tokens get their classes by
-exchange: round by round, part by part, each word moves to the class that raises the likelihood of
-the class bigrams most. There are 2^20 such words at most, whatever the corpus, so their classes may
-go to every task. All other words, those that were never seen among them, share classes by their
-last two bytes; their own counts still decide their probability in the class.
-
-Counts of words and of symbol pairs are made by Spark over all training documents; the driver holds
-the classes, the class bigrams and the counts of the frequent words.
+word in its class. Words that are at least 2^-17 of all tokens get their classes by exchange: round
+by round, part by part, each word moves to the class that raises the likelihood of the class bigrams
+most. All other words, those that were never seen among them, share classes by their last two bytes;
+their own counts still decide their probability in the class.
+
+Counts of words and of symbol pairs are made by Spark over all training documents. There are at most
+2^17 words to move and at most 2^20 words that are 2^-20 of all tokens, whatever the corpus, so the
+classes of the former and the counts of the latter may go to every task; the counts of all other
+words are joined.
 """
 
 from __future__ import annotations
@@ -26,13 +27,14 @@ from .common import map_texts, table, words_of
 
 CLASSES = 64
 ENDINGS = 31
+#: Words that are one in so many tokens at least are moved between classes.
+MOVED = 2**17
+#: The counts of words that are one in so many tokens at least go to every task.
 SHARE = 2**20
 LEAST = 8
 ADD = 0.1
 #: Weight of the class's own probability in transitions, in tokens.
 PRIOR = 50.0
-#: Parts of a log10 in whole numbers, whose sums do not depend on their order.
-UNIT = 1e9
 
 
 def fold(doc_id: str, folds: int = 10) -> Column:
@@ -46,19 +48,20 @@ def ending(word: bytes) -> int:
 
 @dataclass
 class Model:
-    index: dict[bytes, int]
+    index: dict[bytes, int]  # frequent words, most frequent first
     counts: np.ndarray  # of the frequent words
+    symbol: np.ndarray  # of the frequent words: a number of its own, or that of its ending
     tokens: int
     kinds: int
     ends: int
-    classes: np.ndarray  # class of each symbol: frequent words, endings, end
+    classes: np.ndarray  # class of each symbol: moved words, endings, end
     pairs: np.ndarray  # class bigrams
-    rare_kinds: np.ndarray  # rare training words per ending
+    kinds_by_ending: np.ndarray  # training words that share the class of an ending
     words: DataFrame = field(repr=False)  # word, ending, n of all training words
 
     @property
-    def symbols(self) -> int:
-        return len(self.index) + ENDINGS + 1
+    def moved(self) -> int:
+        return len(self.classes) - ENDINGS - 1
 
     def transitions(self) -> np.ndarray:
         """log10 of class given class before; a mixture with the share of the class keeps all above 0."""
@@ -69,18 +72,26 @@ class Model:
     def base(self, n: np.ndarray | float) -> np.ndarray:
         return np.log10((n + ADD) / (self.tokens + ADD * (self.kinds + 1)))
 
-    def rare_total(self) -> np.ndarray:
+    def by_ending(self) -> np.ndarray:
         """Denominator of the probability of a word in the class of its ending, one unseen word included."""
-        per_class = self.pairs.sum(axis=0)[CLASSES : CLASSES + ENDINGS]
-        return per_class + ADD * (self.rare_kinds + 1)
+        return self.pairs.sum(axis=0)[CLASSES : CLASSES + ENDINGS] + ADD * (self.kinds_by_ending + 1)
 
+    def inside(self) -> np.ndarray:
+        """log10 of each frequent word in its class."""
+        own = self.symbol < self.moved
+        share = np.empty(len(self.counts))
+        share[own] = self.counts[own] / self.pairs.sum(axis=0)[self.classes[self.symbol[own]]]
+        share[~own] = (self.counts[~own] + ADD) / self.by_ending()[self.symbol[~own] - self.moved]
+        return np.log10(share)
 
-def _sequence(text: str | None, index: dict[bytes, int], words: list[bytes]) -> np.ndarray:
+
+def _sequence(words: list[bytes], symbols: dict[bytes, int], moved: int) -> np.ndarray:
     """Symbols of a text between two ends."""
-    size, get = len(index), index.get
-    end = size + ENDINGS
-    ids = [get(w, -1) for w in words]
-    return np.array([end, *(i if i >= 0 else size + ending(w) for i, w in zip(ids, words)), end], "int64")
+    get, end = symbols.get, moved + ENDINGS
+    found = [get(w, -1) for w in words]
+    if -1 in found:
+        found = [s if s >= 0 else moved + ending(w) for s, w in zip(found, words)]
+    return np.array([end, *found, end], "int64")
 
 
 def count_words(train: DataFrame) -> DataFrame:
@@ -92,7 +103,7 @@ def count_words(train: DataFrame) -> DataFrame:
         def rows() -> pa.RecordBatch:
             words = list(seen)
             return pa.RecordBatch.from_arrays(
-                [pa.array([w.decode() for w in words], pa.string()), pa.array([ending(w) for w in words], pa.int32()), pa.array(list(seen.values()), pa.int64())],
+                [pa.array(words, pa.binary()).cast(pa.string()), pa.array([ending(w) for w in words], pa.int32()), pa.array(list(seen.values()), pa.int64())],
                 ["word", "ending", "n"],
             )
 
@@ -108,47 +119,94 @@ def count_words(train: DataFrame) -> DataFrame:
     return durable(counted.groupBy("word", "ending").agg(F.sum("n").alias("n")))
 
 
-def count_pairs(train: DataFrame, index: dict[bytes, int]) -> DataFrame:
-    """(pair, n): symbol times the number of symbols plus the symbol that follows, stored."""
-    shared, symbols = train.sparkSession.sparkContext.broadcast(index), len(index) + ENDINGS + 1
+def _summed(values: list[np.ndarray], n: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct values, how often each occurs)."""
+    seen = pa.array(np.concatenate(values)).dictionary_encode()
+    weights = None if n is None else np.concatenate(n)
+    return seen.dictionary.to_numpy(), np.bincount(seen.indices.to_numpy(), weights, len(seen.dictionary)).astype("int64")
+
+
+def count_pairs(train: DataFrame, symbols: dict[bytes, int], moved: int) -> DataFrame:
+    """(a, b, n): symbols that follow each other, stored."""
+    shared, size = train.sparkSession.sparkContext.broadcast(symbols), moved + ENDINGS + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(held: list[np.ndarray]) -> pa.RecordBatch:
-            pairs, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n.astype("int64"))], ["pair", "n"])
+            pairs, n = _summed(held)
+            return pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n)], ["pair", "n"])
 
-        held, size = [], 0
+        held, found = [], 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                s = _sequence(text, shared.value, words_of(text))
-                held.append(s[:-1] * symbols + s[1:])
-                size += len(s)
-                if size > 4_000_000:
+                s = _sequence(words_of(text), shared.value, moved)
+                held.append(s[:-1] * size + s[1:])
+                found += len(s)
+                if found > 4_000_000:
                     yield rows(held)
-                    held, size = [], 0
+                    held, found = [], 0
         if held:
             yield rows(held)
 
-    return durable(train.select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")))
+    counted = train.select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    return durable(counted.selectExpr(f"CAST(pair DIV {size} AS INT) AS a", f"CAST(pair % {size} AS INT) AS b", "n"))
+
+
+def neighbours(pairs: DataFrame, moved: int) -> DataFrame:
+    """(word, around): all symbols beside each moved word, stored.
+
+    ``around`` lists (slot, n), slot being twice the symbol and 1 more where it stands before the
+    word: at most two entries per symbol. A pair of a word with itself is left out.
+    """
+    beside = lambda word, other, before: pairs.where(f"{word} < {moved} AND a <> b").select(
+        F.col(word).alias("word"), F.struct((F.col(other) * 2 + before).alias("slot"), F.col("n")).alias("x")
+    )
+    both = beside("a", "b", 0).unionByName(beside("b", "a", 1))
+    # the most frequent words have the longest lists: deal words out one by one
+    grouped = both.groupBy("word").agg(F.collect_list("x").alias("around"))
+    return durable(grouped.repartition(max(8, min(1024, moved // 64)), "word"))
+
+
+def _contexts(batch: pa.RecordBatch, classes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words, how often each class follows each word, how often it precedes it)."""
+    words, lists = batch.column(0).to_numpy(), batch.column(1)
+    row = np.repeat(np.arange(len(words)), np.asarray(lists.value_lengths()))
+    slot, n = (lists.flatten().field(i).to_numpy() for i in range(2))
+    cell = (row * 2 + slot % 2) * k + classes[slot // 2]
+    counts = np.bincount(cell, n, len(words) * 2 * k).reshape(len(words), 2, k)
+    return words, counts[:, 0], counts[:, 1]
 
 
-def class_pairs(pairs: DataFrame, classes: np.ndarray) -> np.ndarray:
-    """Class bigrams: at most classes² numbers per task are summed."""
-    symbols, k = len(classes), int(classes.max()) + 1
-    shared = pairs.sparkSession.sparkContext.broadcast(classes)
+def class_pairs(around: DataFrame, fixed: np.ndarray, classes: np.ndarray, moved: int) -> np.ndarray:
+    """Class bigrams. ``fixed`` are those that no move changes, and pairs of a word with itself are in ``around`` of none."""
+    k = int(classes.max()) + 1
+    shared = around.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(k * k, "int64")
+        total, cls = np.zeros((k, k)), shared.value
         for batch in batches:
-            pair, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            np.add.at(total, shared.value[pair // symbols] * k + shared.value[pair % symbols], n)
+            words, right, left = _contexts(batch, cls, k)
+            np.add.at(total, cls[words], right)
+            # pairs of two moved words count where the first one stands
+            left[:, : CLASSES] = 0
+            np.add.at(total.T, cls[words], left)
         some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["cell", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total.ravel()[some].astype("int64"))], ["cell", "n"])
 
-    out = np.zeros(k * k, "int64")
-    got = pairs.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out[got["cell"].to_numpy()] = got["n"].to_numpy()
-    return out.reshape(k, k)
+    got = around.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = fixed.copy()
+    out.ravel()[got["cell"].to_numpy()] += got["n"].to_numpy()
+    return out
+
+
+def fixed_pairs(pairs: DataFrame, moved: int) -> tuple[np.ndarray, np.ndarray]:
+    """(class bigrams of endings and end, pairs of each moved word with itself)."""
+    k = CLASSES + ENDINGS + 1
+    fixed, own = np.zeros((k, k), "int64"), np.zeros(moved, "int64")
+    for r in pairs.where(f"a >= {moved} AND b >= {moved}").collect():  # at most (ENDINGS + 1)² rows
+        fixed[r["a"] - moved + CLASSES, r["b"] - moved + CLASSES] = r["n"]
+    same = pairs.where(f"a = b AND a < {moved}").select("a", "n").toArrow()
+    own[same["a"].to_numpy()] = same["n"].to_numpy()
+    return fixed, own
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -180,74 +238,59 @@ def best_classes(own: np.ndarray, right: np.ndarray, left: np.ndarray, pairs: np
     return gain.argmax(axis=1)
 
 
-def exchange(pairs: DataFrame, classes: np.ndarray, words: int, part: int, parts: int) -> np.ndarray:
-    """One step: the words of a part move, all judged by the same class bigrams."""
-    counts = class_pairs(pairs, classes)
-    symbols, k = len(classes), len(counts)
-    shared = pairs.sparkSession.sparkContext.broadcast((classes, counts))
-
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cls, _ = shared.value
-        for batch in batches:
-            pair, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            a, b = pair // symbols, pair % symbols
-            cells, weights = [], []
-            for word, slot in ((a, cls[b]), (b, k + cls[a])):
-                mine = (word < words) & (word % parts == part) & (a != b)
-                cells.append(word[mine] * (2 * k) + slot[mine])
-                weights.append(n[mine])
-            cell, of = np.unique(np.concatenate(cells), return_inverse=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cell // (2 * k)), pa.array((cell % (2 * k)).astype("int32")), pa.array(np.bincount(of, np.concatenate(weights)).astype("int64"))],
-                ["word", "slot", "n"],
-            )
+def exchange(around: DataFrame, counts: np.ndarray, classes: np.ndarray, part: int, parts: int) -> np.ndarray:
+    """One step: the words of a part move, all judged by the same class bigrams. No shuffle."""
+    k = len(counts)
+    shared = around.sparkSession.sparkContext.broadcast((classes, counts))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cls, m = shared.value
         for batch in batches:
-            word = batch.column(0).to_numpy()
-            out = np.empty(len(word), "int64")
-            for at in range(0, len(word), 64):
-                some = word[at : at + 64]
-                around = np.zeros((len(some), 2 * k))
-                for i, cells in enumerate(batch.column(1)[at : at + 64].to_pylist()):
-                    for c in cells:
-                        around[i, c["slot"]] = c["n"]
-                out[at : at + 64] = best_classes(cls[some], around[:, :k], around[:, k:], m)
-            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(out)], ["word", "class"])
-
-    summed = pairs.mapInArrow(contexts, "word long, slot int, n long").groupBy("word", "slot").agg(F.sum("n").alias("n"))
-    # a word has at most two entries per class
-    moved = summed.groupBy("word").agg(F.collect_list(F.struct("slot", "n")).alias("around")).mapInArrow(judge, "word long, class long").toArrow()
+            words, right, left = _contexts(batch, cls, k)
+            at = [slice(i, i + 64) for i in range(0, len(words), 64)]
+            best = np.concatenate([best_classes(cls[words[x]], right[x], left[x], m) for x in at])
+            yield pa.RecordBatch.from_arrays([pa.array(words.astype("int64")), pa.array(best)], ["word", "class"])
+
+    moved = around.where(F.col("word") % parts == part).mapInArrow(judge, "word long, class long").toArrow()
     out = classes.copy()
     out[moved["word"].to_numpy()] = moved["class"].to_numpy()
     return out
 
 
-def fit(train: DataFrame, rounds: int = 3, parts: int = 3) -> Model:
+def fit(train: DataFrame, rounds: int = 3, parts: int = 2) -> Model:
     """Learn from the ``text`` column of all rows. A null text is empty."""
     words = count_words(train)
     total = words.agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).first()
     texts = train.count()
     tokens, kinds = (total["n"] or 0) + texts, total["kinds"] + (texts > 0)
     # at most SHARE words have a share of 1 / SHARE
-    frequent = (F.col("n") >= LEAST) & (F.col("n") * SHARE >= tokens)
-    rows = words.where(frequent).select("word", "n").toArrow()
+    rows = words.where((F.col("n") >= LEAST) & (F.col("n") * SHARE >= tokens)).select("word", "n").toArrow()
     order = sorted(zip(rows["n"].to_pylist(), rows["word"].to_pylist()), key=lambda x: (-x[0], x[1]))
     index = {w.encode(): i for i, (_, w) in enumerate(order)}
-    rare = {r["ending"]: r["n"] for r in words.where(~frequent).groupBy("ending").agg(F.count("*").alias("n")).collect()}
-    pairs = count_pairs(train, index)
-    fixed = np.arange(CLASSES, CLASSES + ENDINGS + 1)
-    classes = np.concatenate([np.arange(len(index)) % CLASSES, fixed])
-    for _ in range(rounds if index else 0):
+    counts = np.array([n for n, _ in order], "int64")
+    moved = int((counts * MOVED >= tokens).sum())
+    symbol = np.array([i if i < moved else moved + ending(w) for w, i in index.items()], "int64")
+    few = (F.col("n") < LEAST) | (F.col("n") * MOVED < tokens)
+    by_ending = {r["ending"]: r["n"] for r in words.where(few).groupBy("ending").agg(F.count("*").alias("n")).collect()}
+
+    pairs = count_pairs(train, dict(zip(index, symbol.tolist())), moved)
+    around = neighbours(pairs, moved)
+    fixed, own = fixed_pairs(pairs, moved)
+    classes = np.concatenate([np.arange(moved) % CLASSES, np.arange(CLASSES, CLASSES + ENDINGS + 1)])
+
+    def bigrams(classes: np.ndarray) -> np.ndarray:
+        out = class_pairs(around, fixed, classes, moved)
+        np.add.at(out, (classes[:moved], classes[:moved]), own)
+        return out
+
+    for _ in range(rounds if moved else 0):
         before = classes
         for part in range(parts):
-            classes = exchange(pairs, classes, len(index), part, parts)
+            classes = exchange(around, bigrams(classes), classes, part, parts)
         if (classes == before).all():
             break
     return Model(
-        index, np.array([n for n, _ in order], "int64"), tokens, kinds, texts, classes, class_pairs(pairs, classes),
-        np.array([rare.get(k, 0) for k in range(ENDINGS)]), words,
+        index, counts, symbol, tokens, kinds, texts, classes, bigrams(classes), np.array([by_ending.get(k, 0) for k in range(ENDINGS)]), words,
     )
 
 
@@ -255,59 +298,70 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") ->
     """The ``keep`` columns, n_tokens, n_known, train_tokens, base_score and score of whole texts.
 
     Frequent words are scored where the text lies. Each other word of a text is joined to its count;
-    texts that are equal share these sums.
+    texts that are equal share these sums. Scores are rounded to 7 places, since doubles are added in
+    any order.
     """
     spark = docs.sparkSession
-    step, per_class = model.transitions(), model.pairs.sum(axis=0)
-    inside = np.concatenate([np.log10(model.counts / np.maximum(per_class[model.classes[: len(model.index)]], 1)), np.zeros(ENDINGS + 1)])
-    base = np.concatenate([model.base(model.counts), np.zeros(ENDINGS), [model.base(model.ends)]])
-    shared = spark.sparkContext.broadcast((model.index, model.classes, step, inside, base))
+    end_base = float(model.base(model.ends))
+    shared = spark.sparkContext.broadcast((model.index, model.symbol, model.classes, model.transitions(), model.inside(), model.base(model.counts)))
+    moved = model.moved
 
     def compute(texts: list[str | None]) -> dict:
-        index, classes, step, inside, base = shared.value
-        end = len(index) + ENDINGS
-        out = {"n_tokens": [], "frequent": [], "part_base": [], "part_score": [], "rare": []}
+        index, symbol, classes, step, inside, base = shared.value
+        out = {"n_tokens": [], "frequent": [], "part_base": [], "part_score": []}
+        rare, times, offsets = [], [], [0]
         for t in texts:
             words = words_of(t)
-            s = _sequence(t, index, words)
+            ids = np.array([index.get(w, -1) for w in words], "int64")
+            known = ids >= 0
+            seen = ids[known]
+            s = np.empty(len(ids) + 2, "int64")
+            s[0] = s[-1] = moved + ENDINGS
+            body = s[1:-1]
+            body[known] = symbol[seen]
+            others = [words[i] for i in np.flatnonzero(~known)]
+            body[~known] = [moved + ending(w) for w in others]
             c = classes[s]
-            told = s[1:]
-            out["n_tokens"].append(len(told))
-            out["frequent"].append(int((told < len(index)).sum()))
-            out["part_base"].append(round(float(base[told].sum()) * UNIT))
-            out["part_score"].append(round(float(step[c[:-1], c[1:]].sum() + inside[told].sum()) * UNIT))
-            rare = Counter(words[i].decode() for i in np.flatnonzero((told >= len(index)) & (told < end)))
-            out["rare"].append([{"word": w, "n": n} for w, n in rare.items()])
+            out["n_tokens"].append(len(ids) + 1)
+            out["frequent"].append(len(seen))
+            out["part_base"].append(float(base[seen].sum()) + end_base)
+            out["part_score"].append(float(step[c[:-1], c[1:]].sum() + inside[seen].sum()))
+            several = Counter(others)
+            rare += several
+            times += several.values()
+            offsets.append(len(rare))
+        at = pa.array(offsets, pa.int32())
+        # Arrow takes the bytes as they are; they are whole UTF-8 words
+        out["rare"] = pa.ListArray.from_arrays(at, pa.array(rare, pa.binary()).cast(pa.string()))
+        out["times"] = pa.ListArray.from_arrays(at, pa.array(times, pa.int64()))
         return out
 
-    schema = "n_tokens long, frequent long, part_base long, part_score long, rare array<struct<word: string, n: long>>"
+    schema = "n_tokens long, frequent long, part_base double, part_score double, rare array<string>, times array<long>"
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     named = docs.select(*[F.col(f"`{c}`") for c in keep], F.xxhash64(body).alias("_hash"), F.crc32(body.cast("binary")).alias("_crc"), body.alias("_body"))
     parts = durable(map_texts(named, [*keep, "_hash", "_crc"], "_body", schema, compute))
 
-    again = parts.select("_hash", "_crc", F.explode("rare").alias("r")).select("_hash", "_crc", "r.word", F.col("r.n").alias("m"))
-    counted = again.join(model.words, "word", "left").withColumn("c", F.coalesce("n", F.lit(0)))
-    last = F.substring(F.col("word").cast("binary"), F.greatest(F.length(F.col("word").cast("binary")) - 1, F.lit(1)), F.lit(2))
-    number = F.conv(F.hex(last), 16, 10).cast("long") % ENDINGS
-    totals = F.lit([float(x) for x in model.rare_total()])
-    # wide numbers: rows of one text may be a third of all
-    whole = lambda p: F.round(F.log10(p) * UNIT).cast("decimal(38,0)") * F.col("m")
+    again = parts.select("_hash", "_crc", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("_hash", "_crc", F.col("r.rare").alias("word"), F.col("r.times").alias("m"))
+    # a word is one row of the counts, so a hash table of a partition of them has no long chain
+    counted = again.join(model.words.select("word", "n").hint("shuffle_hash"), "word", "left").withColumn("c", F.coalesce("n", F.lit(0)))
+    number = F.conv(F.hex(F.substring(F.encode("word", "utf-8"), -2, 2)), 16, 10).cast("long") % ENDINGS
+    totals = F.lit([float(x) for x in model.by_ending()])
     under = F.lit(float(model.tokens + ADD * (model.kinds + 1)))
+    log = lambda below: F.sum(F.log10((F.col("c") + ADD) / below) * F.col("m"))
     sums = counted.groupBy("_hash", "_crc").agg(
         F.sum(F.when(F.col("c") > 0, F.col("m")).otherwise(0)).alias("known"),
-        F.sum(whole((F.col("c") + ADD) / under)).alias("rare_base"),
-        F.sum(whole((F.col("c") + ADD) / F.element_at(totals, (number + 1).cast("int")))).alias("rare_score"),
+        log(under).alias("rare_base"),
+        log(F.element_at(totals, (number + 1).cast("int"))).alias("rare_score"),
     )
     # equal texts have added up the same sums as often as there are rows of them
     rows = parts.groupBy("_hash", "_crc").agg(F.count("*").alias("rows"))
     sums = sums.join(rows, ["_hash", "_crc"])
-    part = lambda c: F.coalesce(F.expr(f"CAST({c} DIV rows AS BIGINT)"), F.lit(0))
-    ends = int(model.ends > 0)
+    part = lambda c: F.coalesce(F.col(c) / F.col("rows"), F.lit(0.0))
     return parts.join(sums, ["_hash", "_crc"], "left").select(
-        *[F.col(f"`{c}`") for c in keep], "n_tokens", (F.col("frequent") + part("known") + ends).alias("n_known"),
+        *[F.col(f"`{c}`") for c in keep], "n_tokens", (F.col("frequent") + part("known").cast("long") + int(model.ends > 0)).alias("n_known"),
         F.lit(model.tokens).cast("long").alias("train_tokens"),
-        ((F.col("part_base") + part("rare_base")) / UNIT).alias("base_score"),
-        ((F.col("part_score") + part("rare_score")) / UNIT).alias("score"),
+        F.round(F.col("part_base") + part("rare_base"), 7).alias("base_score"),
+        F.round(F.col("part_score") + part("rare_score"), 7).alias("score"),
     )
 
 

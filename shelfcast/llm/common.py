@@ -22,18 +22,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def map_texts(docs: DataFrame, keep: list[str], text: str, schema: str, compute: Callable[[list[str | None]], dict]) -> DataFrame:
     """The ``keep`` columns as they are and what ``compute`` makes of the texts of a batch: a list per column of ``schema``.
 
-    Texts are read whole and where they lie, without a shuffle.
+    Texts are read whole and where they lie, without a shuffle. ``text`` may be a field of a kept
+    struct column (``row.text``): it then travels once.
     """
+    inner = text.split(".", 1) if "." in text and text.split(".")[0] in keep else None
     added = StructType.fromDDL(schema)
     types, whole = to_arrow_schema(added), StructType([*(docs.schema[c] for c in keep), *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            *columns, texts = batch.columns
+            columns = batch.columns[: len(keep)]
+            texts = columns[keep.index(inner[0])].field(inner[1]) if inner else batch.column(len(keep))
             found = compute(texts.to_pylist())
-            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(found[f.name], f.type) for f in types)], [*keep, *types.names])
+            made = [x if isinstance(x := found[f.name], pa.Array) else pa.array(x, f.type) for f in types]
+            yield pa.RecordBatch.from_arrays([*columns, *made], [*keep, *types.names])
 
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_text")).mapInArrow(run, whole)
+    read = [] if inner else [F.col(f"`{text}`").alias("_text")]
+    return docs.select(*[F.col(f"`{c}`") for c in keep], *read).mapInArrow(run, whole)
 
 
 def words_of(text: str | None) -> list[bytes]:

@@ -43,8 +43,28 @@ def test_probabilities_add_up_to_one(model):
     step = 10.0 ** model.transitions()
     assert np.allclose(step.sum(axis=1), 1)
     per_class = model.pairs.sum(axis=0)
-    inside = np.bincount(model.classes[: len(model.index)], model.counts, brown.CLASSES)
-    assert (inside == per_class[: brown.CLASSES]).all()
+    own = model.symbol < model.moved
+    inside = np.bincount(model.classes[model.symbol[own]], model.counts[own], brown.CLASSES)
+    assert own.all() and (inside == per_class[: brown.CLASSES]).all()
+
+
+def test_words_between_the_limits_have_the_class_of_their_ending(spark, monkeypatch):
+    monkeypatch.setattr(brown, "MOVED", 60)
+    texts = corpus(300, 5) + ["noun1 " * 3000]
+    train = durable(frame(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)]))
+    m = brown.fit(train)
+    assert 0 < m.moved < len(m.index)
+    per_class = m.pairs.sum(axis=0)
+    inside = 10.0 ** m.inside()
+    for k in range(len(per_class) - 1):
+        of = [i for i in range(len(m.index)) if m.classes[m.symbol[i]] == k]
+        # the rest of an ending's class is for one unseen word
+        assert sum(inside[of]) + (brown.ADD / m.by_ending()[k - brown.CLASSES] if k >= brown.CLASSES else 0) == pytest.approx(1 if of or k >= brown.CLASSES else 0)
+    follow = collections.Counter()
+    for t in texts:
+        c = [int(m.classes[m.symbol[m.index[w]]]) for w in t.encode().split()]
+        follow.update(zip([len(m.pairs) - 1, *c], [*c, len(m.pairs) - 1]))
+    assert {(a, b): m.pairs[a, b] for a, b in zip(*np.nonzero(m.pairs))} == dict(follow)
 
 
 def test_base_and_score_word_by_word(spark, model):
@@ -59,11 +79,11 @@ def test_base_and_score_word_by_word(spark, model):
             known += c > 0
             base += math.log10((c + 0.1) / (model.tokens + 0.1 * (model.kinds + 1)))
             if w in model.index:
-                k = model.classes[model.index[w]]
+                k = model.classes[model.symbol[model.index[w]]]
                 inside = c / per_class[k]
             else:
                 k = brown.CLASSES + brown.ending(w)
-                inside = (c + 0.1) / model.rare_total()[brown.ending(w)]
+                inside = (c + 0.1) / model.by_ending()[brown.ending(w)]
             score += step[before, k] + math.log10(inside)
             before = k
         base += math.log10((400 + 0.1) / (model.tokens + 0.1 * (model.kinds + 1)))
