@@ -117,13 +117,17 @@ def index(classes: DataFrame) -> DataFrame:
     return durable(classes.select("node", "vector").mapInArrow(run, "node long, prefix array<int>, keys array<long>"))
 
 
-def _first_list(prefix_a: np.ndarray, prefix_b: np.ndarray) -> np.ndarray:
-    """The SHARED smallest pivots that each pair of rows shares, as the digits of a number."""
-    both = (prefix_a[:, :, None] == prefix_b[:, None, :]).any(axis=2)
-    order = np.argsort(~both, axis=1, kind="stable")[:, :SHARED]
-    out = np.zeros(len(prefix_a), "int64")
-    for place in range(SHARED):
-        out = out * PIVOTS + np.take_along_axis(prefix_a, order[:, place : place + 1], 1)[:, 0]
+def earlier(key: int, prefix: np.ndarray) -> np.ndarray:
+    """One column per pivot that comes before the last one of the list's set and is not in it: which rows have it.
+
+    Two rows share one of these exactly if another list comes first among those that they meet in.
+    """
+    last = key % PIVOTS
+    before = (prefix < last) & (prefix != key // PIVOTS % PIVOTS) & (prefix != key // PIVOTS**2 % PIVOTS)
+    row, place = np.nonzero(before)
+    pivots, column = np.unique(prefix[row, place], return_inverse=True)
+    out = np.zeros((len(prefix), max(1, len(pivots))), "float32")
+    out[row, column] = 1
     return out
 
 
@@ -132,15 +136,12 @@ def compare(key: int, nodes: np.ndarray, n: np.ndarray, side: np.ndarray, vector
 
     ``side`` is 0 for all rows of a block with itself, else 0 and 1 for the two blocks.
     """
-    v = unit(vectors)
+    v, other = unit(vectors), earlier(key, prefix)
     two = side.any()
     a, b = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if two else (np.arange(len(v)),) * 2
-    i, j = np.nonzero(v[a] @ v[b].T >= least)
+    linked = (v[a] @ v[b].T >= least) & (other[a] @ other[b].T == 0)
+    i, j = np.nonzero(linked if two else np.triu(linked, 1))
     i, j = a[i], b[j]
-    if not two:
-        i, j = i[i < j], j[i < j]
-    mine = _first_list(prefix[i], prefix[j]) == key % PIVOTS**SHARED
-    i, j = i[mine], j[mine]
     links = np.bincount(i, n[j], len(v)) + np.bincount(j, n[i], len(v))
     star = nodes.copy()
     while True:  # the smallest node spreads along links
