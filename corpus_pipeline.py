@@ -13,6 +13,10 @@ from shelfcast.functions.runtime import durable
 from shelfcast.llm import bpe, langid, mixing, simhash_ball
 
 
+#: Stands for a null id among keys.
+NO_ID = -(2**63)
+
+
 def packed(docs: DataFrame) -> DataFrame:
     """Each document as one column ``row``, so that no column of it can clash with those of a stage."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
@@ -24,8 +28,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rejected are texts without letters and those far less like the chosen language than labelled
     texts that the models have not seen.
     """
-    rows = packed(docs).select("row", F.col("row.text").alias("text"))
-    found = langid.identify(rows, langid.fit(docs), ["row"]).where("NOT rejected")
+    found = langid.identify(packed(docs), langid.fit(docs), ["row"], "row.text").where("NOT rejected")
     return found.select(F.col("row").withField("lang", F.col("lang_pred")).alias("row")).select("row.*")
 
 
@@ -34,15 +37,14 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Among rows with that id one stays, of several texts the one with the smallest hash.
     """
-    rows = packed(docs).withColumns({"id": F.col("row.doc_id"), "hash": F.xxhash64(F.coalesce("row.text", F.lit("")))})
+    # plain keys without null, so that the join and the aggregate behind it share one shuffle of the texts
+    rows = packed(docs).withColumns({"id": F.coalesce("row.doc_id", F.lit(NO_ID)), "hash": F.xxhash64(F.coalesce("row.text", F.lit("")))})
     found = durable(simhash_ball.fingerprints(rows.withColumn("text", F.col("row.text")), ["id", "hash"]))
     # rows of a class meet as one small row per class and task
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash"))
-    kept = found.join(simhash_ball.roots(found), "fp").groupBy("root").agg(first.alias("k"))
-    kept = kept.select(F.col("k.id").alias("kept_id"), F.col("k.hash").alias("kept_hash"))
-    same = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("hash") == F.col("kept_hash"))
+    first = F.min(F.struct((F.col("id") == NO_ID).alias("none"), "id", "hash"))
+    kept = found.join(simhash_ball.roots(found), "fp").groupBy("root").agg(first.alias("k")).select("k.id", "k.hash")
     # repeated rows of a kept document are dropped where the join has brought them together
-    return rows.join(kept, same, "left_semi").dropDuplicates(["id", "hash"]).select("row.*")
+    return rows.join(kept, ["id", "hash"], "left_semi").dropDuplicates(["id", "hash"]).select("row.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
