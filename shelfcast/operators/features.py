@@ -237,6 +237,22 @@ def unscale(df: DataFrame, how: str, col: str = "scaled", out: str = "qty") -> D
     return df.withColumn(out, F.col(col) * F.col("scale_sd") + F.col("scale_mean"))
 
 
+def event_types(events: DataFrame, ts: str, kind: str, days: int = 7) -> DataFrame:
+    """Per day and type of event: how many there were, the day before, and over the ``days`` before.
+
+    Every type has a row for every day between the first and the last event of any. Events are counted
+    before the shuffle; from then on there is a row per type and day.
+    """
+    daily = events.groupBy(F.col(kind), F.col(ts).cast("date").alias("period")).agg(F.count("*").alias("n"))
+    span = daily.agg(F.sequence(F.min("period"), F.max("period"))).scalar()
+    grid = daily.select(kind).distinct().withColumn("period", F.explode(span))
+    filled = grid.join(daily, [kind, "period"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    w = W.partitionBy(kind).orderBy("period")
+    return filled.select(
+        "period", kind, "n", F.lag("n").over(w).alias("lag_1"), F.sum("n").over(w.rowsBetween(-days, -1)).alias(f"last_{days}")
+    )
+
+
 def supervised(
     panel: DataFrame,
     keys: list[str],

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.columns import as_col, shift_period
 from .clusters import steady_order
 from .panel import by_series
+from .score import score
 
 Fit = Callable[[DataFrame, list[str], list[str]], object]
 
@@ -219,3 +220,29 @@ def backtest_model(
         fc = predict(model, rows, keys, name).withColumn("cut", as_col(cut))
         out = fc if out is None else out.unionByName(fc)
     return out
+
+
+Forecasts = Callable[[DataFrame, object], DataFrame]
+
+
+def backtest_steps(panel: DataFrame, origins: list, models: dict[str, Forecasts]) -> DataFrame:
+    """Forecast frames of trained models from several origins, each model trained anew on what is known there.
+
+    A model is a function of the panel up to the origin and the origin (``direct``, ``recursive``, a
+    network or an analog with its other arguments bound), so all of them can be scored beside classical
+    models, by origin and step.
+    """
+    out = None
+    for origin in origins:
+        known = panel.where(F.col("period") <= as_col(origin))
+        for name, make in models.items():
+            fc = make(known, origin).withColumn("model", F.lit(name))
+            out = fc if out is None else out.unionByName(fc)
+    return out
+
+
+def tune(panel: DataFrame, keys: list[str], origins: list, grid: dict[str, Forecasts], metric: str = "rmse") -> DataFrame:
+    """Candidates scored on time-ordered folds, best first (rank 1). One row per candidate."""
+    s = score(backtest_steps(panel, origins, grid), keys, ["model"], actual=panel).select("model", "n", metric)
+    best_first = W.orderBy(F.round(metric, 9).asc_nulls_last(), "model")  # one row per candidate
+    return s.withColumn("rank", F.row_number().over(best_first))

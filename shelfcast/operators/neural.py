@@ -10,9 +10,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, functions as F
 
+from ..functions.columns import as_col, shift_period
 from ..functions.ranks import exact_quantiles
 from ..functions.vectors import lit_json
 from .clusters import steady_order
+from .learn import tails, windows
 
 
 def bin_bounds(train: DataFrame, n: int, col: str = "target") -> list[float]:
@@ -158,7 +160,9 @@ def fit_nn(train: DataFrame, L: int, hidden: int = 8, epochs: int = 40, rate: fl
         v = net.flat()
         m1, m2 = np.zeros_like(v), np.zeros_like(v)
         for t in range(1, epochs + 1):
-            sums = data.mapInArrow(_gradient_rows(net), "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+            # tasks end in any order: a fixed order of the terms makes the sum the same on every run
+            ordered = F.aggregate(F.sort_array(F.collect_list("v")), F.lit(0.0), lambda a, b: a + b)
+            sums = data.mapInArrow(_gradient_rows(net), "i int, v double").groupBy("i").agg(ordered.alias("v")).collect()
             total = np.array([r["v"] for r in sorted(sums, key=lambda r: r["i"])])
             if not len(total):
                 break
@@ -181,3 +185,30 @@ def predict_nn(rows: DataFrame, keys: list[str], net: Net, name: str = "nn") ->
         return pd.Series(net.predict(np.stack(look.to_numpy()).astype(np.float64)))
 
     return rows.select(*keys, "origin", F.lit(name).alias("model"), "h", "period", apply("lookback").alias("yhat"))
+
+
+def forecast_nn(panel: DataFrame, keys: list[str], freq: str, origin, H: int, L: int, net: Net | None = None, name: str = "nn", **fit) -> DataFrame:
+    """Forecasts 1 to H steps after ``origin`` from a one-step network fed with its own forecasts.
+
+    Without ``net`` one is trained on the windows whose target is known at ``origin``. A series shorter
+    than the window has zeros in front, so every series gets its forecasts; all steps of a batch of
+    series are made at once, where the series lie.
+    """
+    if net is None:
+        net = fit_nn(windows(panel.where(F.col("period") <= as_col(origin)), keys, L), L, **fit)
+
+    @F.pandas_udf("array<double>")
+    def steps(look: pd.Series) -> pd.Series:
+        if not len(look):
+            return pd.Series([], dtype=object)
+        x, out = np.stack(look.to_numpy()).astype(np.float64), []
+        for _ in range(H):
+            out.append(net.predict(x))
+            x = np.column_stack([x[:, 1:], out[-1]])
+        return pd.Series(list(np.column_stack(out)))
+
+    rows = tails(panel, keys, freq, origin, L).withColumn("_f", steps("lookback"))
+    return rows.select(*keys, "origin", F.posexplode("_f").alias("_i", "yhat")).select(
+        *keys, "origin", F.lit(name).alias("model"), (F.col("_i") + 1).alias("h"),
+        shift_period("origin", F.col("_i") + 1, freq).alias("period"), "yhat",
+    )

@@ -12,7 +12,7 @@ from ..operators import panel as P
 from ..sources.panel_store import read_panel, write_panel
 from ..sources.sales import read_sales, read_sales_csv
 from ..sources.tables import SCHEMAS, table
-from .base import KEYS, PANEL, SALES_SQL, SPARSE, WHOLE, panel, sales, span_sql, sparse_panel, sparse_sql, whole_panel
+from .base import KEYS, PANEL, SALES_SQL, WHOLE, panel, sales, span_sql, sparse_panel, sparse_sql, whole_panel
 from .registry import query
 
 LINE_MAP = {
@@ -196,7 +196,7 @@ def _(spark, sf):
 
 @query("resample", "WITH " + sparse_sql("p_brand", "day") + """
 SELECT p_brand, CAST(date_trunc('month', period) AS DATE) AS period, sum(qty) AS qty, avg(revenue / qty) AS price
-FROM sparse GROUP BY ALL""", rounded="price", digits=4)
+FROM sparse GROUP BY ALL""", rounded="price", digits=7)
 def _(spark, sf):
     daily = sparse_panel(spark, sf, ["p_brand"], "day").withColumn("price", ratio("revenue", "qty"))
     return P.resample(daily, ["p_brand"], "month", {"qty": "sum", "price": "avg"})

@@ -9,16 +9,18 @@ from __future__ import annotations
 import datetime as dt
 from functools import partial
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions.columns import as_col
 from ..functions.runtime import durable
-from ..operators import clusters as C, embed as E, forecast as FC, hybrid as Y, learn as L, rules as R, patterns as T
+from ..operators import clusters as C, embed as E, forecast as FC, hybrid as Y, learn as L, neural as N, patterns as T, rules as R
+from ..operators.score import score
 from ..sources.tables import table
 from .base import KEYS, PANEL
 from .q_features import qty_panel, supervised_sql
 from .q_forecast import H, MODELS, ORIGIN, fc_sql
-from .q_models import ANALOG_SQL, ANALOG_TAIL, COLS, CUT, LOOK, SAX_SQL, Z_SQL, label_means, matrix, split
+from .q_models import ANALOG_SQL, ANALOG_TAIL, COLS, LOOK, SAX_SQL, label_means, matrix, split
 from .q_patterns import VARIATION_SQL
 from .registry import query
 
@@ -107,6 +109,62 @@ def _(spark, sf):
     return L.recursive(yearly(spark, sf), KEYS, "month", ORIGIN, H, partial(L.fit_gbt, trees=2))
 
 
+FORWARD = N.Net(w1=np.array([[0.5]] + [[0.0]] * 11), b1=np.array([0.1]), w2=np.array([0.8]), b2=0.2, mean=0.0, sd=1.0)
+
+
+@query("network_forward", PANEL + """,
+b AS (SELECT p_brand, c_nationkey, lag(period) OVER w AS origin, period,
+             list(qty) OVER (PARTITION BY p_brand, c_nationkey ORDER BY period ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS x
+      FROM panel WINDOW w AS (PARTITION BY p_brand, c_nationkey ORDER BY period))
+SELECT p_brand, c_nationkey, origin, 'nn' AS model, 1 AS h, period,
+       greatest(exp(0.8 * tanh(0.5 * ln(1 + x[1]) + 0.1) + 0.2) - 1, 0) AS yhat
+FROM b WHERE len(x) = 12""", rounded="yhat")
+def _(spark, sf):
+    # A network of given weights: one hidden unit that looks at the oldest value.
+    return N.predict_nn(L.windows(qty_panel(spark, sf), KEYS, LOOK), KEYS, FORWARD)
+
+
+@query("network_steps", PANEL + """,
+t AS (SELECT p_brand, c_nationkey, list(qty ORDER BY period) AS x FROM panel
+      WHERE period > DATE '2000-01-01' AND period <= DATE '2001-01-01' GROUP BY ALL)
+SELECT p_brand, c_nationkey, DATE '2001-01-01' AS origin, 'nn' AS model, CAST(h AS INTEGER) AS h,
+       CAST(DATE '2001-01-01' + to_months(CAST(h AS INTEGER)) AS DATE) AS period,
+       greatest(exp(0.8 * tanh(0.5 * ln(1 + x[h]) + 0.1) + 0.2) - 1, 0) AS yhat
+FROM t, range(1, 7) AS r(h)""", rounded="yhat")
+def _(spark, sf):
+    return N.forecast_nn(qty_panel(spark, sf), KEYS, "month", ORIGIN, H, LOOK, net=FORWARD)
+
+
+FOLDS_2 = [dt.date(2000, 1, 1), dt.date(2000, 7, 1)]
+BOUND = {"keys": KEYS, "freq": "month", "H": H}
+
+
+def linear(reg):
+    return lambda p, origin: L.direct(p, origin=origin, fit=partial(L.fit_linear, reg=reg), **BOUND)
+
+
+@query("ml_backtest_steps", rounded="mae rmse wape smape bias rmsle", digits=3)
+def _(spark, sf):
+    """Trained, network and classical models by origin and step, in one table."""
+    p = durable(qty_panel(spark, sf))
+    trained = {
+        "linear": linear(0.1),
+        "gbt": lambda k, o: L.recursive(k, origin=o, fit=partial(L.fit_gbt, trees=5), **BOUND),
+        "network": lambda k, o: N.forecast_nn(k, origin=o, L=LOOK, epochs=5, **BOUND),
+    }
+    fc = L.backtest_steps(p, FOLDS_2, trained).unionByName(FC.forecast(p, KEYS, "month", FOLDS_2, H, MODELS))
+    return score(fc, KEYS, ["model", "origin", "h"], actual=p)
+
+
+@query("planted_tune", PANEL + """,
+y AS (SELECT p_brand, c_nationkey FROM panel GROUP BY ALL)
+SELECT 'gbt' AS model, count(*) * 12 AS n, 0.0::DOUBLE AS rmse, CAST(1 AS INTEGER) AS rank FROM y""", rounded="rmse")
+def _(spark, sf):
+    # Demand that depends on the month alone: trees find it, a mean with heavy penalty does not.
+    grid = {"flat": linear(1e6), "gbt": lambda k, o: L.direct(k, origin=o, fit=partial(L.fit_gbt, trees=2), **BOUND)}
+    return L.tune(yearly(spark, sf), KEYS, FOLDS_2, grid).where("rank = 1")
+
+
 # ---- clusters: four groups of series, far from each other ----------------------------------------
 
 GROUPS_SQL = PANEL + """,

@@ -1,5 +1,3 @@
-import datetime as dt
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,7 +101,11 @@ def test_combine_route_and_fallback(spark, scores):
     assert {r.s: r.yhat for r in Y.combine(fc, scores, ["s"]).collect()} == {"a": 2.0, "b": 5.0, "c": 4.0}
     seg = spark.createDataFrame([("a", "smooth"), ("b", "lumpy"), ("c", "other")], "s string, segment string")
     routed = Y.route(seg, {"smooth": "y", "lumpy": "x"}, fc, ["s"])
-    assert {r.s: r.yhat for r in routed.collect()} == {"a": 3.0, "b": 5.0}
+    assert {r.s: r.yhat for r in routed.collect()} == {"a": 3.0, "b": 5.0, "c": None}
+    everywhere = Y.route(seg, {"smooth": "y", "lumpy": "x"}, fc, ["s"], other="y")
+    assert {r.s: r.yhat for r in everywhere.collect()} == {"a": 3.0, "b": 5.0, "c": 4.0}
+    # a series without a score gets the plain mean
+    assert {r.s: r.yhat for r in Y.combine(fc, scores.where("s <> 'a'"), ["s"]).collect()}["a"] == 2.0
     y = fc.where("model = 'y'").select("s", "period", F.when(F.col("s") != "b", F.col("yhat")).alias("yhat"))
     out = Y.fallback({"first": y.where("s = 'a'"), "second": y, "third": fc.where("model = 'x'")}, ["s", "period"])
     assert {r.s: (r.yhat, r.source) for r in out.collect()} == {"a": (3.0, "first"), "b": (5.0, "third"), "c": (4.0, "second")}
@@ -120,14 +122,56 @@ def test_reconciled_levels_agree(spark, make_panel):
     assert down == pytest.approx({"a": 12.0, "b": 30.0})
 
 
-def test_hybrid_covers_every_routed_series_once(make_panel):
-    p = make_panel({"smooth": [10, 11] * 12, "gaps": [5, 0, 0] * 8, "none": [0] * 24})
-    cfg = Y.HybridConfig(
-        keys=["s"], freq="month", origin=month(21), horizon=2, origins=[month(17), month(19)],
-        models={"naive": S.naive(), "ses": S.ses(0.3), "croston": S.croston(0.1)},
-        routing={"smooth": "combined", "intermittent": "best"},
-    )
-    rows = Y.hybrid(p, cfg).collect()
-    assert sorted((r.s, r.h) for r in rows) == [("gaps", 1), ("gaps", 2), ("smooth", 1), ("smooth", 2)]
-    assert {r.model for r in rows if r.s == "smooth"} == {"combined"}
-    assert all(r.period > dt.date(2021, 10, 1) for r in rows)
+@pytest.fixture(scope="module")
+def kinds(make_panel):
+    """Never sold, sold before the origin only, new after it, constant, short, and two regular series."""
+    p = make_panel({
+        "smooth": [10, 11] * 12, "gaps": [5, 0, 0] * 8, "none": [0] * 24, "later": [0] * 22 + [3, 4], "flat": [7] * 24,
+    })
+    short = make_panel({"short": range(24)}).where(F.col("period") >= F.lit(month(20)))
+    unborn = make_panel({"unborn": [2.0] * 24}).where(F.col("period") >= F.lit(month(22)))
+    return p.unionByName(short).unionByName(unborn)
+
+
+SERIES = ["flat", "gaps", "later", "none", "short", "smooth", "unborn"]
+
+
+def config(**more):
+    return Y.HybridConfig(**{
+        "keys": ["s"], "freq": "month", "origin": month(21), "horizon": 2, "origins": [month(17), month(19)],
+        "models": {"naive": S.naive(), "snaive": S.naive(12), "ses": S.ses(0.3), "croston": S.croston(0.1)},
+        "routing": {"smooth": "combined", "intermittent": "best"},
+    } | more)
+
+
+def test_hybrid_gives_every_series_and_step_one_row(kinds):
+    rows = Y.hybrid(kinds, config()).collect()
+    assert sorted((r.s, r.h) for r in rows) == [(s, h) for s in SERIES for h in (1, 2)]
+    assert all(r.yhat is not None and r.origin == month(21) and r.period == month(21 + r.h) for r in rows)
+    of = {r.s: r for r in rows if r.h == 1}
+    assert of["smooth"].model == "combined" and of["smooth"].source == "routed"
+    assert of["none"].yhat == 0 and of["later"].yhat == 0 and of["flat"].yhat == pytest.approx(7)
+    # no row up to the origin: no class, no history, no forecast to go by
+    assert (of["unborn"].segment, of["unborn"].source, of["unborn"].yhat) == (None, "none", 0.0)
+    # two values: too short for the season, so the mean of its class stands in unless it is routed
+    assert of["short"].source in ("routed", "segment")
+
+
+def test_hybrid_sees_no_row_after_the_origin(kinds):
+    changed = kinds.withColumn("qty", F.when(F.col("period") > F.lit(month(21)), 999.0).otherwise(F.col("qty")))
+    assert sorted(map(tuple, Y.hybrid(kinds, config()).collect())) == sorted(map(tuple, Y.hybrid(changed, config()).collect()))
+
+
+def test_hybrid_over_other_frames_and_segments(spark, kinds):
+    """A frame with a perfect past is chosen by its score; segments may come from anywhere."""
+    grid = [(s, month(o), "oracle", h, month(o + h)) for s in SERIES for o in (17, 19, 21) for h in (1, 2)]
+    frame = spark.createDataFrame(grid, "s string, origin date, model string, h int, period date")
+    truth = kinds.select("s", "period", F.col("qty").alias("yhat"))
+    frame = frame.join(truth, ["s", "period"], "left").where("s <> 'flat'")
+    segments = spark.createDataFrame([(s, "cluster 1") for s in SERIES[:-1]], "s string, segment string")
+    cfg = config(routing={"cluster 1": "best"}, frames=(frame,), segments=segments, other="oracle")
+    rows = {(r.s, r.h): r for r in Y.hybrid(kinds, cfg).collect()}
+    assert len(rows) == len(SERIES) * 2
+    assert rows["gaps", 1].model == "croston" or rows["gaps", 1].yhat == 0.0
+    assert rows["smooth", 1].model == "oracle" and rows["smooth", 1].yhat == 10.0
+    assert rows["flat", 1].model != "oracle" and rows["unborn", 1].model == "oracle"

@@ -68,7 +68,8 @@ def test_linear_model_recovers_lines(lines):
     sup = X.supervised(lines, ["s"], "month", ks=(1, 2), ns=(3,))
     cols = ["lag_1", "lag_2", "mean_3"]
     train, test = sup.where(F.col("period") < month(30)), sup.where(F.col("period") >= month(30))
-    fc = L.predict(L.fit_linear(train, ["s"], cols), test, ["s"], "linear").join(test.select("s", "period", "label"), ["s", "period"])
+    # heads of series are no lines: what came before them is unknown
+    fc = L.predict(L.fit_linear(train.dropna(subset=cols), ["s"], cols), test, ["s"], "linear").join(test.select("s", "period", "label"), ["s", "period"])
     assert fc.count() == 120 and fc.agg(F.max(F.abs(F.col("yhat") - F.col("label")))).first()[0] < 0.01
 
 
@@ -184,6 +185,59 @@ def test_twins_are_found_exactly_and_by_lsh(spark):
     assert found >= 57 and all(i == j or j == twin(i) for i, j in pairs)
 
 
+def test_thousands_of_centroids(spark):
+    points = spark.range(500).select(F.col("id").alias("s"), (F.col("id") * 6.0 + 0.4).alias("x"))
+    centroids = spark.range(3000).select(F.col("id").alias("c"), F.col("id").cast("double").alias("x"))
+    got = C.assign(points, centroids, "c", ["x"]).collect()
+    assert all(r.cluster == r.s * 6 and abs(r.distance - 0.4) < 1e-6 for r in got)
+
+
+def test_lsh_takes_any_number_of_queries(spark):
+    df = spark.range(11_000).select("id", F.array(F.col("id") * 10.0, F.lit(0.0)).alias("emb"))
+    got = E.lsh_pairs(df, df, d=1.0, bucket=20.0)
+    assert got.where("query_id = neighbour_id").count() == 11_000 == got.count()
+
+
+def test_every_row_is_scored_and_learned_from(spark):
+    rows = [(f"s{i}", month(0), month(0), 1, None if i % 4 == 0 else float(i), 0.0 if i % 4 == 0 else 2.0 * i) for i in range(200)]
+    df = spark.createDataFrame(rows, "s string, period date, origin date, h int, a double, label double")
+    for fit in (L.fit_linear, partial(L.fit_gbt, trees=3), L.fit_forest):
+        model = fit(df, ["s"], ["a"])
+        assert L.feature_names(model) == ["a", "a_missing"]
+        fc = L.predict(model, df, ["s"], "m")
+        assert fc.count() == 200 and fc.where("yhat IS NULL").count() == 0
+    got = {r.s: r.yhat for r in L.predict(L.fit_linear(df, ["s"], ["a"]), df, ["s"], "m").collect()}
+    assert got["s0"] == pytest.approx(0, abs=1e-6) and got["s3"] == pytest.approx(6, abs=1e-6)
+    base = df.withColumn("base", F.col("a"))
+    assert L.residual(base, base, ["s"], ["a"], "base", L.fit_linear).count() == 200
+    assert L.hurdle(df, df, ["s"], ["a"]).count() == 200
+
+
+def test_short_and_constant_series_get_a_forecast(make_panel):
+    long = make_panel({"a": [5, 9, 1, 7, 2, 8] * 6, "flat": [3] * 36})
+    short = make_panel({"short": range(36)}).where(F.col("period") >= F.lit(month(27)))
+    p = long.unionByName(short)
+    fits = {"direct": L.direct, "recursive": L.recursive}
+    for name, fn in fits.items():
+        got = fn(p, ["s"], "month", month(29), 2, partial(L.fit_linear, reg=0.1), L=6)
+        assert sorted((r.s, r.h) for r in got.collect()) == [(s, h) for s in ("a", "flat", "short") for h in (1, 2)], name
+    for fn in (E.analog_own, E.analog):
+        got = {(r.s, r.h): r.yhat for r in fn(p, ["s"], "month", month(29), 2, 6, 2).collect()}
+        assert sorted(got) == [(s, h) for s in ("a", "flat", "short") for h in (1, 2)]
+        assert got["flat", 1] == pytest.approx(3) and got["short", 2] == pytest.approx(28)
+
+
+def test_embeddings_know_the_past_only(make_panel):
+    from shelfcast.plans.q_models import embedded_features
+
+    p = make_panel({"a": range(30), "b": [4, 0, 0] * 10}).select(F.lit("x").alias("p_brand"), F.length("s").alias("c_nationkey"), "period", "qty", "s")
+    p = p.withColumn("c_nationkey", F.when(F.col("s") == "a", 1).otherwise(2)).drop("s")
+    changed = p.withColumn("qty", F.when(F.col("period") >= F.lit(month(24)), 500.0).otherwise(F.col("qty")))
+    cols = ["c_nationkey", "period", *[f"emb_{i}" for i in range(1, 6)]]
+    a, b = (sorted(map(tuple, embedded_features(x, month(24)).select(cols).collect())) for x in (p, changed))
+    assert a == b and len(a) == 12
+
+
 def test_lsh_returns_every_copy(spark):
     df = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(40)] + [(99, [9.0, 9.0])], "id long, emb array<double>")
     got = E.lsh_pairs(df, df.where("id = 7"), d=0.5, bucket=2.0)

@@ -1,4 +1,4 @@
-"""Registered queries against their SQL. All of them with SHELFCAST_FULL=1, otherwise a cross-section."""
+"""All registered queries that have SQL against it; those without it are run too with SHELFCAST_FULL=1."""
 
 import os
 
@@ -8,12 +8,8 @@ import __spark_entry__ as entry
 from tests.conftest import SF
 from tests.oracle import differences
 
-SOME = (
-    "read_sales_csv write_panel dedupe_newest densify_series hierarchy_rollup impute feat_asof feat_target_enc "
-    "supervised_matrix decompose classify_abc classify_abc_by demand_bins nearest_centroid fc_holt_winters fc_croston "
-    "residual_interval fallback_chain reconcile_top_down hybrid_run similar_topk analog_forecast_own embed_clusters"
-).split()
-NAMES = list(entry.queries()) if os.environ.get("SHELFCAST_FULL") else SOME
+# queries without SQL are run through only on demand: what they compute is tested on planted data
+NAMES = list(entry.queries()) if os.environ.get("SHELFCAST_FULL") else [n for n in entry.queries() if n in entry.oracle_sql()]
 
 
 @pytest.mark.parametrize("name", NAMES)

@@ -32,6 +32,33 @@ def test_csv_rejects(spark, tmp_path):
     assert sorted(r.line for r in bad.collect()) == ["2020-01-02,8,many", "nonsense"]
 
 
+def test_csv_columns_go_by_the_header(spark, tmp_path):
+    ddl, names = "day date, item bigint, units double", {"ds": "day", "item": "item", "qty": "units"}
+    for i, text in enumerate(["day,units,item\n2020-01-01,2.5,7\n", '"units" ,"extra","day","item"\n2.5,"a, b",2020-01-01,7\n']):
+        folder = tmp_path / f"f{i}"
+        folder.mkdir()
+        for part in "ab":
+            (folder / f"{part}.csv").write_text(text)
+        good, bad = read_sales_csv(spark, str(folder), ddl, names)
+        assert [tuple(r) for r in good.collect()] == [(dt.date(2020, 1, 1), 7, 2.5)] * 2
+        assert bad.count() == 0
+    (tmp_path / "missing.csv").write_text("day,units\n2020-01-01,2.5\n")
+    with pytest.raises(ValueError, match="item"):
+        read_sales_csv(spark, str(tmp_path / "missing.csv"), ddl, names)
+    (tmp_path / "plain.csv").write_text("2020-01-01,7,2.5\n")
+    good, bad = read_sales_csv(spark, str(tmp_path / "plain.csv"), ddl, names, header=False)
+    assert good.count() == 1 and bad.count() == 0
+
+
+def test_panels_of_several_frequencies_are_those_of_each(spark):
+    rows = [("a", dt.date(2020, 1, d), float(d), 1.5, float(d % 2)) for d in range(1, 29)] + [("b", dt.date(2020, 2, 3), 5.0, 2.0, 0.0)] * 3
+    s = spark.createDataFrame(rows, "s string, ds date, qty double, price double, promo double")
+    many = P.demand_panels(s, ["s"], ["day", "week", "month"])
+    for freq in ("day", "week", "month"):
+        one = P.demand_panel(s, ["s"], freq)
+        assert sorted(map(tuple, many.where(F.col("freq") == freq).drop("freq").collect())) == sorted(map(tuple, one.collect()))
+
+
 def test_write_panel_replaces_touched_partitions_only(spark, make_panel, tmp_path):
     path = str(tmp_path / "p")
     p = make_panel({"a": range(24)})

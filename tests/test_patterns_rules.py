@@ -3,6 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from shelfcast.functions.runtime import TooLarge
 from shelfcast.operators import patterns as T, rules as R
 from tests.conftest import month
 
@@ -80,6 +81,20 @@ def test_rules_first_match_wins(spark):
     assert got == {"a": "low", "b": "mid", "c": "any-high", "d": "unmatched"}
 
 
+def test_thousands_of_rules(spark):
+    df = spark.range(3000).select("id", (F.col("id") + 0.5).alias("x"))
+    rules = spark.range(2000).selectExpr("CAST(2000 - id AS INT) AS priority", "concat('r', id) AS label", "CAST(id AS DOUBLE) AS x_lo", "CAST(NULL AS DOUBLE) AS x_hi")
+    got = {r.id: r.label for r in R.classify_rules(df, rules, ["x"]).collect()}
+    assert got == {i: f"r{min(i, 1999)}" for i in range(3000)}
+    with pytest.raises(TooLarge):
+        R.classify_rules(df, rules, ["x"], most=1999)
+
+
+def test_no_demand_has_no_variation(make_panel):
+    row = T.adi_cv2(make_panel({"a": [0, 0, 0]}), ["s"]).first()
+    assert row.adi is None and row.cv2 is None
+
+
 def test_transitions_cover_every_series(make_panel):
     p = make_panel({"stay": [4] * 12, "fade": [4] * 6 + [4, 0, 0, 4, 0, 0]})
     got = {(r.from_segment, r.to_segment): r.series for r in R.transitions(p, ["s"], month(6)).collect()}
