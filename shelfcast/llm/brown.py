@@ -1,15 +1,14 @@
 """Language-model scores from a Brown class bigram model.
 
 The probability of a word is that of its class after the class of the word before, times that of the
-word in its class. Words that are at least 2^-17 of all tokens get their classes by exchange: round
+word in its class. Words that are at least 2^-20 of all tokens get their classes by exchange: round
 by round, part by part, each word moves to the class that raises the likelihood of the class bigrams
 most. All other words, those that were never seen among them, share classes by their last two bytes;
 their own counts still decide their probability in the class.
 
 Counts of words and of symbol pairs are made by Spark over all training documents. There are at most
-2^17 words to move and at most 2^20 words that are 2^-20 of all tokens, whatever the corpus, so the
-classes of the former and the counts of the latter may go to every task; the counts of all other
-words are joined.
+2^20 words that are 2^-20 of all tokens, whatever the corpus, so their classes and counts may go to
+every task; the counts of all other words are joined.
 """
 
 from __future__ import annotations
@@ -28,7 +27,7 @@ from .common import map_texts, table, words_of
 CLASSES = 64
 ENDINGS = 31
 #: Words that are one in so many tokens at least are moved between classes.
-MOVED = 2**17
+MOVED = 2**20
 #: The counts of words that are one in so many tokens at least go to every task.
 SHARE = 2**20
 LEAST = 8
@@ -163,7 +162,7 @@ def neighbours(pairs: DataFrame, moved: int) -> DataFrame:
     both = beside("a", "b", 0).unionByName(beside("b", "a", 1))
     # the most frequent words have the longest lists: deal words out one by one
     grouped = both.groupBy("word").agg(F.collect_list("x").alias("around"))
-    return durable(grouped.repartition(max(8, min(1024, moved // 64)), "word"))
+    return durable(grouped.repartition(max(8, min(1024, moved // 256)), "word"))
 
 
 def _contexts(batch: pa.RecordBatch, classes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -220,19 +219,35 @@ def best_classes(own: np.ndarray, right: np.ndarray, left: np.ndarray, pairs: np
     word, pairs of the word with itself left out. The likelihood is the sum of x·log x of the pairs
     less that of their row and column sums.
     """
-    at = np.arange(len(own))
-    without = np.repeat(pairs[None].astype(float), len(own), axis=0)
-    without[at, own, :] -= right
-    without[at, :, own] -= left
-    without = np.maximum(without, 0)
-    rows, columns = without.sum(axis=2), without.sum(axis=1)
+    at, every = np.arange(len(own)), _xlogx(pairs.astype(float))
+
+    def joined(around: np.ndarray, across: np.ndarray, pairs: np.ndarray, every: np.ndarray) -> np.ndarray:
+        """What the pairs of each class with the neighbours on one side gain; only classes that occur there count."""
+        out = np.zeros((len(own), CLASSES))
+        word, beside = np.nonzero(around)
+        n, mine = around[word, beside], own[word]
+        to, was = pairs[:CLASSES, beside].T.astype(float), every[:CLASSES, beside].T.copy()
+        # without the word itself: in the row of its class, and in the column of its class
+        each, same = np.arange(len(word)), beside == mine
+        to[each, mine] -= n
+        to[same] -= across[word[same], :CLASSES]
+        to = np.maximum(to, 0)
+        was[each, mine], was[same] = _xlogx(to[each, mine]), _xlogx(to[same])
+        found, starts = np.unique(word, return_index=True)
+        if len(found):
+            out[found] = np.add.reduceat(_xlogx(to + n[:, None]) - was, starts)
+        return out
+
+    gain = joined(right, left, pairs, every) + joined(left, right, pairs.T, every.T)
     r, l = right.sum(axis=1, keepdims=True), left.sum(axis=1, keepdims=True)
-    to, of = without[:, :CLASSES, :], without[:, :, :CLASSES]
-    gain = (_xlogx(to + right[:, None, :]) - _xlogx(to)).sum(axis=2) + (_xlogx(of + left[:, :, None]) - _xlogx(of)).sum(axis=1)
-    corner = without[:, np.arange(CLASSES), np.arange(CLASSES)]
     a, b = right[:, :CLASSES], left[:, :CLASSES]
+    rows, columns = pairs.sum(axis=1)[:CLASSES] - b, pairs.sum(axis=0)[:CLASSES] - a
+    rows[at, own] -= r[:, 0]
+    columns[at, own] -= l[:, 0]
+    corner = np.repeat(pairs.diagonal()[None, :CLASSES].astype(float), len(own), axis=0)
+    corner[at, own] -= a[at, own] + b[at, own]
+    rows, columns, corner = np.maximum(rows, 0), np.maximum(columns, 0), np.maximum(corner, 0)
     gain += _xlogx(corner + a + b) - _xlogx(corner + a) - _xlogx(corner + b) + _xlogx(corner)
-    rows, columns = rows[:, :CLASSES], columns[:, :CLASSES]
     gain -= _xlogx(rows + r) - _xlogx(rows) + _xlogx(columns + l) - _xlogx(columns)
     gain[at, own] += 1e-6  # stay on a tie
     return gain.argmax(axis=1)
@@ -257,7 +272,7 @@ def exchange(around: DataFrame, counts: np.ndarray, classes: np.ndarray, part: i
     return out
 
 
-def fit(train: DataFrame, rounds: int = 3, parts: int = 2) -> Model:
+def fit(train: DataFrame, rounds: int = 3, parts: int = 3) -> Model:
     """Learn from the ``text`` column of all rows. A null text is empty."""
     words = count_words(train)
     total = words.agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).first()

@@ -1,4 +1,5 @@
 import collections
+import inspect
 import math
 import random
 
@@ -67,6 +68,20 @@ def test_words_between_the_limits_have_the_class_of_their_ending(spark, monkeypa
     assert {(a, b): m.pairs[a, b] for a, b in zip(*np.nonzero(m.pairs))} == dict(follow)
 
 
+def test_words_of_a_millionth_of_all_tokens_move(spark):
+    """Words under 2^-17 of all tokens and above 2^-20, in two kinds that stand beside different words."""
+    rng = random.Random(3)
+    kinds = {f"{k}{i}": k for k in ("left", "right") for i in range(20)}
+    # the byte ends of both kinds are the same
+    texts = [f"{kinds[w]}before {w} {kinds[w]}after" for w in kinds for _ in range(9)] + ["common word " * 600_000]
+    rng.shuffle(texts)
+    m = brown.fit(durable(frame(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)])))
+    classes = {w: int(m.classes[m.symbol[m.index[w.encode()]]]) for w in kinds}
+    assert all(c < brown.CLASSES for c in classes.values())
+    assert not {classes[w] for w in kinds if kinds[w] == "left"} & {classes[w] for w in kinds if kinds[w] == "right"}
+    assert inspect.signature(brown.fit).parameters["parts"].default == 3
+
+
 def test_base_and_score_word_by_word(spark, model):
     texts = ["noun1 verb2 noun3", "NOUN1 strange verb9 strange", "", "é ü", None, "noun1\x0bverb1"]
     got = {r.doc_id: r for r in brown.score(frame(spark, [(i, t, "x", "s", 0) for i, t in enumerate(texts)]), model, ["doc_id"]).collect()}
