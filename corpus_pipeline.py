@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelfcast.functions.runtime import durable
-from shelfcast.llm import bpe, langid, mixing, simhash_ball
+from shelfcast.llm import bpe, langid, mixing, near, simhash_ball
 
 
 #: Stands for a null id among keys.
@@ -33,8 +33,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of linked fingerprints: that with the smallest doc_id, null last.
+    """One document of each class of near copies: that with the smallest doc_id, null last.
 
+    Documents are linked by SimHash fingerprints within 3 bits, and by a similarity of 0.8 or more of
+    their five-word shingles, which 64 bits cannot tell within so small a radius.
     Among rows with that id one stays, of several texts the one with the smallest hash.
     """
     # plain keys without null, so that the join and the aggregate behind it share one shuffle of the texts
@@ -42,7 +44,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = durable(simhash_ball.fingerprints(rows.withColumn("text", F.col("row.text")), ["id", "hash"]))
     # rows of a class meet as one small row per class and task
     first = F.min(F.struct((F.col("id") == NO_ID).alias("none"), "id", "hash"))
-    kept = found.join(simhash_ball.roots(found), "fp").groupBy("root").agg(first.alias("k")).select("k.id", "k.hash")
+    similar = near.links(rows.withColumn("text", F.col("row.text")), "hash", "text")
+    kept = found.join(simhash_ball.roots(found, similar), "fp").groupBy("root").agg(first.alias("k")).select("k.id", "k.hash")
     # repeated rows of a kept document are dropped where the join has brought them together
     return rows.join(kept, ["id", "hash"], "left_semi").dropDuplicates(["id", "hash"]).select("row.*")
 

@@ -86,10 +86,11 @@ def links(fps: DataFrame) -> DataFrame:
     return stars.where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)).distinct()
 
 
-def roots(found: DataFrame) -> DataFrame:
-    """(fp, root) of the distinct fingerprints of stored rows: the smallest fingerprint that links reach."""
+def roots(found: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """(fp, root) of the distinct fingerprints of stored rows: the smallest fingerprint that links, ``more`` (a, b) among them, reach."""
     distinct = durable(found.select("fp").distinct())
-    linked = components(links(durable(with_neighbours(distinct)))).select(F.col("node").alias("fp"), "root")
+    near = links(durable(with_neighbours(distinct)))
+    linked = components(near if more is None else near.unionByName(more)).select(F.col("node").alias("fp"), "root")
     return distinct.join(durable(linked), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
