@@ -1,6 +1,6 @@
 """Registered queries of this subpackage, one per operator, and SQL where SQL can say the same."""
 
-from . import bpe, brown, digest_runs, fim_frames, fingerprint, langid, licenses, mixing, pivots, ring, simhash_ball, warc
+from . import bpe, brown, digest_runs, fim_frames, fingerprint, langid, licenses, maxsketch, mixing, pivots, ring, simhash_ball, warc
 
 QUERIES = {
     "op1_pivot_permutations": pivots.query,
@@ -15,10 +15,12 @@ QUERIES = {
     "op10_entropy_mix": mixing.query,
     "op11_fim_frames": fim_frames.query,
     "op12_digest_runs": digest_runs.query,
+    "op13_max_sketches": maxsketch.query,
 }
 ORACLES = {
     "op3_warc_revisits": warc.SQL,
     "op8_license_digests": licenses.SQL,
     "op11_fim_frames": fim_frames.SQL,
     "op12_digest_runs": digest_runs.SQL,
+    "op13_max_sketches": maxsketch.SQL,
 }
