@@ -37,17 +37,29 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents are linked by SimHash fingerprints within 3 bits, and by a similarity of 0.8 or more of
     their five-word shingles, which 64 bits cannot tell within so small a radius.
-    Among rows with that id one stays, of several texts the one with the smallest hash.
+    Among rows with that id one stays, of several texts the one with the smallest hashes.
     """
     # plain keys without null, so that the join and the aggregate behind it share one shuffle of the texts
-    rows = packed(docs).withColumns({"id": F.coalesce("row.doc_id", F.lit(NO_ID)), "hash": F.xxhash64(F.coalesce("row.text", F.lit("")))})
-    found = durable(simhash_ball.fingerprints(rows.withColumn("text", F.col("row.text")), ["id", "hash"]))
-    # rows of a class meet as one small row per class and task
-    first = F.min(F.struct((F.col("id") == NO_ID).alias("none"), "id", "hash"))
-    similar = near.links(rows.withColumn("text", F.col("row.text")), "hash", "text")
-    kept = found.join(simhash_ball.roots(found, similar), "fp").groupBy("root").agg(first.alias("k")).select("k.id", "k.hash")
+    text = F.coalesce("row.text", F.lit(""))
+    hashes = {f"h{i}": F.xxhash64(text, F.lit(i)) for i in range(2)}
+    rows = packed(docs).withColumns({"id": F.coalesce("row.doc_id", F.lit(NO_ID)), **hashes})
+    key = ["id", "h0", "h1"]
+    found = near.describe(rows.withColumn("text", F.col("row.text")), key)
+    # rows of a text meet as one small row per text and task
+    first = F.min(F.struct((F.col("id") == NO_ID).alias("none"), *key))
+    texts = durable(found.groupBy("h0", "h1").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"), first.alias("first")).withColumn("node", F.monotonically_increasing_id()))
+
+    def sets(nodes: DataFrame) -> DataFrame:
+        wanted = texts.join(nodes, "node").select("node", "first.id", "h0", "h1")
+        chosen = rows.select(*key, F.col("row.text").alias("text")).join(wanted, key)
+        return near.shingle_sets(chosen, ["node"]).groupBy("node").agg(F.first("set").alias("set"))
+
+    of = lambda side: texts.select(F.col("node").alias(side), F.col("fp").alias(f"{side}_fp"))
+    links = near.links(texts.select("node", "bands"), sets).join(of("a"), "a").join(of("b"), "b").where("a_fp <> b_fp")
+    similar = durable(links.select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b")).distinct())
+    kept = texts.join(simhash_ball.roots(texts, similar), "fp").groupBy("root").agg(F.min("first").alias("k")).select("k.id", "k.h0", "k.h1")
     # repeated rows of a kept document are dropped where the join has brought them together
-    return rows.join(kept, ["id", "hash"], "left_semi").dropDuplicates(["id", "hash"]).select("row.*")
+    return rows.join(kept, key, "left_semi").dropDuplicates(key).select("row.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

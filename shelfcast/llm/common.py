@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -41,6 +42,23 @@ def map_texts(docs: DataFrame, keep: list[str], text: str, schema: str, compute:
     return docs.select(*[F.col(f"`{c}`") for c in keep], *read).mapInArrow(run, whole)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
+    """Rows sorted by the whole numbers ``by`` as tables of one chunk that part no group."""
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([batch])
+        held = t if held is None else pa.concat_tables([held, t])
+        other = np.flatnonzero(np.any([(v := held[c].to_numpy()) != v[-1] for c in by], axis=0))
+        if len(other):  # the last group may go on in the next batch
+            cut = int(other[-1]) + 1
+            yield held.slice(0, cut).combine_chunks()
+            held = held.slice(cut)
+    if held is not None:
+        yield held.combine_chunks()
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Words with A-Z in lower case. The bytes methods touch ASCII only, as asked."""
     return text.encode().lower().split() if text else []

@@ -2,8 +2,12 @@ import random
 
 import pytest
 
+import numpy as np
+
 import corpus_pipeline as cp
+from shelfcast.functions.runtime import durable
 from shelfcast.llm import near
+from shelfcast.llm.common import components
 
 from .edge import frame
 
@@ -53,3 +57,82 @@ def test_near_copies_go_and_others_stay(spark, planted):
     assert not [i for i, s in enumerate(at) if s >= 0.8 and 2 * i + 1 in kept]
     # SimHash alone may link a few of these
     assert sum(2 * i + 1 in kept for i, s in enumerate(at) if s < 0.7) >= 0.9 * sum(s < 0.7 for s in at)
+
+
+def classes(spark, texts):
+    """Smallest place reached, per distinct text, by ``near.links``."""
+    df = durable(spark.createDataFrame(list(enumerate(texts)), "node long, text string"))
+    described = durable(near.describe(df, ["node"]))
+    sets = lambda nodes: near.shingle_sets(df.join(nodes, "node"), ["node"])
+    root = {r.node: r.root for r in components(near.links(described, sets)).collect()}
+    return [root.get(i, i) for i in range(len(texts))]
+
+
+def brute(texts):
+    """The same by all pairs, through an inverted index of shingles."""
+    sets, held = [plain(t) for t in texts], {}
+    label = list(range(len(texts)))
+
+    def find(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i, s in enumerate(sets):
+        both = {}
+        for shingle in s:
+            for j in held.get(shingle, ()):
+                both[j] = both.get(j, 0) + 1
+            held.setdefault(shingle, []).append(i)
+        for j, n in both.items():
+            if n >= 0.8 * (len(s) + len(sets[j]) - n):
+                a, b = find(i), find(j)
+                label[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(texts))]
+
+
+def test_pairs_in_a_template_crowd(spark):
+    """Texts filled in from one template share bands by the hundred without being linked; the planted pairs among them are."""
+    rng = random.Random(6)
+    template = [f"t{i}" for i in range(400)]
+    texts = []
+    for k in range(1200):
+        # about a third of the shingles of two fillings differ
+        words = edited(template, rng.randrange(12, 18), rng)
+        texts.append(" ".join(words))
+        if k % 24 == 0:
+            texts.append(" ".join(edited(words, 4, rng)))
+    rng.shuffle(texts)
+    want = brute(texts)
+    assert 40 <= sum(w != i for i, w in enumerate(want)) < 400
+    assert classes(spark, texts) == want
+
+
+def test_a_large_group_with_stragglers_and_long_texts(spark):
+    rng = random.Random(7)
+    base = [f"b{i}" for i in range(200)]
+    texts = [" ".join(edited(base, 2, rng)) for _ in range(1500)]
+    other = edited(base, 20, rng)
+    texts += [" ".join(other), " ".join(edited(other, 1, rng))]
+    long = [f"l{rng.randrange(4000)}" for _ in range(30_000)]
+    texts += [" ".join(long), " ".join(edited(long, 100, rng)), "", "one", "one two", " \n"]
+    want = brute([t if t.split() else f"none{i}" for i, t in enumerate(texts)])
+    assert classes(spark, texts) == want
+
+
+@pytest.mark.parametrize("two", [False, True])
+def test_a_block_by_all_pairs(two, monkeypatch):
+    rng = np.random.default_rng(8)
+    sets = [np.unique(np.concatenate([rng.integers(0, 40, 5), np.arange(30)])) for _ in range(40)] + [np.arange(100, 160), np.arange(100, 150)]
+    side = np.array([i % 2 for i in range(42)]) if two else np.zeros(42, "int64")
+    offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    linked = {(i, j) for i in range(42) for j in range(i) if (not two or side[i] != side[j]) and len(np.intersect1d(sets[i], sets[j])) >= 0.9 * len(np.union1d(sets[i], sets[j]))}
+    label = list(range(42))
+    for _ in range(42):
+        for i, j in linked:
+            label[i] = label[j] = min(label[i], label[j])
+    for columns in (7, 4096):
+        monkeypatch.setattr(near, "COLUMNS", columns)
+        nodes, star = near.compare(np.arange(42), side, two, np.concatenate(sets), offsets, 0.9)
+        assert dict(zip(nodes.tolist(), star.tolist())) == {i: x for i, x in enumerate(label) if x != i}
+    assert len(linked) > 5

@@ -1,5 +1,6 @@
 import collections
 
+import numpy as np
 import pytest
 
 import corpus_pipeline as cp
@@ -8,11 +9,28 @@ from shelfcast.llm import bpe, mixing, simhash_ball
 
 from .edge import ROWS, frame
 from .test_mixing import fill
-from .test_simhash_ball import brute, plain
+from .test_near import similarity
+from .test_simhash_ball import plain
 
 SF = "/root/testdata/sf0.001"
 
 
+def brute(texts):
+    """Smallest index reached by links of either rule: 3 bits, or 0.8 of the five-word shingles."""
+    v = np.array([plain(t) for t in texts], "uint64")
+    near = np.bitwise_count(v[:, None] ^ v[None]) <= 3
+    for i, a in enumerate(texts):
+        for j in range(i):
+            if not near[i, j] and (a or "").split() and (texts[j] or "").split() and similarity(a, texts[j]) >= 0.8:
+                near[i, j] = near[j, i] = True
+    label = np.arange(len(v))
+    while True:
+        after = np.array([label[row].min() for row in near])
+        if (after == label).all():
+            return label
+        label = after
+
+
 @pytest.fixture(scope="module")
 def stages(spark):
     """Output of every stage over the smallest tables, the input first."""
@@ -41,7 +59,7 @@ def test_language_keeps_documents_with_letters(stages):
 
 def test_one_of_each_class_stays(stages):
     before = sorted(rows(stages[1]), key=lambda r: r["doc_id"])
-    label = brute([plain(r["text"]) for r in before])
+    label = brute([r["text"] for r in before])
     assert {r["doc_id"] for r in rows(stages[2])} == {before[i]["doc_id"] for i in set(label)}
     assert stages[2].count() == len(set(label))
 
@@ -89,7 +107,7 @@ def test_edges(spark):
 def _linked():
     """Distinct texts of the edge cases, less their classes."""
     texts = list(dict.fromkeys((r[1] or "").strip() and r[1] or "" for r in ROWS))
-    return len(texts) - len(set(brute([plain(t) for t in texts])))
+    return len(texts) - len(set(brute(texts)))
 
 
 def test_repeated_copies_of_one_size(spark):
