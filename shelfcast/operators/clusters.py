@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import ratio
@@ -63,20 +69,101 @@ def bisecting(df: DataFrame, keys: list[str], cols: list[str], k: int, seed: int
     return out.drop("features"), model
 
 
-def gmm(df: DataFrame, keys: list[str], cols: list[str], k: int, seed: int = 1, tries: int = 1):
+@dataclass
+class Mixture:
+    """Gaussian components: weights (k), means (k × d) and covariances (k × d × d)."""
+
+    weights: np.ndarray
+    means: np.ndarray
+    covariances: np.ndarray
+
+    def log_densities(self, x: np.ndarray) -> np.ndarray:
+        """Log of weight times density, rows × components."""
+        out = np.empty((len(x), len(self.weights)))
+        for j, (w, m, c) in enumerate(zip(self.weights, self.means, self.covariances)):
+            low = np.linalg.cholesky(c)
+            z = np.linalg.solve(low, (x - m).T)
+            out[:, j] = np.log(max(w, 1e-300)) - (z * z).sum(axis=0) / 2 - np.log(np.diag(low)).sum() - len(m) / 2 * np.log(2 * np.pi)
+        return out
+
+    def memberships(self, x: np.ndarray) -> tuple[np.ndarray, float]:
+        """(probability of each component per row, log likelihood of all rows)."""
+        logs = self.log_densities(x)
+        most = logs.max(axis=1, keepdims=True)
+        p = np.exp(logs - most)
+        total = p.sum(axis=1, keepdims=True)
+        return p / total, float((most + np.log(total)).sum())
+
+    def sums(self, x: np.ndarray) -> np.ndarray:
+        """What a step needs of some rows, as one vector: rows, log likelihood, and Σp, Σpx, Σpxxᵀ per component."""
+        p, like = self.memberships(x)
+        square = np.einsum("nk,ni,nj->kij", p, x, x, optimize=True)
+        return np.concatenate([[len(x), like], p.sum(axis=0), (p.T @ x).ravel(), square.ravel()])
+
+    def step(self, sums: np.ndarray, least: float) -> Mixture:
+        """The most likely mixture for these sums; ``least`` is added to the variances."""
+        k, d = self.means.shape
+        n = np.maximum(sums[2 : 2 + k], 1e-12)
+        means = sums[2 + k : 2 + k + k * d].reshape(k, d) / n[:, None]
+        square = sums[2 + k + k * d :].reshape(k, d, d) / n[:, None, None]
+        cov = square - np.einsum("ki,kj->kij", means, means) + least * np.eye(d)
+        return Mixture(n / n.sum(), means, cov)
+
+
+def gmm(df: DataFrame, keys: list[str], cols: list[str], k: int, seed: int = 1, iterations: int = 50, tolerance: float = 1e-4):
     """(rows with ``cluster`` and membership ``p_0``…, model) by a Gaussian mixture.
 
-    The start is random, so ``tries`` > 1 fits from that many seeds and keeps the most likely model.
+    The components start at the centres of k-means, each with the spread of all rows over the number of
+    components: a random start may give two groups one component. Every step adds up one vector per
+    task, of a size that depends on k and the columns alone; it stops when the mean log likelihood
+    grows by less than ``tolerance``. Rows with a null in ``cols`` have no cluster.
     """
-    from pyspark.ml.clustering import GaussianMixture
-    from pyspark.ml.functions import vector_to_array
-
-    vec = durable(steady_order(to_vector(df, cols), keys).select("features"))
-    fits = [GaussianMixture(k=k, seed=seed + i, maxIter=50, predictionCol="cluster").fit(vec) for i in range(tries)]
-    model = max(fits, key=lambda m: m.summary.logLikelihood)
-    p = vector_to_array("probability")
-    out = model.transform(to_vector(df, cols))
-    return out.select(*df.columns, "cluster", *[p[i].alias(f"p_{i}") for i in range(k)]), model
+    values = df.select(*keys, F.array(*[F.col(c).cast("double") for c in cols]).alias("_x"))
+    known = durable(values.where(~F.exists("_x", lambda v: v.isNull())))
+    _, centres = kmeans(df.dropna(subset=cols), keys, cols, k, seed)
+    scale = known.select(*[F.var_pop(F.get("_x", F.lit(i))).alias(f"v{i}") for i in range(len(cols))]).first()
+    spread = np.diag([max(v or 0.0, 1e-12) for v in scale])
+    least = 1e-9 * float(np.trace(spread)) / len(cols)
+    means = np.array(centres.clusterCenters())
+    model = Mixture(np.full(len(means), 1 / len(means)), means, np.repeat(spread[None] / len(means) ** 2, len(means), axis=0) + least * np.eye(len(cols)))
+    before = -np.inf
+    for _ in range(iterations):
+        total = _added_up(known, model)
+        model = model.step(total, least)
+        if total[1] / total[0] - before < tolerance:
+            break
+        before = total[1] / total[0]
+
+    @F.pandas_udf("array<double>")
+    def memberships(rows: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(rows), dtype=object)
+        some = [i for i, x in enumerate(rows) if not np.isnan(np.asarray(x, float)).any()]
+        if some:
+            out.iloc[some] = list(model.memberships(np.stack([np.asarray(rows.iloc[i], float) for i in some]))[0])
+        return out
+
+    p = memberships(F.array(*[F.col(c).cast("double") for c in cols]))
+    found = df.withColumn("_p", p)
+    cluster = (F.array_position("_p", F.array_max("_p")) - 1).cast("int")
+    return found.select(*df.columns, cluster.alias("cluster"), *[F.get("_p", F.lit(i)).alias(f"p_{i}") for i in range(len(means))]), model
+
+
+def _matrix(column: pa.Array, d: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+
+
+def _added_up(rows: DataFrame, model: Mixture) -> np.ndarray:
+    """The sums of all rows; one vector per task is shuffled, in an order that does not depend on the tasks."""
+    d = model.means.shape[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = sum(model.sums(_matrix(b.column(0), d)) for b in batches if b.num_rows)
+        if not np.isscalar(total):
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], ["i", "v"])
+
+    ordered = F.aggregate(F.sort_array(F.collect_list("v")), F.lit(0.0), lambda a, b: a + b)
+    got = rows.select("_x").mapInArrow(run, "i int, v double").groupBy("i").agg(ordered.alias("v")).collect()
+    return np.array([r["v"] for r in sorted(got, key=lambda r: r["i"])])
 
 
 def choose_k(df: DataFrame, keys: list[str], cols: list[str], ks: list[int], seed: int = 1) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..functions import isax
 from ..functions.columns import as_col, shift_period
 from ..functions.runtime import durable
 from ..functions.vectors import topk_cosine
@@ -131,32 +133,32 @@ def analog_own(panel: DataFrame, keys: list[str], freq: str, origin, H: int, L:
     s = known.groupBy(*keys).agg(F.sort_array(F.collect_list(point)).alias("_p"))
     s = s.select(*keys, F.transform("_p", lambda p: p["y"]).alias("_y"))
     y = F.col("_y")
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda t, v: t + v)
     recent = F.slice(y, F.greatest(F.size(y) - L + 1, F.lit(1)), F.lit(L))
-    flat = s.select(*keys, (F.aggregate(recent, F.lit(0.0), lambda t, v: t + v) / F.size(recent)).alias("_flat"))
-    s = s.where(F.size("_y") >= 2 * L + H)
-    s = s.withColumn("_now", F.slice(y, -L, L))
+    s = s.withColumns({"_now": recent, "_flat": total(recent) / F.size(recent)})
     mean, sd = _stats(F.col("_now"), L)
     s = s.withColumns({"_mean": mean, "_sd": sd})
     s = s.withColumn("_q", zscore_array(F.col("_now"), F.col("_mean"), F.col("_sd")))
-    s = s.withColumn(
-        "_past",
-        F.transform(
-            F.sequence(F.lit(1), F.size(y) - L - H + 1),
-            lambda i: F.struct(i.alias("i"), F.slice(y, i, F.lit(L)).alias("x"), F.slice(y, i + L, F.lit(H)).alias("next")),
-        ),
-    )
-    s = s.select(*keys, "_mean", "_sd", "_q", F.explode("_past").alias("_w"))
-    m, d = _stats(F.col("_w.x"), L)
-    s = s.select(*keys, "_mean", "_sd", "_q", F.col("_w.i").alias("i"), F.col("_w.x").alias("x"), F.col("_w.next").alias("next"), m.alias("m"), d.alias("d"))
-    dot = F.aggregate(F.zip_with("_q", zscore_array(F.col("x"), F.col("m"), F.col("d")), lambda a, b: a * b), F.lit(0.0), lambda t, v: t + v)
-    s = s.where((F.col("d") > 1e-9) & (F.col("_sd") > 1e-9)).withColumn("similarity", F.round(dot / L, 9))
-    best = s.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("similarity"), F.desc("i"))))
-    best = best.where(F.col("rank") <= k)
-    steps = best.select(*keys, "_mean", "_sd", "m", "d", F.posexplode("next").alias("_h", "_v"))
-    out = steps.groupBy(*keys, (F.col("_h") + 1).alias("h")).agg(
-        (F.first("_mean") + F.first("_sd") * F.avg((F.col("_v") - F.col("m")) / F.col("d"))).alias("yhat")
+    # all past windows stay in the row; each step adds what the next one needs, so nothing is worked out twice
+    starts = F.when((F.size(y) >= 2 * L + H) & (F.col("_sd") > 1e-9), F.sequence(F.lit(1), F.size(y) - L - H + 1))
+    w = F.transform(starts, lambda i: F.struct(i.alias("i"), F.slice(y, i, F.lit(L)).alias("x"), F.slice(y, i + L, F.lit(H)).alias("next")))
+    w = F.transform(w, lambda w: F.struct(w["i"].alias("i"), w["x"].alias("x"), w["next"].alias("next"), (total(w["x"]) / L).alias("m")))
+    spread = lambda w: F.aggregate(w["x"], F.lit(0.0), lambda t, v: t + (v - w["m"]) * (v - w["m"]))
+    w = F.transform(w, lambda w: F.struct(w["i"].alias("i"), w["x"].alias("x"), w["next"].alias("next"), w["m"].alias("m"), F.sqrt(spread(w) / L).alias("d")))
+    w = F.filter(w, lambda w: w["d"] > 1e-9)
+    dot = lambda w: total(F.zip_with(F.col("_q"), w["x"], lambda a, b: a * ((b - w["m"]) / w["d"])))
+    w = F.transform(w, lambda w: F.struct(
+        F.round(dot(w) / L, 9).alias("similarity"), w["i"].alias("i"), F.transform(w["next"], lambda v: (v - w["m"]) / w["d"]).alias("next")
+    ))
+    # on equal similarity the later window
+    s = s.withColumn("_top", F.slice(F.sort_array(w, asc=False), 1, k))
+    ahead = lambda i: F.col("_mean") + F.col("_sd") * F.aggregate("_top", F.lit(0.0), lambda t, w: t + F.get(w["next"], i)) / F.size("_top")
+    steps = F.transform(F.sequence(F.lit(0), F.lit(H - 1)), lambda i: F.when(F.size("_top") > 0, ahead(i)).otherwise(F.col("_flat")))
+    at = as_col(origin)
+    return s.select(*keys, F.posexplode(steps).alias("_h", "yhat")).select(
+        *keys, at.alias("origin"), F.lit("analog_own").alias("model"), (F.col("_h") + 1).alias("h"),
+        shift_period(at, F.col("_h") + 1, freq).alias("period"), "yhat",
     )
-    return _every_step(flat, out, keys, freq, origin, H, "analog_own")
 
 
 def _every_step(flat: DataFrame, fc: DataFrame, keys: list[str], freq: str, origin, H: int, name: str) -> DataFrame:
@@ -169,12 +171,16 @@ def _every_step(flat: DataFrame, fc: DataFrame, keys: list[str], freq: str, orig
     )
 
 
-def analog(panel: DataFrame, keys: list[str], freq: str, origin, H: int, L: int, k: int) -> DataFrame:
+def analog(
+    panel: DataFrame, keys: list[str], freq: str, origin, H: int, L: int, k: int,
+    search: Callable[[DataFrame, DataFrame, int], DataFrame] | None = None, name: str = "analog",
+) -> DataFrame:
     """As ``analog_own``, with the past windows of all series as candidates (exact search).
 
     A window is named by its series and last period, which also decides between equal similarities. A
     series that is short or constant in its latest window gets the mean of that window.
-    Work is series × windows: for very many series use ``analog_own``.
+    ``search`` finds the k windows most like each query: by default every window is compared, so work
+    is series × windows; ``analog_indexed`` compares only windows that an index does not rule out.
     """
     w = by_series(keys)
     at = as_col(origin)
@@ -190,13 +196,18 @@ def analog(panel: DataFrame, keys: list[str], freq: str, origin, H: int, L: int,
     now = rows.where((F.col("period") == at) & (F.col("win_sd") > 1e-9))
     recent = known.where(F.col("period") > shift_period(at, -L, freq))
     flat = known.select(*keys).distinct().join(recent.groupBy(*keys).agg(F.avg("qty").alias("_flat")), keys, "left")
-    near = topk(past, now, k)
+    near = (search or topk)(past, now, k)
     scale = now.select(F.col("id").alias("query_id"), *keys, F.col("win_mean").alias("_mean"), F.col("win_sd").alias("_sd"))
     then = past.select(F.col("id").alias("neighbour_id"), "next", F.col("win_mean").alias("m"), F.col("win_sd").alias("d"))
     steps = near.join(then, "neighbour_id").select("query_id", "m", "d", F.posexplode("next").alias("_h", "_v"))
     mean = steps.groupBy("query_id", (F.col("_h") + 1).alias("h")).agg(F.avg((F.col("_v") - F.col("m")) / F.col("d")).alias("_f"))
     fc = mean.join(scale, "query_id").select(*keys, "h", (F.col("_mean") + F.col("_sd") * F.col("_f")).alias("yhat"))
-    return _every_step(flat.fillna(0.0, ["_flat"]), fc, keys, freq, origin, H, "analog")
+    return _every_step(flat.fillna(0.0, ["_flat"]), fc, keys, freq, origin, H, name)
+
+
+def analog_indexed(panel: DataFrame, keys: list[str], freq: str, origin, H: int, L: int, k: int) -> DataFrame:
+    """The forecasts of ``analog`` through an index of words of several resolutions (``functions.isax``)."""
+    return analog(panel, keys, freq, origin, H, L, k, isax.topk, "analog_indexed")
 
 
 def embed_clusters(vectors: DataFrame, keys: list[str], k: int, seed: int = 1, emb: str = "emb"):

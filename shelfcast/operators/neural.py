@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from ..functions.columns import as_col, shift_period
 from ..functions.ranks import exact_quantiles
+from ..functions.runtime import durable
 from ..functions.vectors import lit_json
 from .clusters import steady_order
 from .learn import tails, windows
@@ -155,23 +156,21 @@ def fit_nn(train: DataFrame, L: int, hidden: int = 8, epochs: int = 40, rate: fl
         rng.normal(0, 1 / np.sqrt(L), (L, hidden)), np.zeros(hidden), rng.normal(0, 1 / np.sqrt(hidden), hidden), 0.0,
         float(st["m"]), float(st["s"]) or 1.0,
     )
-    data = train.select(F.col("lookback"), F.col("target").cast("double")).persist()
-    try:
-        v = net.flat()
-        m1, m2 = np.zeros_like(v), np.zeros_like(v)
-        for t in range(1, epochs + 1):
-            # tasks end in any order: a fixed order of the terms makes the sum the same on every run
-            ordered = F.aggregate(F.sort_array(F.collect_list("v")), F.lit(0.0), lambda a, b: a + b)
-            sums = data.mapInArrow(_gradient_rows(net), "i int, v double").groupBy("i").agg(ordered.alias("v")).collect()
-            total = np.array([r["v"] for r in sorted(sums, key=lambda r: r["i"])])
-            if not len(total):
-                break
-            g = total[2:] / total[0]
-            m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
-            v = v - rate * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-8)
-            net = net.with_flat(v)
-    finally:
-        data.unpersist()
+    # written once: every epoch reads it, and a lost executor costs a re-read
+    data = durable(train.select(F.col("lookback"), F.col("target").cast("double")))
+    v = net.flat()
+    m1, m2 = np.zeros_like(v), np.zeros_like(v)
+    for t in range(1, epochs + 1):
+        # tasks end in any order: a fixed order of the terms makes the sum the same on every run
+        ordered = F.aggregate(F.sort_array(F.collect_list("v")), F.lit(0.0), lambda a, b: a + b)
+        sums = data.mapInArrow(_gradient_rows(net), "i int, v double").groupBy("i").agg(ordered.alias("v")).collect()
+        total = np.array([r["v"] for r in sorted(sums, key=lambda r: r["i"])])
+        if not len(total):
+            break
+        g = total[2:] / total[0]
+        m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
+        v = v - rate * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-8)
+        net = net.with_flat(v)
     return net
 
 

@@ -7,6 +7,7 @@ discount of 5 % or more stands in for a promotion; price is the line price per u
 from __future__ import annotations
 
 import datetime as dt
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -145,5 +146,10 @@ WHOLE = "WITH " + whole_sql()
 WEEKLY = "WITH " + panel_sql("p_brand", "week")
 
 
+def materialized(sql: str) -> str:
+    """The SQL with every named part worked out once, whatever the optimiser makes of its size."""
+    return re.sub(r"(\w+) AS \((?=\s*SELECT)", r"\1 AS MATERIALIZED (", sql)
+
+
 def date_lit(text: str) -> Column:
     return F.lit(dt.date.fromisoformat(text))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import forecast as FC, hybrid as Y, patterns as T, rules as R
 from ..operators.score import score
-from .base import KEYS, PANEL, panel
+from .base import KEYS, PANEL, materialized, panel
 from .q_features import qty_panel
 from .q_forecast import FOLDS, H, METRIC_COLS, MODELS, ORIGIN, fc_sql, score_sql
 from .q_patterns import SBC_SQL, segments
@@ -160,11 +160,11 @@ FROM grid LEFT JOIN seg USING (p_brand, c_nationkey) LEFT JOIN picks USING (p_br
 LEFT JOIN (SELECT p_brand, c_nationkey, h, model AS pick, yhat FROM {all}) AS r USING (p_brand, c_nationkey, h, pick)
 LEFT JOIN (SELECT p_brand, c_nationkey, h, yhat FROM fc WHERE model = 'snaive') AS n USING (p_brand, c_nationkey, h)
 LEFT JOIN means USING (segment)"""
-HYBRID_SQL = PANEL + f""", {KNOWN_SBC}, {ALL_FC}, {SPLIT}, {BY_SERIES}, {BEST_SQL}, {WEIGHT_SQL}, {COMBINED_SQL},
+HYBRID_SQL = materialized(PANEL + f""", {KNOWN_SBC}, {ALL_FC}, {SPLIT}, {BY_SERIES}, {BEST_SQL}, {WEIGHT_SQL}, {COMBINED_SQL},
 picks AS (SELECT p_brand, c_nationkey, CASE segment WHEN 'smooth' THEN 'ses' WHEN 'lumpy' THEN 'sba' WHEN 'erratic' THEN 'combined'
                  WHEN 'intermittent' THEN best.model END AS pick FROM seg LEFT JOIN best USING (p_brand, c_nationkey)),
 either AS (SELECT p_brand, c_nationkey, h, model, yhat FROM fc UNION ALL SELECT p_brand, c_nationkey, h, model, yhat FROM combined),
-""" + FILL_SQL.replace("{all}", "either")
+""" + FILL_SQL.replace("{all}", "either"))
 
 
 @query("hybrid_run", HYBRID_SQL, rounded="yhat")

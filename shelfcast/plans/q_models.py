@@ -7,6 +7,7 @@ from functools import partial
 
 from pyspark.sql import functions as F
 
+from ..functions import isax
 from ..operators import clusters as C, embed as E, features as X, learn as L, neural as N, patterns as T, rules as R
 from ..functions.runtime import durable
 from ..operators.score import score
@@ -352,6 +353,24 @@ def _(spark, sf):
     return E.analog(qty_panel(spark, sf), KEYS, "month", ORIGIN, H, LOOK, 3)
 
 
+@query("analog_indexed", ANALOG_SQL.replace("{match}", "true").replace("{tie}", "kid") + ANALOG_TAIL.replace("{name}", "analog_indexed"),
+       rounded="yhat")
+def _(spark, sf):
+    return E.analog_indexed(qty_panel(spark, sf), KEYS, "month", ORIGIN, H, LOOK, 3)
+
+
+@query("similar_indexed", """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+s AS (SELECT a.vec_id AS query_id, b.vec_id AS neighbour_id, round(list_cosine_similarity(a.e, b.e), 9) AS similarity
+      FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)
+SELECT query_id, neighbour_id, similarity, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, neighbour_id) AS INTEGER) AS rank
+FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, neighbour_id) <= 5""", rounded="similarity")
+def _(spark, sf):
+    # a search through the index: its queries are the vectors whose id is divisible by 20
+    v = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return isax.topk(v, v.where("vec_id % 20 = 0"), 5, "vec_id", "embedding").drop("compared")
+
+
 @query("embed_clusters")
 def _(spark, sf):
     # Clusters of the vectors against the label they came with.

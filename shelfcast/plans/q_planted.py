@@ -172,10 +172,10 @@ m AS (SELECT p_brand, c_nationkey, avg(qty) AS mean FROM panel GROUP BY ALL)
 SELECT p_brand, c_nationkey, min(p_brand || '|' || lpad(CAST(c_nationkey AS VARCHAR), 2, '0')) OVER (PARTITION BY c_nationkey % 4) AS cluster FROM m"""
 
 
-def grouped(spark, sf, fit, groups=4):
+def grouped(spark, sf, fit):
     """Clusters under the name of their first series."""
     means = qty_panel(spark, sf).groupBy(*KEYS).agg(F.avg("qty").alias("mean"))
-    group = F.col("c_nationkey") % groups
+    group = F.col("c_nationkey") % 4
     spots = means.select(*KEYS, (F.col("mean") / 1000 + (group % 2) * 100).alias("x"), (F.floor(group / 2) * 100.0).alias("y"))
     found = durable(fit(durable(spots)).select(*KEYS, "cluster"))
     name = F.concat_ws("|", "p_brand", F.lpad(F.col("c_nationkey").cast("string"), 2, "0"))
@@ -193,10 +193,9 @@ def _(spark, sf):
     return grouped(spark, sf, lambda df: C.bisecting(df, KEYS, ["x", "y"], 4)[0])
 
 
-@query("planted_gmm", GROUPS_SQL.replace("c_nationkey % 4", "c_nationkey % 2"))
+@query("planted_gmm", GROUPS_SQL)
 def _(spark, sf):
-    # two groups: the start is random, and of four groups two may share a component
-    return grouped(spark, sf, lambda df: C.gmm(df, KEYS, ["x", "y"], 2, tries=5)[0], groups=2)
+    return grouped(spark, sf, lambda df: C.gmm(df, KEYS, ["x", "y"], 4)[0])
 
 
 @query("planted_choose_k", PANEL + """

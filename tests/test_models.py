@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from shelfcast.functions import isax
 from shelfcast.operators import clusters as C, embed as E, features as X, learn as L, neural as N
 from tests.conftest import month
 
@@ -24,7 +25,7 @@ def test_clusterings_find_planted_centres(blobs):
         rand = C.agreement(out, "truth", "cluster").first().rand_index
         assert rand == 1.0, fit
     two = blobs.withColumn("truth", F.col("truth") % 2)
-    out, _ = C.gmm(two, ["id"], ["x"], 2, tries=2)
+    out, _ = C.gmm(two, ["id"], ["x"], 2)
     assert C.agreement(out, "truth", "cluster").first().rand_index == 1.0
     assert out.agg(F.max(F.abs(F.col("p_0") + F.col("p_1") - 1))).first()[0] < 1e-9
     assert C.choose_k(blobs, ["id"], ["x", "y"], [2, 4, 6]).where("rank = 1").first().k == 4
@@ -252,3 +253,49 @@ def test_analogs_repeat_a_planted_cycle(make_panel):
         assert {(r.s, r.h): round(r.yhat, 6) for r in rows} == {
             (s, h): f * cycle[h - 1] for s, f in (("a", 1), ("b", 2)) for h in (1, 2, 3)
         }
+
+
+def test_indexed_search_equals_all_pairs(spark):
+    """Random, equal and zero vectors, queries in and out of the index, few and many neighbours, small blocks and leaves."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(400, 12)), np.repeat(rng.normal(size=(3, 12)), 40, axis=0), np.zeros((5, 12))])
+    x[400:520:2] += rng.normal(scale=1e-3, size=(60, 12))
+    v = spark.createDataFrame([(f"v{i:03d}", row.tolist()) for i, row in enumerate(x)], "id string, emb array<double>")
+    q = v.where("id < 'v020' OR id >= 'v400'").unionByName(
+        spark.createDataFrame([(f"q{i}", row.tolist()) for i, row in enumerate(rng.normal(size=(10, 12)))], "id string, emb array<double>")
+    )
+    cols = ["query_id", "neighbour_id", "similarity", "rank"]
+    for k in (1, 4, 30):
+        want = sorted(map(tuple, E.topk(v, q, k).select(cols).collect()))
+        got = isax.topk(v, q, k)
+        assert sorted(map(tuple, got.select(cols).collect())) == want
+    assert isax.topk(v, q.limit(0), 3).count() == 0 and isax.topk(v.limit(0), q, 3).count() == 0
+
+
+def test_leaves_hold_every_row_once_and_bounds_hold():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(2000, 12))
+    x[:300] = x[0]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    parts = isax.leaves_of(x, 50)
+    assert sorted(np.concatenate(parts).tolist()) == list(range(2000)) and max(map(len, parts)) <= 50
+    lo, hi = (np.array([f(x[p], axis=0) for p in parts]) for f in (np.min, np.max))
+    bound = isax.bounds(x[::20], lo, hi)
+    for j, p in enumerate(parts):
+        assert (bound[:, j] >= (x[::20] @ x[p].T).max(axis=1)).all()
+    # like windows lie together: most leaves are ruled out for a query that has close neighbours
+    walks = isax._unit(np.cumsum(rng.normal(size=(20_000, 12)), axis=1))
+    walks = isax._unit(walks - walks.mean(axis=1, keepdims=True))
+    parts = isax.leaves_of(walks)
+    lo, hi = (np.array([f(walks[p], axis=0) for p in parts]) for f in (np.min, np.max))
+    near = isax._unit(walks[::200] + rng.normal(scale=0.01, size=(100, 12)))
+    assert (isax.bounds(near, lo, hi) < 0.99).mean() > 0.9
+
+
+def test_indexed_analogs_equal_all_pairs(make_panel):
+    rng = np.random.default_rng(5)
+    p = make_panel({f"s{i}": rng.poisson(2, 48).tolist() for i in range(25)} | {"flat": [3] * 48, "zero": [0] * 48, "short": [1, 2, 3]})
+    cols = ["s", "h", "period"]
+    one, two = ({tuple(r[c] for c in cols): r.yhat for r in f(p, ["s"], "month", month(41), 3, 6, 4).collect()} for f in (E.analog, E.analog_indexed))
+    assert one.keys() == two.keys() and len(one) == 28 * 3
+    assert all(one[x] == pytest.approx(two[x]) for x in one)
