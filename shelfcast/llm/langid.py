@@ -2,8 +2,9 @@
 
 Each language has a model of sequences of letters (lower case; whatever lies between letters is one
 space). Probabilities and interpolation weights are kept in arrays sorted by a 64-bit hash of the
-sequence. The language with the lowest cross-entropy per character is chosen; documents whose
-cross-entropy is far above that of documents the models have not seen are rejected.
+sequence. The language with the lowest cross-entropy per character is chosen; documents that are half
+as unlike that language as texts of its nearest neighbour, or have twice the usual cross-entropy, are
+rejected.
 """
 
 from __future__ import annotations
@@ -156,8 +157,13 @@ class Identifier:
         """How far a text's cross-entropy is above the usual one; that of short texts varies more."""
         return (bits[np.arange(len(n)), best] - self.usual[best]) * np.sqrt(np.minimum(n, 200) / 200)
 
-    def calibrate(self, texts: list[str], labels: list[str], quantile: float = 0.999, margin: float = 3.0) -> None:
-        """Fit sharpness and limits to labelled texts that the models have not seen."""
+    def calibrate(self, texts: list[str], labels: list[str], share: float = 0.5) -> None:
+        """Fit sharpness and limits to labelled texts that the models have not seen.
+
+        A text of another language has an excess of its own under each model. The limit of a language is
+        ``share`` of the median excess of the language that comes nearest to it, and no more than its
+        own usual cross-entropy. Medians do not move with junk that carries a label.
+        """
         bits, n = entropies(self.models, texts)
         some = n > 0
         bits, n = bits[some], n[some]
@@ -174,12 +180,10 @@ class Identifier:
             own = truth == k
             if own.any():
                 self.usual[k] = np.median(bits[own, k])
-        far = self.excess(bits, n, truth)
         for k in range(len(self.models)):
-            # languages with few texts take the limit of all
-            own = truth == k if (truth == k).sum() >= 100 else truth >= 0
-            # a margin above the quantile, for documents that are rarer than the sample is large
-            self.limit[k] = max(np.quantile(far[own], quantile), 0.1) * margin
+            far = self.excess(bits, n, np.full(len(n), k))
+            others = [np.median(far[truth == j]) for j in range(len(self.models)) if j != k and (truth == j).any()]
+            self.limit[k] = max(min([share * x for x in others] + [self.usual[k]]), 0.1)
 
     def predict(self, texts: list[str | None]) -> dict[str, np.ndarray]:
         """lang_pred, score and rejected for each text."""

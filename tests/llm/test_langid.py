@@ -1,3 +1,5 @@
+import collections
+import math
 import random
 import zlib
 
@@ -46,6 +48,51 @@ def test_probabilities_add_up_to_one(model):
             assert p[:-1].sum() + p[-1] * (1 / langid.UNIFORM - len(symbols) + 1) == pytest.approx(1, abs=1e-6)
 
 
+def reference(texts):
+    """log2 probability of the fourth of four symbols, by textbook counts in dictionaries."""
+    grams = collections.Counter()
+    for t in texts:
+        padded = "   " + "".join(clean(t))
+        grams.update(padded[i - 3 : i + 1] for i in range(3, len(padded)))
+    levels = {4: grams}
+    for k in (3, 2, 1):
+        # how many distinct symbols precede a sequence
+        levels[k] = collections.Counter(g[1:] for g in levels[k + 1])
+
+    def p(g):
+        if not g:
+            return langid.UNIFORM
+        counts = levels[len(g)]
+        n1, n2 = (sum(c == i for c in counts.values()) for i in (1, 2))
+        d = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+        follow = [c for h, c in counts.items() if h[:-1] == g[:-1]]
+        if not follow:
+            return p(g[1:])
+        return max(counts[g] - d, 0) / sum(follow) + d * len(follow) / sum(follow) * p(g[1:])
+
+    return lambda g: math.log2(p(g))
+
+
+def clean(t):
+    out = []
+    for c in t.lower():
+        c = c if c.isalpha() else " "
+        if c != " " or (out and out[-1] != " "):
+            out.append(c)
+    return out
+
+
+def test_probabilities_by_plain_counts():
+    some = texts("bb", 25, 3) + ["Shre, gron!", "x"]
+    pieces = [langid.windows(s) for t in some for s in langid.symbols(t)]
+    columns = [np.concatenate(c) for c in zip(*pieces)]
+    first, index = langid.distinct(columns)
+    model = langid.KneserNey(np.stack([c[first] for c in columns], axis=1), np.bincount(index))
+    log2 = reference(some)
+    for g in ("  sh", "gron", "dwal", "ethx", "zzzz", "n et", "e gr", " x  ", "shrq"):
+        assert model.log2([np.array([ord(c)], "uint32") for c in g])[0] == pytest.approx(log2(g))
+
+
 def test_entropy_by_hand(model):
     """Text by text and character by character."""
     some = ["Kalo, MITU!\n42 kalo", "x", "ÉLI  ção"]
@@ -80,6 +127,22 @@ def test_rejection(spark, model):
     assert not any(model.predict(fresh)["rejected"])
 
 
+def test_junk_that_carries_labels(spark):
+    """One in twenty texts of each language is junk with a label; unseen junk goes and clean texts stay."""
+    rng = random.Random(12)
+    junk = lambda: " ".join("".join(rng.choices("qxzjwvkfpyžøßþ", k=rng.randrange(3, 9))) for _ in range(rng.randrange(8, 60)))
+    rows = [(junk() if i % 20 == 0 else t, lang) for lang in SYLLABLES for i, t in enumerate(texts(lang, 300, 5))]
+    dirty = langid.fit(frame(spark, [(i, t, lang, "s", len(t)) for i, (t, lang) in enumerate(rows)]))
+    rejected = dirty.predict([junk() for _ in range(200)])["rejected"]
+    kept = ~dirty.predict([t for lang in SYLLABLES for t in texts(lang, 100, 6)])["rejected"]
+    assert rejected.mean() >= 0.9 and kept.mean() >= 0.99
+
+
+def test_a_single_language(spark):
+    one = langid.fit(frame(spark, [(i, t, "aa", "s", len(t)) for i, t in enumerate(texts("aa", 120, 1))]))
+    assert not one.predict(texts("aa", 50, 4))["rejected"].any() and one.predict(["qxzj wvkf pyqx zjwv " * 5])["rejected"].all()
+
+
 def test_language_is_no_input(spark, docs, model):
     a = langid.identify(docs, model, ["doc_id"]).toPandas().sort_values("doc_id", ignore_index=True)
     b = langid.identify(docs.withColumns({"lang": docs.source, "source": docs.lang}), model, ["doc_id"]).toPandas().sort_values("doc_id", ignore_index=True)
