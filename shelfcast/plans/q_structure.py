@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.runtime import durable
-from ..operators import shifts as G, spectrum as P
+from ..operators import elastic as E, shifts as G, spectrum as P
 from .base import KEYS, PANEL, WEEKLY, by_brand_week
 from .q_features import qty_panel
 from .q_hybrid import ITEM, by_item, item_panel
@@ -79,3 +79,25 @@ def _(spark, sf):
 @query("decompose_robust", rounded="trend seasonal_13 seasonal_52 weight remainder", digits=4)
 def _(spark, sf):
     return P.decompose_robust(by_brand_week(spark, sf), ["p_brand"], "week", [13, 52])
+
+
+@query("elastic_segments", rounded="distance", digits=4)
+def _(spark, sf):
+    return E.elastic_clusters(qty_panel(spark, sf), KEYS, 4, band=3, tries=1)[0]
+
+
+# three shapes, each moved by up to four months: one peak, two peaks, and a peak with a dip behind it
+@query("planted_elastic", PANEL + """,
+m AS (SELECT p_brand, c_nationkey FROM panel GROUP BY ALL)
+SELECT p_brand, c_nationkey, min(p_brand || '|' || lpad(CAST(c_nationkey AS VARCHAR), 2, '0')) OVER (PARTITION BY c_nationkey % 3) AS cluster FROM m""")
+def _(spark, sf):
+    month = (F.year("period") - 1995) * 12 + F.month("period")
+    t = month - (F.col("c_nationkey") * 7 + F.length("p_brand") + F.ascii(F.substring("p_brand", -1, 1))) % 5
+    peak = lambda at: F.exp(-F.pow((t - at) / 3.0, 2))
+    group = F.col("c_nationkey") % 3
+    shape = F.when(group == 0, peak(20)).when(group == 1, peak(20) + peak(50)).otherwise(peak(20) - peak(50))
+    p = qty_panel(spark, sf).withColumn("qty", 100 * shape + F.col("qty") / 1000)
+    found = durable(E.elastic_clusters(p, KEYS, 3, band=5)[0])
+    name = F.concat_ws("|", "p_brand", F.lpad(F.col("c_nationkey").cast("string"), 2, "0"))
+    first = found.groupBy("cluster").agg(F.min(name).alias("first"))
+    return found.join(first, "cluster").select(*KEYS, F.col("first").alias("cluster"))
