@@ -7,10 +7,14 @@ lower and the upper half of a long.
 
 ``within`` finds fingerprints by permuted block tables: 128 bits are four blocks, and fingerprints
 that differ in at most 3 bits agree in at least one block, so a table per block holds all candidates.
+``search`` does the same for any radius, with as many blocks as it takes.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions.runtime import durable
@@ -103,14 +107,16 @@ def _blocks(a: str, b: str) -> list[Column]:
 
 
 def within(stored: DataFrame, queries: DataFrame, radius: int = RADIUS, per_list: int = 4096) -> DataFrame:
-    """(fp0, fp1, n): for each distinct query fingerprint the rows of ``stored`` (fp0, fp1, n) within ``radius`` ≤ 3.
+    """(fp0, fp1, n): for each distinct query fingerprint the rows of ``stored`` (fp0, fp1, n) within ``radius``.
 
     ``stored`` has one row per distinct fingerprint with its number of documents. A bucket of a table
     may hold any share of them, so it is kept as lists of a bounded length, and a query meets lists,
-    not members. A member that agrees in several blocks counts in the first.
+    not members. Up to 3 bits four blocks do, and a member that agrees in several counts in the first;
+    a larger radius counts what ``search`` finds.
     """
-    if not 0 <= radius <= 3:
-        raise ValueError("four blocks find fingerprints within 3 bits")
+    if radius > 3:
+        found = search(stored.withColumn("id", F.monotonically_increasing_id()), queries, radius, per_list=per_list)
+        return found.groupBy("fp0", "fp1").agg(F.sum("n").alias("n"))
     lists = -(-stored.count() // per_list) or 1
     member = F.struct("fp0", "fp1", "n")
     tables = (
@@ -129,6 +135,54 @@ def within(stored: DataFrame, queries: DataFrame, radius: int = RADIUS, per_list
     return asked.join(tables, ["block", "value"]).groupBy("fp0", "fp1").agg(F.sum(counted).alias("n"))
 
 
+def _masks(radius: int, keep: int) -> tuple[list[tuple[int, int]], list[tuple[int, ...]]]:
+    """(the bits of each of radius + keep blocks as masks of fp0 and fp1, all choices of ``keep`` blocks)."""
+    blocks = radius + keep
+    cuts = [BITS * i // blocks for i in range(blocks + 1)]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    masks = []
+    for a, b in zip(cuts, cuts[1:]):
+        bits = ((1 << (b - a)) - 1) << a
+        masks.append((signed(bits & ((1 << 64) - 1)), signed(bits >> 64)))
+    return masks, list(combinations(range(blocks), keep))
+
+
+def search(stored: DataFrame, queries: DataFrame, radius: int, keep: int = 2, per_list: int = 4096, id: str = "id") -> DataFrame:
+    """(fp0, fp1, found_id, n, distance): for each distinct query fingerprint all of ``stored`` (id, fp0, fp1, n) within any ``radius``.
+
+    Fingerprints are cut into radius + ``keep`` blocks, of which two within the radius have ``keep``
+    alike, so there is a table for each choice of so many blocks. More blocks kept alike make more
+    tables and shorter lists. A pair is found in the table of the first blocks that it has alike. Rows
+    are pairs of distinct fingerprints; the documents of a fingerprint follow from it.
+    """
+    masks, choices = _masks(radius, keep)
+    # in two's complement the masks of several blocks add up by "or" like those of one
+    tables = [(i, *(reduce(int.__or__, (masks[b][j] for b in c)) for j in range(2))) for i, c in enumerate(choices)]
+    rows = ", ".join(f"named_struct('c', {c}, 'm0', {_long(m0)}, 'm1', {_long(m1)})" for c, m0, m1 in tables)
+    posted = f"inline(transform(array({rows}), t -> named_struct('c', t.c, 'k0', fp0 & t.m0, 'k1', fp1 & t.m1)))"
+    lists = -(-stored.count() // per_list) or 1
+    named = stored.select(F.col(f"`{id}`").alias("id"), "fp0", "fp1", "n")
+    member = F.struct("id", "fp0", "fp1", "n")
+    kept = (
+        named.selectExpr("id", "fp0", "fp1", "n", posted)
+        .groupBy("c", "k0", "k1", F.pmod(F.xxhash64("fp0", "fp1"), F.lit(lists)).alias("list"))
+        .agg(F.collect_list(member).alias("members"))
+    )
+    asked = queries.select("fp0", "fp1").distinct().selectExpr("fp0", "fp1", posted)
+    bits = ", ".join(f"named_struct('m0', {_long(a)}, 'm1', {_long(b)})" for a, b in masks)
+    alike = f"filter(transform(array({bits}), (b, i) -> IF(((m.fp0 ^ fp0) & b.m0) = 0 AND ((m.fp1 ^ fp1) & b.m1) = 0, i, -1)), i -> i >= 0)"
+    chosen = ", ".join(f"array({', '.join(map(str, c))})" for c in choices)
+    near = "bit_count(m.fp0 ^ fp0) + bit_count(m.fp1 ^ fp1)"
+    found = f"filter(members, m -> {near} <= {radius} AND slice({alike}, 1, {keep}) = element_at(array({chosen}), c + 1))"
+    met = asked.join(kept, ["c", "k0", "k1"]).selectExpr("fp0", "fp1", f"explode({found}) AS m")
+    return met.selectExpr("fp0", "fp1", "m.id AS found_id", "m.n AS n", f"CAST({near} AS INT) AS distance")
+
+
+def _long(x: int) -> str:
+    # the least long has no literal
+    return f"{x}L" if x > -(1 << 63) else f"({x + 1}L - 1L)"
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of documents and of their edits; n_within: other documents within RADIUS, for ids divisible by 20."""
     docs = keyed(table(spark, sf_dir, "documents"))

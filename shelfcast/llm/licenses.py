@@ -108,31 +108,40 @@ def canonical_lines(text: Column) -> Column:
     return F.filter(F.transform(F.split(low, "\n"), canonical_line), lambda x: x != "")
 
 
-def digests(spark: SparkSession, texts: list[tuple[str, str]]) -> DataFrame:
+def from_folder(spark: SparkSession, folder: str) -> DataFrame:
+    """(license, text) of a folder that Spark reads, a licence per file, named by the file without its ending .txt."""
+    files = spark.read.text(folder, wholetext=True).withColumn("path", F.input_file_name())
+    name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.txt$", "")
+    return files.select(F.url_decode(name).alias("license"), F.col("value").alias("text"))
+
+
+def digests(texts: DataFrame) -> DataFrame:
     """(digest, license) of known texts; a text that two licences share counts for the first by name."""
-    rows = spark.createDataFrame(texts, "license string, text string")
-    return rows.groupBy(F.sha2(F.array_join(canonical_lines(F.col("text")), " "), 256).alias("digest")).agg(F.min("license").alias("license"))
+    return texts.groupBy(F.sha2(F.array_join(canonical_lines(F.col("text")), " "), 256).alias("digest")).agg(F.min("license").alias("license"))
 
 
-def scan(docs: DataFrame, texts: list[tuple[str, str]], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def scan(docs: DataFrame, texts: list[tuple[str, str]] | DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = 10_000) -> DataFrame:
     """doc_id, text_digest, license, notices, n_notices: one row per document.
 
     text_digest is that of the whole canonical text, license the known licence whose text it is (else
     null). notices are the licences whose digest some line has, sorted, with commas between them
-    (empty: none), and n_notices the number of such lines. A null text is empty. The known digests
-    are a list given by the caller, so that side is broadcast; documents are not shuffled but for the
-    few that have notices.
+    (empty: none), and n_notices the number of such lines. A null text is empty. ``texts`` are the
+    known ones, a list or a frame (license, text). Up to ``most`` of them, their hashes sort out the
+    lines that are looked up; with more, every line is. Documents are not shuffled but for the join of
+    digests.
     """
     spark = docs.sparkSession
-    listed = F.broadcast(digests(spark, texts))
-    # hashes of the listed texts sort out the lines that are looked up
-    quick = [r["h"] for r in spark.createDataFrame(texts, "license string, text string").select(F.xxhash64(F.array_join(canonical_lines(F.col("text")), " ")).alias("h")).distinct().collect()]
+    texts = texts if isinstance(texts, DataFrame) else spark.createDataFrame(texts, "license string, text string")
+    listed = durable(digests(texts))
+    hashes = texts.select(F.xxhash64(F.array_join(canonical_lines(F.col("text")), " ")).alias("h")).distinct().limit(most + 1).collect()
+    quick = [r["h"] for r in hashes] if len(hashes) <= most else None
+    known_line = lambda x: F.xxhash64(x["line"]).isin(quick) if quick is not None else F.lit(True)
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     lines = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(body).alias("hash"), canonical_lines(body).alias("lines"))
     # stored, so that every text is made canonical once
     rows = durable(lines.select(
         "doc_id", "hash", F.sha2(F.array_join("lines", " "), 256).alias("text_digest"),
-        F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("place"), x.alias("line"))), lambda x: F.xxhash64(x["line"]).isin(quick)).alias("found"),
+        F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("place"), x.alias("line"))), known_line).alias("found"),
     ))
     asked = rows.select("doc_id", "hash", F.inline("found")).select("doc_id", "hash", "place", F.sha2("line", 256).alias("digest"))
     # places, for repeated rows are counted together

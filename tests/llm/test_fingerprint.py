@@ -64,6 +64,32 @@ def test_search_is_exact(spark, per_list):
     assert len(got) == sum(i % 3 == 1 for i in range(len(rows)))
 
 
+@pytest.mark.parametrize("radius,keep", [(0, 1), (3, 1), (6, 1), (6, 2), (10, 2)])
+def test_search_within_any_radius(spark, radius, keep):
+    rng = np.random.default_rng(radius)
+    seeds = rng.integers(-(2**63), 2**63, (12, 2))
+    rows = set()
+    for k in range(300):
+        v = seeds[k % 12].copy()
+        for b in rng.integers(0, 128, rng.integers(0, 9)):
+            v[b // 64] ^= np.int64(np.uint64(1) << np.uint64(b % 64))
+        rows.add((int(v[0]), int(v[1])))
+    rows = sorted(rows)
+    stored = durable(spark.createDataFrame([(i, a, b, 1 + i % 2, "own") for i, (a, b) in enumerate(rows)], "id long, fp0 long, fp1 long, n long, c string"))
+    asked = stored.where("id % 3 = 0")
+    got = [(r.fp0, r.fp1, r.found_id, r.n, r.distance) for r in fq.search(stored, asked.unionByName(asked), radius, keep, per_list=50).collect()]
+    v = np.array(rows).astype("int64").view("uint64")
+    want = []
+    for i in range(0, len(rows), 3):
+        far = np.bitwise_count(v ^ v[i]).sum(axis=1)
+        want += [(*rows[i], int(j), 1 + int(j) % 2, int(far[j])) for j in np.flatnonzero(far <= radius)]
+    assert sorted(got) == sorted(want) and len(want) > 100 * (radius > 0)
+    if radius > 3:
+        counts = {(r.fp0, r.fp1): r.n for r in fq.within(stored, asked, radius).collect()}
+        assert sum(counts.values()) == sum(w[3] for w in want)
+    assert fq.search(stored, asked.limit(0), radius, keep).count() == fq.search(stored.limit(0), asked, radius, keep).count() == 0
+
+
 def run(spark, tmp_path, rows):
     frame(spark, rows).write.parquet(f"file://{tmp_path}/documents.parquet")
     return QUERIES["op4_simhash"](spark, f"file://{tmp_path}").toPandas()

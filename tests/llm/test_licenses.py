@@ -1,3 +1,5 @@
+import os
+
 import duckdb
 import pytest
 
@@ -56,3 +58,31 @@ def test_edges(spark):
 def test_copyright_lines_go(spark, line):
     df = spark.createDataFrame([(f"a b\n{line}\nc",)], "t string")
     assert df.select(licenses.canonical_lines(df.t)).first()[0] == ["a b", "c"]
+
+
+def test_bodies_from_a_folder(spark, tmp_path):
+    """Whole texts as a table; case, copyright lines, spelling and layout may differ."""
+    bodies = {f"Licence {k}": "\n".join(f"{i}. The licensor of work {k} grants the organization, \"as is\", clause {i * k}." for i in range(1, 400)) for k in (1, 2, 3)}
+    for name, body in bodies.items():
+        (tmp_path / f"{name}.txt").write_text(body)
+    texts = licenses.from_folder(spark, f"file://{tmp_path}")
+    assert {r.license for r in texts.collect()} == set(bodies)
+    one, two = bodies["Licence 1"], bodies["Licence 2"]
+    docs = [one, "Copyright 2020 Some One\n" + two.upper().replace("LICENSOR", "Licensor"), two.replace("organization", "organisation").replace("\n", "\r\n\n"), one + " more", one[:-4], None]
+    rows = frame(spark, [(i, t, "en", "s", 0) for i, t in enumerate(docs)])
+    for most in (10_000, 1):
+        got = {r.doc_id: r.license for r in licenses.scan(rows, texts, most=most).collect()}
+        assert got == {0: "Licence 1", 1: "Licence 2", 2: "Licence 2", 3: None, 4: None, 5: None}
+
+
+@pytest.mark.skipif(not os.path.isdir("/usr/share/common-licenses"), reason="no licence texts on this machine")
+def test_public_licence_texts(spark, tmp_path):
+    for name in ("Apache-2.0", "GPL-3", "LGPL-2.1", "MPL-2.0", "CC0-1.0"):
+        path = f"/usr/share/common-licenses/{name}"
+        if os.path.exists(path):
+            with open(path, encoding="utf-8") as f:
+                (tmp_path / f"{name}.txt").write_text(f.read())
+    texts = licenses.from_folder(spark, f"file://{tmp_path}").cache()
+    changed = [(i, "(c) 2021 A. Person\n\n" + r.text.title().replace("\n", "\n\n"), r.license, "s", 0) for i, r in enumerate(texts.collect())]
+    got = {r.doc_id: r.license for r in licenses.scan(frame(spark, changed), texts).collect()}
+    assert got == {i: name for i, _, name, _, _ in changed} and len(got) >= 1
