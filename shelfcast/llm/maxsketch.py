@@ -35,7 +35,7 @@ SPARSE = 4
 #: Queries of a block: each block reads the index once.
 QUERIES = 1000
 #: Bounds that are worked out at once, times terms.
-CELLS = 1 << 22
+CELLS = 1 << 20
 FULL = 255
 #: Letters, digits and what is not ASCII make terms; A-Z in lower case.
 CUT = bytes(
