@@ -69,6 +69,26 @@ def test_recall_of_pairs_at_the_limit():
     assert (np.array(meet) == (shared >= pivots.SHARED)).all()
 
 
+@pytest.mark.parametrize("spread", [100.0, 1.0, 0.5])
+@pytest.mark.parametrize("number", [128, 512, 2048])
+def test_recall_on_planted_groups(number, spread, monkeypatch):
+    """Groups of five near copies whose centres lie anywhere, or close to ten directions; all pairs at 0.95 by all cosines."""
+    monkeypatch.setattr(pivots, "PIVOTS", number)
+    rng = np.random.default_rng(1)
+    tops = pivots.unit(rng.normal(size=(10, 64)))
+    centres = pivots.unit(tops[rng.integers(0, 10, 400)] + spread * rng.normal(size=(400, 64)) / 8)
+    c = np.repeat(centres, 5, axis=0)
+    z = rng.normal(size=c.shape)
+    z = pivots.unit(z - (z * c).sum(axis=1, keepdims=True) * c)
+    cos = rng.uniform(0.965, 0.999, (len(c), 1))
+    v = cos * c + np.sqrt(1 - cos**2) * z
+    p = pivots.choose_pivots(v[rng.permutation(len(v))], 64, number)
+    top = np.sort(np.argsort(-(v @ p.T), axis=1, kind="stable")[:, : pivots.PREFIX], axis=1)
+    i, j = np.nonzero(np.triu(v @ v.T >= 0.95, 1))
+    shared = (top[i][:, :, None] == top[j][:, None, :]).sum(axis=(1, 2))
+    assert len(i) > 3000 and (shared >= pivots.SHARED).mean() > 0.99
+
+
 def test_edges(spark):
     e = [1.0] + [0.0] * 7
     rows = [
