@@ -1,4 +1,4 @@
-"""Quantile forecasts and conformal intervals."""
+"""Quantile forecasts, conformal intervals and the temporal network."""
 
 from __future__ import annotations
 
@@ -7,9 +7,10 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from ..functions.runtime import durable
-from ..operators import learn as L, quantile as Q
+from ..operators import learn as L, quantile as Q, temporal as T
 from .base import KEYS
 from .q_features import qty_panel
+from .q_forecast import H, ORIGIN
 from .q_models import LOOK
 from .registry import query
 
@@ -43,3 +44,8 @@ def _(spark, sf):
     parts = {"lo": (below("lo"), 0.1), "mid": (below("mid"), 0.5), "hi": (below("hi"), 0.9), "between": (inside("lo", "hi"), 0.8), "conformal": (inside("lo_c", "hi_c"), 0.8)}
     told = rows.agg(*[(F.abs(share(c) - x) < 0.02).alias(n) for n, (c, x) in parts.items()])
     return told.select(F.inline(F.array(*[F.struct(F.lit(n).alias("part"), F.col(n).alias("within_two_points")) for n in parts])))
+
+
+@query("tcn_forecast", rounded="yhat", digits=3)
+def _(spark, sf):
+    return T.forecast_tcn(qty_panel(spark, sf), KEYS, "month", ORIGIN, H, 24, epochs=10)
