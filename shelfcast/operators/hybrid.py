@@ -13,7 +13,7 @@ from .forecast import forecast
 from .panel import hierarchy
 from .patterns import adi_cv2
 from .rules import classify_sbc
-from .score import score
+from .score import metric_columns
 
 
 def routed(routing: dict[str, str], other: str | None = None) -> Column:
@@ -130,8 +130,8 @@ def hybrid(panel: DataFrame, cfg: HybridConfig) -> DataFrame:
     the routed forecast (``routed``), that of ``cfg.repair``, the mean of the segment's recent demand
     (``segment``) or, without any demand to go by, 0 (``none``). ``model`` is the routed choice.
 
-    Forecasts, scores, classes and weights are all kept by series key, so one shuffle of the history
-    (which Spark reuses) serves them. Nothing after ``origin`` is looked at but the names of series.
+    Forecasts, scores, classes and weights are all kept by series key: one shuffle of the history makes
+    an array per series, which is folded once for all origins. Nothing after ``origin`` is looked at but the names of series.
     Per series the routing names a model, 'best' (least backtest error) or 'combined' (weights
     1/error). Frames of other models are scored like the classical ones, by their rows from
     ``cfg.origins``, and can be routed, chosen and blended like them.
@@ -139,30 +139,40 @@ def hybrid(panel: DataFrame, cfg: HybridConfig) -> DataFrame:
     keys, at = cfg.keys, as_col(cfg.origin)
     known = panel.where(F.col("period") <= at)
     segments = cfg.segments if cfg.segments is not None else classify_sbc(adi_cv2(known, keys), **cfg.segment_args)
-    past = forecast(known, keys, cfg.freq, cfg.origins, cfg.horizon, cfg.models, actuals=True)
-    final = forecast(known, keys, cfg.freq, [cfg.origin], cfg.horizon, cfg.models)
+    # all origins from one array per series; what the last one forecasts has no actuals yet
+    every = forecast(known, keys, cfg.freq, [*cfg.origins, cfg.origin], cfg.horizon, cfg.models, actuals=True)
     for frame in cfg.frames:
-        rows = frame.select(*final.columns)
+        rows = frame.select(*keys, "origin", "model", "h", "period", "yhat")
         earlier = rows.where(F.col("origin") < at).join(known.select(*keys, "period", "qty"), [*keys, "period"])
-        past = past.unionByName(earlier)
-        final = final.unionByName(rows.where(F.col("origin") == at))
-    scores = score(past, keys, [*keys, "model"])
+        last = rows.where(F.col("origin") == at).withColumn("qty", F.lit(None).cast("double"))
+        every = every.unionByName(earlier).unionByName(last)
+    ahead = F.collect_list(F.when(F.col("origin") == at, F.struct("h", "yhat")))
+    past_qty = F.when(F.col("origin") < at, F.col("qty"))
+    by_model = every.withColumn("qty", past_qty).groupBy(*keys, "model").agg(metric_columns()[cfg.metric].alias("_error"), ahead.alias("_ahead"))
+    # a few models per series: they stay in its row, so nothing has to be joined again
+    per_series = by_model.groupBy(*keys).agg(F.collect_list(F.struct("model", "_error", "_ahead")).alias("_models"))
+    scored = F.filter("_models", lambda m: m["_error"].isNotNull())
+    first = F.array_min(F.transform(scored, lambda m: F.struct(F.round(m["_error"], 9).alias("e"), m["model"].alias("m"))))
+    perfect = F.exists(scored, lambda m: m["_error"] == 0)
+    raw = F.transform(scored, lambda m: F.struct(
+        m["model"].alias("model"), F.when(perfect, (m["_error"] == 0).cast("double")).otherwise(ratio(F.lit(1.0), m["_error"])).alias("w")
+    ))
+    flat = F.flatten(F.transform("_models", lambda m: F.transform(m["_ahead"], lambda x: F.struct(m["model"].alias("model"), x["h"].alias("h"), x["yhat"].alias("yhat")))))
 
     target = routed(cfg.routing, cfg.other)
-    best = best_model(scores, keys, cfg.metric).select(*keys, F.col("model").alias("_best"))
-    # a few models per series: their weights travel as one map, so the join below is on the series key
-    pairs = F.collect_list(F.struct("model", "weight"))
-    blend = weights(scores, keys, cfg.metric).groupBy(*keys).agg(F.map_from_entries(pairs).alias("_weights"))
     pick = (
         panel.select(*keys).distinct()
         .join(segments.select(*keys, "segment"), keys, "left")
-        .join(best, keys, "left")
-        .join(blend, keys, "left")
-        .select(*keys, "segment", "_weights", F.when(target == "best", F.col("_best")).otherwise(target).alias("_pick"))
+        .join(per_series.select(*keys, first["m"].alias("_best"), raw.alias("_raw"), flat.alias("_flat")), keys, "left")
+        .select(*keys, "segment", "_raw", "_flat", F.when(target == "best", F.col("_best")).otherwise(target).alias("_pick"))
     )
-    # likewise the forecasts: one map of models per step
-    per_step = final.groupBy(*keys, "h").agg(F.map_from_entries(F.collect_list(F.struct("model", "yhat"))).alias("_yhat"))
-    steps = pick.withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(cfg.horizon)))).join(per_step, [*keys, "h"], "left")
+    entries = lambda of: F.map_from_entries(F.transform(F.filter("_flat", of), lambda x: F.struct(x["model"], x["yhat"])))
+    steps = pick.withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(cfg.horizon))))
+    steps = steps.withColumns({
+        "_yhat": entries(lambda x: x["h"] == F.col("h")),
+        # weights 1/error, up to a factor that the blend takes out again; no score, no weights
+        "_weights": F.when(F.size("_raw") > 0, F.map_from_entries("_raw")),
+    })
     means = segment_mean(known, segments, keys, shift_period(at, -cfg.recent, cfg.freq), at).withColumnRenamed("yhat", "_mean")
     steps = steps.join(means, "segment", "left")
     # a single model is a blend with weight 1 on it
