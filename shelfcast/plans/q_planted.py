@@ -86,6 +86,29 @@ def _(spark, sf):
     return out.select(*KEYS, "origin", "model", "h", "period", (F.col("p_sold") > 0.5).alias("sold"), "size")
 
 
+@query("planted_count_glm", SUP + f"""
+SELECT {FRAME.format('poisson')}, exp(1 + 0.125 * month) AS yhat {LATER}
+UNION ALL SELECT {FRAME.format('tweedie')}, exp(1 + 0.125 * month) AS yhat {LATER}""", rounded="yhat", digits=3)
+def _(spark, sf):
+    # Demand whose logarithm is a line in the month: what a log link holds exactly.
+    label = F.exp(1 + 0.125 * F.col("month"))
+    one = lambda family: planted(spark, sf, label, partial(L.fit_glm, family=family), ["month"], family)
+    return one("poisson").unionByName(one("tweedie"))
+
+
+@query("planted_nn_bins", PANEL + """,
+b AS (SELECT p_brand, c_nationkey, lag(period) OVER w AS origin, period, row_number() OVER w AS i FROM panel
+      WINDOW w AS (PARTITION BY p_brand, c_nationkey ORDER BY period))
+SELECT p_brand, c_nationkey, origin, 'nn_bins' AS model, 1 AS h, period, CASE WHEN c_nationkey % 2 = 0 THEN 10.0::DOUBLE ELSE 40.0::DOUBLE END AS yhat
+FROM b WHERE i > 12 AND period >= DATE '2001-02-01'""", rounded="yhat", digits=0)
+def _(spark, sf):
+    # Series of two levels: the bin of the next demand is that of the window.
+    level = F.when(F.col("c_nationkey") % 2 == 0, 10.0).otherwise(40.0)
+    rows = durable(L.windows(qty_panel(spark, sf).withColumn("qty", level), KEYS, LOOK))
+    train, test = split(rows)
+    return N.predict_nn_bins(test, KEYS, LOOK, N.fit_nn_bins(train, KEYS, LOOK, n_bins=2))
+
+
 def yearly(spark, sf):
     """The panel with demand that depends on the month alone."""
     qty = F.when(F.month("period") <= 6, 10.0).otherwise(40.0)
@@ -198,6 +221,17 @@ def _(spark, sf):
     return grouped(spark, sf, lambda df: C.gmm(df, KEYS, ["x", "y"], 4)[0])
 
 
+@query("planted_embed_clusters", """
+SELECT vec_id, min(vec_id) OVER (PARTITION BY label % 4) AS cluster FROM embeddings""")
+def _(spark, sf):
+    # Vectors near one of four corners, by label; the given numbers are the noise.
+    v = table(spark, sf, "embeddings")
+    corner = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.when(i == F.col("label") % 4, 10.0).otherwise(0.0) + F.get("embedding", i).cast("double"))
+    found = durable(E.embed_clusters(v.select("vec_id", corner.alias("emb")), ["vec_id"], 4)[0].select("vec_id", "cluster"))
+    first = found.groupBy("cluster").agg(F.min("vec_id").alias("first"))
+    return found.join(first, "cluster").select("vec_id", F.col("first").alias("cluster"))
+
+
 @query("planted_choose_k", PANEL + """
 SELECT CAST(1 AS INTEGER) AS rank, CAST(count(DISTINCT c_nationkey % 4) AS INTEGER) AS k FROM panel""")
 def _(spark, sf):
