@@ -50,3 +50,27 @@ def map_series(series: DataFrame, schema: str, compute: Callable[[np.ndarray], d
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(out[f.name], f.type) for f in types)], whole.names)
 
     return series.mapInArrow(run, whole)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[tuple[pa.Table, list[slice]]]:
+    """Tables of rows sorted by the whole numbers ``by``, none of which parts a group, with the place of each group."""
+    held: pa.Table | None = None
+
+    def cuts(t: pa.Table) -> np.ndarray:
+        return np.flatnonzero(np.any([np.diff(t[c].to_numpy()) != 0 for c in by], axis=0)) + 1
+
+    def told(t: pa.Table) -> tuple[pa.Table, list[slice]]:
+        ends = [0, *cuts(t).tolist(), t.num_rows]
+        return t.combine_chunks(), [slice(a, b) for a, b in zip(ends, ends[1:])]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([batch])
+        held = t if held is None else pa.concat_tables([held, t])
+        ends = cuts(held)
+        if len(ends):  # the last group may go on in the next batch
+            yield told(held.slice(0, int(ends[-1])))
+            held = held.slice(int(ends[-1]))
+    if held is not None:
+        yield told(held)

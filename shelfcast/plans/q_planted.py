@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import as_col
 from ..functions.runtime import durable
-from ..operators import clusters as C, embed as E, forecast as FC, hybrid as Y, learn as L, neural as N, patterns as T, rules as R
+from ..operators import clusters as C, density as D, embed as E, forecast as FC, hybrid as Y, learn as L, neural as N, patterns as T, rules as R
 from ..operators.score import score
 from ..sources.tables import table
 from .base import KEYS, PANEL
@@ -221,6 +221,17 @@ def _(spark, sf):
     return grouped(spark, sf, lambda df: C.gmm(df, KEYS, ["x", "y"], 4)[0])
 
 
+@query("planted_density", PANEL + """,
+m AS (SELECT p_brand, c_nationkey, avg(qty) AS mean FROM panel GROUP BY ALL)
+SELECT p_brand, c_nationkey, 'core' AS kind,
+       min('{"p_brand":"' || p_brand || '","c_nationkey":' || c_nationkey || '}') OVER (PARTITION BY c_nationkey % 3) AS cluster FROM m""")
+def _(spark, sf):
+    # Three dense spots far from each other.
+    means = qty_panel(spark, sf).groupBy(*KEYS).agg(F.avg("qty").alias("mean"))
+    spots = means.select(*KEYS, (F.col("mean") / 1e6 + F.col("c_nationkey") % 3 * 10).alias("x"), (F.col("c_nationkey") / 1000).alias("y"))
+    return D.density_clusters(durable(spots), KEYS, ["x", "y"], 1.0, 5)
+
+
 @query("planted_embed_clusters", """
 SELECT vec_id, min(vec_id) OVER (PARTITION BY label % 4) AS cluster FROM embeddings""")
 def _(spark, sf):
