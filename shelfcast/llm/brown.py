@@ -212,39 +212,56 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-300))
 
 
-def best_classes(own: np.ndarray, right: np.ndarray, left: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+class Bigrams:
+    """Class bigrams made ready for judging words: per neighbour class a row over the classes that a word may take."""
+
+    def __init__(self, pairs: np.ndarray):
+        pairs = pairs.astype(float)
+        self.rows, self.columns = pairs.sum(axis=1)[:CLASSES], pairs.sum(axis=0)[:CLASSES]
+        self.corner = pairs.diagonal()[:CLASSES].copy()
+        # behind and before a word: counts and their x·log x
+        self.sides = [(t, _xlogx(t)) for t in (np.ascontiguousarray(pairs[:CLASSES].T), np.ascontiguousarray(pairs[:, :CLASSES]))]
+
+
+def best_classes(own: np.ndarray, right: np.ndarray, left: np.ndarray, pairs: np.ndarray | Bigrams) -> np.ndarray:
     """Class for each word that makes the class bigrams most likely.
 
     ``own``: present classes; ``right`` and ``left``: how often each class follows and precedes the
     word, pairs of the word with itself left out. The likelihood is the sum of x·log x of the pairs
     less that of their row and column sums.
     """
-    at, every = np.arange(len(own)), _xlogx(pairs.astype(float))
+    ready = pairs if isinstance(pairs, Bigrams) else Bigrams(pairs)
+    at = np.arange(len(own))
 
-    def joined(around: np.ndarray, across: np.ndarray, pairs: np.ndarray, every: np.ndarray) -> np.ndarray:
+    def joined(around: np.ndarray, across: np.ndarray, counts: np.ndarray, every: np.ndarray) -> np.ndarray:
         """What the pairs of each class with the neighbours on one side gain; only classes that occur there count."""
         out = np.zeros((len(own), CLASSES))
         word, beside = np.nonzero(around)
+        if not len(word):
+            return out
         n, mine = around[word, beside], own[word]
-        to, was = pairs[:CLASSES, beside].T.astype(float), every[:CLASSES, beside].T.copy()
+        to, was = counts[beside], every[beside]
         # without the word itself: in the row of its class, and in the column of its class
-        each, same = np.arange(len(word)), beside == mine
+        each, same = np.arange(len(word)), np.flatnonzero(beside == mine)
         to[each, mine] -= n
         to[same] -= across[word[same], :CLASSES]
-        to = np.maximum(to, 0)
+        np.maximum(to, 0, out=to)
         was[each, mine], was[same] = _xlogx(to[each, mine]), _xlogx(to[same])
-        found, starts = np.unique(word, return_index=True)
-        if len(found):
-            out[found] = np.add.reduceat(_xlogx(to + n[:, None]) - was, starts)
+        to += n[:, None]  # above 0 from here
+        gain = np.log(to)
+        gain *= to
+        gain -= was
+        starts = np.flatnonzero(np.diff(word, prepend=-1))
+        out[word[starts]] = np.add.reduceat(gain, starts)
         return out
 
-    gain = joined(right, left, pairs, every) + joined(left, right, pairs.T, every.T)
+    gain = joined(right, left, *ready.sides[0]) + joined(left, right, *ready.sides[1])
     r, l = right.sum(axis=1, keepdims=True), left.sum(axis=1, keepdims=True)
     a, b = right[:, :CLASSES], left[:, :CLASSES]
-    rows, columns = pairs.sum(axis=1)[:CLASSES] - b, pairs.sum(axis=0)[:CLASSES] - a
+    rows, columns = ready.rows - b, ready.columns - a
     rows[at, own] -= r[:, 0]
     columns[at, own] -= l[:, 0]
-    corner = np.repeat(pairs.diagonal()[None, :CLASSES].astype(float), len(own), axis=0)
+    corner = np.repeat(ready.corner[None], len(own), axis=0)
     corner[at, own] -= a[at, own] + b[at, own]
     rows, columns, corner = np.maximum(rows, 0), np.maximum(columns, 0), np.maximum(corner, 0)
     gain += _xlogx(corner + a + b) - _xlogx(corner + a) - _xlogx(corner + b) + _xlogx(corner)
@@ -253,17 +270,27 @@ def best_classes(own: np.ndarray, right: np.ndarray, left: np.ndarray, pairs: np
     return gain.argmax(axis=1)
 
 
+def _slices(right: np.ndarray, left: np.ndarray, cells: int = 4000, words: int = 64) -> list[slice]:
+    """Words in stretches that have about so many neighbour classes together: what is worked out at once stays in the cache."""
+    n = len(right)
+    size = np.cumsum(np.count_nonzero(right, axis=1) + np.count_nonzero(left, axis=1))
+    cuts = np.unique([0, *np.searchsorted(size, np.arange(cells, size[-1], cells)), *range(words, n, words), n]) if n else [0]
+    return [slice(a, b) for a, b in zip(cuts, cuts[1:])]
+
+
 def exchange(around: DataFrame, counts: np.ndarray, classes: np.ndarray, part: int, parts: int) -> np.ndarray:
     """One step: the words of a part move, all judged by the same class bigrams. No shuffle."""
     k = len(counts)
     shared = around.sparkSession.sparkContext.broadcast((classes, counts))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cls, m = shared.value
+        cls, counts = shared.value
+        ready = Bigrams(counts)
         for batch in batches:
+            if not batch.num_rows:
+                continue
             words, right, left = _contexts(batch, cls, k)
-            at = [slice(i, i + 64) for i in range(0, len(words), 64)]
-            best = np.concatenate([best_classes(cls[words[x]], right[x], left[x], m) for x in at])
+            best = np.concatenate([best_classes(cls[words[x]], right[x], left[x], ready) for x in _slices(right, left)])
             yield pa.RecordBatch.from_arrays([pa.array(words.astype("int64")), pa.array(best)], ["word", "class"])
 
     moved = around.where(F.col("word") % parts == part).mapInArrow(judge, "word long, class long").toArrow()
