@@ -29,6 +29,8 @@ PARAMETERS = ("alpha", "beta", "phi", "gamma")
 LOW, HIGH = {"phi": 0.8}, {"phi": 0.98}
 START = (0.1, 0.3, 0.6, 0.9)
 FIRST_STEP, LAST_STEP = 0.1, 1e-4
+#: Rounds of moves at most: in a narrow valley of two parameters some series would creep on for thousands.
+ROUNDS = 100
 
 
 def _box(kind: str) -> tuple[np.ndarray, np.ndarray]:
@@ -74,7 +76,10 @@ def fit(y: np.ndarray, kind: str, season: int, skip: int) -> tuple[np.ndarray, n
     best = np.clip(np.array(grid)[tried.argmin(axis=0)], low, high)
     error = run(y, kind, best, season, skip)[0]
     step = np.full(len(y), FIRST_STEP)
-    while (going := np.flatnonzero(step > LAST_STEP)).size:
+    for _ in range(ROUNDS):
+        going = np.flatnonzero(step > LAST_STEP)
+        if not going.size:
+            break
         sub, rows = best[going], y[going]
         moves = []
         for i in range(len(low)):
@@ -85,7 +90,7 @@ def fit(y: np.ndarray, kind: str, season: int, skip: int) -> tuple[np.ndarray, n
         errors = np.array([e for _, e in moves])
         pick = errors.argmin(axis=0)
         least = errors[pick, np.arange(len(going))]
-        better = least < error[going] * (1 - 1e-9)
+        better = least < error[going] * (1 - 1e-7)
         best[going] = np.where(better[:, None], np.array([v for v, _ in moves])[pick, np.arange(len(going))], sub)
         error[going] = np.where(better, least, error[going])
         step[going] = np.where(better, step[going], step[going] / 2)
