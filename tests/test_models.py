@@ -299,3 +299,34 @@ def test_indexed_analogs_equal_all_pairs(make_panel):
     one, two = ({tuple(r[c] for c in cols): r.yhat for r in f(p, ["s"], "month", month(41), 3, 6, 4).collect()} for f in (E.analog, E.analog_indexed))
     assert one.keys() == two.keys() and len(one) == 28 * 3
     assert all(one[x] == pytest.approx(two[x]) for x in one)
+
+
+def test_index_in_many_cells_equals_all_pairs(spark, monkeypatch):
+    """Cells, blocks and turns as of a large table; of equal vectors only the first ids are held and compared."""
+    monkeypatch.setattr(isax, "CELL_ROWS", 60)
+    monkeypatch.setattr(isax, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(isax, "TURN_ROWS", 25)
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.poisson(0.4, (500, 12)).astype(float), np.repeat(np.eye(12)[:2], 300, axis=0)])
+    rows = [(f"v{i:04d}", (row - row.mean()).tolist()) for i, row in enumerate(x)]
+    # ids may come twice
+    v = spark.createDataFrame(rows + rows[::50], "id string, emb array<double>").repartition(5)
+    cols = ["query_id", "neighbour_id", "similarity", "rank"]
+    q = v.where("id < 'v0040' OR id >= 'v1080'").dropDuplicates(["id"])
+    found = isax.topk(v, q, 3)
+    want = E.topk(v, q, 3).select(cols).collect()
+    assert sorted(map(tuple, found.select(cols).collect())) == sorted(map(tuple, want))
+    index = isax.build(v, k=3)
+    held = index.leaves.selectExpr("sum(size(ids)) AS n", "count(DISTINCT cell) AS cells").first()
+    # of 1,122 rows
+    assert held["n"] < 600 and held["cells"] > 3
+    assert found.agg({"compared": "max"}).first()[0] < 600
+
+
+def test_cuts_part_rows_evenly_and_reach_every_row():
+    rng = np.random.default_rng(9)
+    x = isax._unit(rng.poisson(0.5, (20_000, 12)) - 0.5)
+    cells = isax.cuts_of(x[::10], 50).cell(x)
+    n = np.bincount(cells)
+    assert len(n[n > 0]) > 40 and n.max() < 3 * len(x) / 50
+    assert (isax.cuts_of(np.ones((9, 3)), 4).cell(np.ones((2, 3))) == 0).all()
