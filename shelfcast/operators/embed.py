@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from statistics import NormalDist
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import isax
@@ -20,12 +22,6 @@ def zscore_array(a: Column, mean: Column, sd: Column) -> Column:
     return F.transform(a, lambda x: F.when(sd > 1e-9, (x - mean) / sd).otherwise(0.0))
 
 
-def _stats(a: Column, n: int) -> tuple[Column, Column]:
-    mean = F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / n
-    var = F.aggregate(a, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / n
-    return mean, F.sqrt(var)
-
-
 def scaled_windows(windows: DataFrame, L: int, col: str = "lookback") -> DataFrame:
     """Add win_mean, win_sd and ``emb``, the z-scored window."""
     df = windows.withColumn("win_mean", F.aggregate(col, F.lit(0.0), lambda s, x: s + x) / L)
@@ -120,6 +116,51 @@ def lsh_pairs(
     return pairs.join(members, ["_hash", "_e"]).select("query_id", "neighbour_id", "distance")
 
 
+def _own_steps(y: np.ndarray, H: int, L: int, k: int) -> np.ndarray:
+    """``analog_own`` for series of one length, a row each; NaN is an unknown value. Returns H steps per row.
+
+    Sums run over the positions of a window in order, so they are those of a fold over its array.
+    """
+    n = y.shape[1]
+    total = lambda at, size: sum((at(j) for j in range(size)), 0.0)
+    size = min(n, L)
+    flat = total(lambda j: y[:, n - size + j], size) / size
+    out = np.repeat(flat[:, None], H, axis=1)
+    if n < 2 * L + H:
+        return out
+    now = y[:, n - L :]
+    mean = total(lambda j: now[:, j], L) / L
+    sd = np.sqrt(total(lambda j: (now[:, j] - mean) ** 2, L) / L)
+    rows = np.flatnonzero(sd > 1e-9)
+    if not len(rows):
+        return out
+    y, now, mean, sd = y[rows], now[rows], mean[rows], sd[rows]
+    starts = n - L - H + 1
+    at = lambda j: y[:, j : j + starts]
+    m = total(at, L) / L
+    d = np.sqrt(total(lambda j: (at(j) - m) ** 2, L) / L)
+    varied = d > 1e-9
+    scale = np.where(varied, d, 1.0)
+    q = (now - mean[:, None]) / sd[:, None]
+    dot = total(lambda j: q[:, j : j + 1] * ((at(j) - m) / scale), L)
+    similarity = np.where(varied, np.round(dot / L, 9), -np.inf)
+    # on equal similarity the later window: a stable order of the windows taken from the end
+    top = starts - 1 - np.argsort(-similarity[:, ::-1], axis=1, kind="stable")[:, :k]
+    used = np.take_along_axis(varied, top, axis=1)
+    tm, td = (np.take_along_axis(a, top, axis=1) for a in (m, scale))
+    found = used.sum(axis=1)
+    some = found > 0
+    for i in range(H):
+        after = (np.take_along_axis(y, top + L + i, axis=1) - tm) / td
+        f = total(lambda j: np.where(used[:, j], after[:, j], 0.0), top.shape[1])
+        out[rows[some], i] = (mean + sd * f / np.maximum(found, 1))[some]
+    return out
+
+
+#: Series whose windows are worked out at once.
+OWN_ROWS = 512
+
+
 def analog_own(panel: DataFrame, keys: list[str], freq: str, origin, H: int, L: int, k: int) -> DataFrame:
     """Forecast from the k past windows of the same series that look most like its latest window.
 
@@ -128,34 +169,30 @@ def analog_own(panel: DataFrame, keys: list[str], freq: str, origin, H: int, L:
     constant in its latest window, gets the mean of that window (of what there is of it). A series is
     one bounded array, so this is linear in the number of series.
     """
-    point = F.struct("period", F.col("qty").alias("y"))
-    known = panel.where(F.col("period") <= as_col(origin))
-    s = known.groupBy(*keys).agg(F.sort_array(F.collect_list(point)).alias("_p"))
-    s = s.select(*keys, F.transform("_p", lambda p: p["y"]).alias("_y"))
-    y = F.col("_y")
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda t, v: t + v)
-    recent = F.slice(y, F.greatest(F.size(y) - L + 1, F.lit(1)), F.lit(L))
-    s = s.withColumns({"_now": recent, "_flat": total(recent) / F.size(recent)})
-    mean, sd = _stats(F.col("_now"), L)
-    s = s.withColumns({"_mean": mean, "_sd": sd})
-    s = s.withColumn("_q", zscore_array(F.col("_now"), F.col("_mean"), F.col("_sd")))
-    # all past windows stay in the row; each step adds what the next one needs, so nothing is worked out twice
-    starts = F.when((F.size(y) >= 2 * L + H) & (F.col("_sd") > 1e-9), F.sequence(F.lit(1), F.size(y) - L - H + 1))
-    w = F.transform(starts, lambda i: F.struct(i.alias("i"), F.slice(y, i, F.lit(L)).alias("x"), F.slice(y, i + L, F.lit(H)).alias("next")))
-    w = F.transform(w, lambda w: F.struct(w["i"].alias("i"), w["x"].alias("x"), w["next"].alias("next"), (total(w["x"]) / L).alias("m")))
-    spread = lambda w: F.aggregate(w["x"], F.lit(0.0), lambda t, v: t + (v - w["m"]) * (v - w["m"]))
-    w = F.transform(w, lambda w: F.struct(w["i"].alias("i"), w["x"].alias("x"), w["next"].alias("next"), w["m"].alias("m"), F.sqrt(spread(w) / L).alias("d")))
-    w = F.filter(w, lambda w: w["d"] > 1e-9)
-    dot = lambda w: total(F.zip_with(F.col("_q"), w["x"], lambda a, b: a * ((b - w["m"]) / w["d"])))
-    w = F.transform(w, lambda w: F.struct(
-        F.round(dot(w) / L, 9).alias("similarity"), w["i"].alias("i"), F.transform(w["next"], lambda v: (v - w["m"]) / w["d"]).alias("next")
-    ))
-    # on equal similarity the later window
-    s = s.withColumn("_top", F.slice(F.sort_array(w, asc=False), 1, k))
-    ahead = lambda i: F.col("_mean") + F.col("_sd") * F.aggregate("_top", F.lit(0.0), lambda t, w: t + F.get(w["next"], i)) / F.size("_top")
-    steps = F.transform(F.sequence(F.lit(0), F.lit(H - 1)), lambda i: F.when(F.size("_top") > 0, ahead(i)).otherwise(F.col("_flat")))
     at = as_col(origin)
-    return s.select(*keys, F.posexplode(steps).alias("_h", "yhat")).select(
+    known = panel.where(F.col("period") <= at)
+    s = known.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("period", F.col("qty").cast("double").alias("y")))).alias("_p"))
+    s = s.select(*keys, F.transform("_p", lambda p: p["y"]).alias("_y"))
+    out = s.select(*keys, F.col("_y").alias("_steps")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(len(keys))
+            sizes = np.asarray(lists.value_lengths())
+            values = lists.flatten().to_numpy(zero_copy_only=False)
+            begins = np.cumsum(sizes) - sizes
+            steps = np.empty((batch.num_rows, H))
+            for n in np.unique(sizes):
+                rows = np.flatnonzero(sizes == n)
+                for part in (rows[i : i + OWN_ROWS] for i in range(0, len(rows), OWN_ROWS)):
+                    with np.errstate(invalid="ignore"):
+                        steps[part] = _own_steps(values[begins[part][:, None] + np.arange(n)], H, L, k)
+            flat = pa.array(steps.ravel(), pa.float64(), from_pandas=True)
+            made = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * H, pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], made], [*keys, "_steps"])
+
+    steps = s.mapInArrow(run, out)
+    return steps.select(*keys, F.posexplode("_steps").alias("_h", "yhat")).select(
         *keys, at.alias("origin"), F.lit("analog_own").alias("model"), (F.col("_h") + 1).alias("h"),
         shift_period(at, F.col("_h") + 1, freq).alias("period"), "yhat",
     )

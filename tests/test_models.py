@@ -330,3 +330,28 @@ def test_cuts_part_rows_evenly_and_reach_every_row():
     n = np.bincount(cells)
     assert len(n[n > 0]) > 40 and n.max() < 3 * len(x) / 50
     assert (isax.cuts_of(np.ones((9, 3)), 4).cell(np.ones((2, 3))) == 0).all()
+
+
+def test_own_analogs_equal_plain_loops(make_panel):
+    """Windows are worked out in batches: short, constant and tied histories, and lengths side by side."""
+    rng = np.random.default_rng(11)
+    L, H, k, until = 6, 2, 3, 40
+    series = {f"s{i}": rng.poisson(0.6, 44).tolist() for i in range(30)} | {"flat": [2] * 44, "still": [1, 5] * 17 + [3] * 10}
+    p = make_panel(series).where((F.col("s") != "s7") | (F.col("period") > F.lit(month(30))))
+
+    def plain(y):
+        now = y[-L:]
+        m, d = np.mean(now), np.std(now)
+        past = [(round(float(np.dot((now - m) / d, (w - w.mean()) / w.std())) / L, 9), i) for i in range(len(y) - L - H + 1)
+                for w in [y[i : i + L]] if d > 1e-9 and w.std() > 1e-9] if len(y) >= 2 * L + H else []
+        top = [i for _, i in sorted(past, reverse=True)[:k]]
+        return [m + d * np.mean([(y[i + L + h] - y[i : i + L].mean()) / y[i : i + L].std() for i in top]) if top else m for h in range(H)]
+
+    fc = E.analog_own(p, ["s"], "month", month(until), H, L, k)
+    got = {(r.s, r.h): r.yhat for r in fc.collect()}
+    assert len(got) == 32 * H
+    for s, values in series.items():
+        y = np.array(values[31 if s == "s7" else 0 : until + 1], float)
+        assert [got[s, h + 1] for h in range(H)] == pytest.approx(plain(y)), s
+    # no nested lambdas over all windows of a row
+    assert "MapInArrow" in fc._jdf.queryExecution().toString()
