@@ -175,3 +175,9 @@ def test_hybrid_over_other_frames_and_segments(spark, kinds):
     assert rows["gaps", 1].model == "croston" or rows["gaps", 1].yhat == 0.0
     assert rows["smooth", 1].model == "oracle" and rows["smooth", 1].yhat == 10.0
     assert rows["flat", 1].model != "oracle" and rows["unborn", 1].model == "oracle"
+
+
+def test_hybrid_makes_the_panel_once_beside_its_store(kinds):
+    """Names, classes and segment means read the stored panel; only the arrays are made from the panel itself."""
+    relations = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("RDD")
+    assert relations(Y.hybrid(kinds, config())) == relations(kinds)
