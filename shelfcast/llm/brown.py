@@ -13,16 +13,17 @@ every task; the counts of all other words are joined.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
-from ..functions.runtime import durable
-from .common import map_texts, table, words_of
+from ..functions.runtime import durable, scratch_path
+from .common import table
 
 CLASSES = 64
 ENDINGS = 31
@@ -84,127 +85,248 @@ class Model:
         return np.log10(share)
 
 
-def _sequence(words: list[bytes], symbols: dict[bytes, int], moved: int) -> np.ndarray:
-    """Symbols of a text between two ends."""
-    get, end = symbols.get, moved + ENDINGS
-    found = [get(w, -1) for w in words]
-    if -1 in found:
-        found = [s if s >= 0 else moved + ending(w) for s, w in zip(found, words)]
-    return np.array([end, *found, end], "int64")
+#: Bytes of text that are cut into words at once.
+STRETCH = 8_000_000
+#: Neighbours that lie in one row of packed lists, unless one word has more.
+ROW = 60_000
+
+
+def _stretches(texts: pa.Array) -> Iterator[pa.Array]:
+    """Texts, null ones empty, in stretches of about ``STRETCH`` bytes or one text."""
+    texts = pc.fill_null(texts, "")
+    size = np.cumsum(np.asarray(pc.binary_length(texts)), dtype="int64")
+    start = 0
+    while start < len(texts):
+        end = max(start + 1, int(np.searchsorted(size, STRETCH + (size[start - 1] if start else 0), "right")))
+        yield texts.slice(start, end - start)
+        start = end
+
+
+def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(where the words of each text start and end, number of each word, distinct words); the words of ``words_of``."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    flat, cuts = lists.flatten(), np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()), dtype="int64")])
+    full = np.asarray(pc.binary_length(flat)) > 0  # white space at either end leaves an empty word
+    if not full.all():
+        cuts = np.concatenate([[0], np.cumsum(full, dtype="int64")])[cuts]
+        flat = flat.filter(pa.array(full))
+    seen = flat.dictionary_encode()
+    return cuts, seen.indices.to_numpy(), seen.dictionary
+
+
+def endings(words: pa.Array) -> np.ndarray:
+    """``ending`` of each word; none is empty."""
+    ends = np.frombuffer(words.buffers()[1], "int32")[words.offset + 1 : words.offset + len(words) + 1] if len(words) else np.zeros(0, "int32")
+    data = np.frombuffer(words.buffers()[2], "uint8") if len(words) else np.zeros(0, "uint8")
+    before = np.where(np.asarray(pc.binary_length(words)) > 1, data[np.maximum(ends - 2, 0)], 0)
+    return (before.astype("int64") * 256 + data[ends - 1]) % ENDINGS
+
+
+def _numbers(words: pa.Array, among: pa.Array) -> np.ndarray:
+    """Place of each word in ``among``, or -1."""
+    return np.asarray(pc.fill_null(pc.index_in(words, value_set=among), -1)).astype("int64")
+
+
+def _texts_as(index: dict[bytes, int]) -> pa.Array:
+    return pa.array(list(index), pa.binary()).cast(pa.string())
 
 
 def count_words(train: DataFrame) -> DataFrame:
     """(word, ending, n) over all texts, stored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[bytes] = Counter()
+        held: list[tuple[pa.Array, np.ndarray]] = []
 
         def rows() -> pa.RecordBatch:
-            words = list(seen)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(words, pa.binary()).cast(pa.string()), pa.array([ending(w) for w in words], pa.int32()), pa.array(list(seen.values()), pa.int64())],
-                ["word", "ending", "n"],
-            )
+            words, n = held.pop()
+            return pa.RecordBatch.from_arrays([words, pa.array(endings(words), pa.int32()), pa.array(n, pa.int64())], ["word", "ending", "n"])
+
+        def merged() -> tuple[pa.Array, np.ndarray]:
+            seen = pa.concat_arrays([w for w, _ in held]).dictionary_encode()
+            n = np.bincount(seen.indices.to_numpy(), np.concatenate([n for _, n in held]), len(seen.dictionary))
+            return seen.dictionary, n.astype("int64")
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.update(words_of(text))
-                if len(seen) > 300_000:
-                    yield rows()
-                    seen.clear()
-        yield rows()
+            for texts in _stretches(batch.column(0)):
+                _, found, words = tokens_of(texts)
+                held.append((words, np.bincount(found, minlength=len(words))))
+                if sum(len(w) for w, _ in held) > 600_000:
+                    held[:] = [merged()]
+                    if len(held[0][0]) > 300_000:
+                        yield rows()
+        if held:
+            held[:] = [merged()]
+            yield rows()
 
     counted = train.select("text").mapInArrow(run, "word string, ending int, n long")
     return durable(counted.groupBy("word", "ending").agg(F.sum("n").alias("n")))
 
 
-def _summed(values: list[np.ndarray], n: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct values, how often each occurs)."""
-    seen = pa.array(np.concatenate(values)).dictionary_encode()
-    weights = None if n is None else np.concatenate(n)
-    return seen.dictionary.to_numpy(), np.bincount(seen.indices.to_numpy(), weights, len(seen.dictionary)).astype("int64")
+# ---- packed lists of neighbours ------------------------------------------------------------------
 
+PACKED = "words binary, sizes binary, slots binary, n binary"
 
-def count_pairs(train: DataFrame, symbols: dict[bytes, int], moved: int) -> DataFrame:
-    """(a, b, n): symbols that follow each other, stored."""
-    shared, size = train.sparkSession.sparkContext.broadcast(symbols), moved + ENDINGS + 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pack(word: np.ndarray, slot: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """A row of lists: the words, sorted, how many entries each has, the entries. Counts take the bytes that the largest needs."""
+    words, sizes = _runs(word)
+    width = next(w for w in ("u1", "u2", "u4", "i8") if n.max(initial=0) <= np.iinfo(w).max)
+    return [words.astype("i4").tobytes(), sizes.astype("i4").tobytes(), slot.astype("i4").tobytes(), n.astype(width).tobytes()]
+
+
+def _unpack(row: Iterator[pa.Scalar]) -> tuple[np.ndarray, ...]:
+    """(words, sizes, slots, n) of a row."""
+    words, sizes, slots, n = (x.as_buffer() for x in row)
+    words, sizes, slots = (np.frombuffer(x, "i4") for x in (words, sizes, slots))
+    return words, sizes, slots, np.frombuffer(n, {1: "u1", 2: "u2", 4: "u4", 8: "i8"}[n.size // max(1, len(slots))])
+
+
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct values, how often) of sorted values."""
+    starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, "int64")
+    return values[starts], np.diff(np.append(starts, len(values)))
+
+
+def _added(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct codes, sorted, and the sum of n of each). Sorted runs are merged fast."""
+    order = np.argsort(code, kind="stable")
+    code = code[order]
+    starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, "int64")
+    return code[starts], np.add.reduceat(n[order], starts) if len(code) else n
+
+
+def neighbours(train: DataFrame, words: pa.Array, symbol: np.ndarray, moved: int, tokens: int, parts: int) -> DataFrame:
+    """Symbols beside each moved word over all texts, in packed lists by ``part`` (word modulo ``parts``), stored.
+
+    An entry is (slot, n), slot being twice the symbol beside and 1 more where it stands before the
+    word: at most two entries per symbol. Part -1 has the pairs that no move changes: those of a word
+    with itself and those of two symbols that do not move.
+    """
+    size = moved + ENDINGS + 1
+    files = max(8, min(1024, tokens // 500_000))
+    # the most frequent words have the longest lists: deal words out one by one, and keep what goes together side by side
+    buckets = 4 * files
+    home = np.argsort(np.argsort(np.arange(size) % buckets, kind="stable"))
+    shared = train.sparkSession.sparkContext.broadcast((words, symbol, home))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, symbol, home = shared.value
+        symbol_at = np.argsort(home)
+
         def rows(held: list[np.ndarray]) -> pa.RecordBatch:
-            pairs, n = _summed(held)
-            return pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n)], ["pair", "n"])
+            code = np.concatenate(held)
+            held.clear()
+            code.sort()
+            code, n = _runs(code)
+            word, slot = symbol_at[code // (2 * size)], code % (2 * size)
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(word % buckets)) + 1, [len(word)]])
+            out = [[int(word[a] % buckets), *_pack(word[a:b], slot[a:b], n[a:b])] for a, b in zip(cuts, cuts[1:])]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int32(), *[pa.binary()] * 4])], ["bucket", "words", "sizes", "slots", "n"])
 
         held, found = [], 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                s = _sequence(words_of(text), shared.value, moved)
-                held.append(s[:-1] * size + s[1:])
-                found += len(s)
-                if found > 4_000_000:
+            for texts in _stretches(batch.column(0)):
+                cuts, ids, distinct = tokens_of(texts)
+                at = _numbers(distinct, words)
+                of = np.where(at >= 0, symbol[at] if len(symbol) else 0, moved + endings(distinct))
+                # an end before the first text and after each
+                s = np.insert(of[ids] if len(ids) else ids.astype("int64"), cuts, size - 1)
+                a, b = s[:-1], s[1:]
+                own = (a < moved) | (b >= moved)
+                other = (b < moved) & (a != b)
+                held += [home[a[own]] * (2 * size) + 2 * b[own], home[b[other]] * (2 * size) + 2 * a[other] + 1]
+                found += len(a)
+                if found > 2_000_000:
                     yield rows(held)
-                    held, found = [], 0
-        if held:
+                    found = 0
+        if found:
             yield rows(held)
 
-    counted = train.select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    return durable(counted.selectExpr(f"CAST(pair DIV {size} AS INT) AS a", f"CAST(pair % {size} AS INT) AS b", "n"))
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, counts, found, limit = [], [], 0, 2_000_000
+        for batch in batches:
+            for row in zip(*batch.columns[1:]):
+                words, sizes, slots, n = _unpack(row)
+                codes.append(np.repeat(words.astype("int64"), sizes) * (2 * size) + slots)
+                counts.append(n.astype("int64"))
+                found += len(n)
+                if found > limit:
+                    code, n = _added(np.concatenate(codes), np.concatenate(counts))
+                    codes, counts, found, limit = [code], [n], len(code), max(limit, 2 * len(code))
+        if not found:
+            return
+        code, n = _added(np.concatenate(codes), np.concatenate(counts))
+        word, slot = code // (2 * size), code % (2 * size)
+        part = np.where((word >= moved) | (slot == 2 * word), -1, word % parts)
+        for p in range(-1, parts):
+            at = np.flatnonzero(part == p)
+            w, s, m = word[at], slot[at], n[at]
+            starts = np.cumsum(np.concatenate([[0], _runs(w)[1]]))  # where each word starts
+            cuts = starts[np.unique(np.append(np.searchsorted(starts, np.arange(0, len(w), ROW)), len(starts) - 1))]
+            for a, b in zip(cuts, cuts[1:]):
+                yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (p, *_pack(w[a:b], s[a:b], m[a:b]))], ["part", "words", "sizes", "slots", "n"])
+
+    dealt = train.select("text").mapInArrow(count, f"bucket int, {PACKED}").repartition(files, "bucket")
+    made = dealt.mapInArrow(join, f"part long, {PACKED}")
+    path = scratch_path(train.sparkSession, "neighbours")
+    made.write.partitionBy("part").parquet(path)  # a pass over one part reads its files only
+    return train.sparkSession.read.schema(made.schema).parquet(path)
+
+
+def _contexts(row: tuple[np.ndarray, ...], classes: np.ndarray, k: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(how often each class follows each word, how often it precedes it); words before it that ``skip`` marks do not count."""
+    words, sizes, slots, n = row
+    symbol, side = slots >> 1, slots & 1
+    cell = (np.repeat(np.arange(len(words)), sizes) * 2 + side) * k + classes[symbol]
+    if skip is not None:
+        n = np.where((side == 1) & skip[symbol], 0, n)
+    counts = np.bincount(cell, n, len(words) * 2 * k).reshape(len(words), 2, k)
+    return counts[:, 0], counts[:, 1]
 
 
-def neighbours(pairs: DataFrame, moved: int) -> DataFrame:
-    """(word, around): all symbols beside each moved word, stored.
-
-    ``around`` lists (slot, n), slot being twice the symbol and 1 more where it stands before the
-    word: at most two entries per symbol. A pair of a word with itself is left out.
-    """
-    beside = lambda word, other, before: pairs.where(f"{word} < {moved} AND a <> b").select(
-        F.col(word).alias("word"), F.struct((F.col(other) * 2 + before).alias("slot"), F.col("n")).alias("x")
-    )
-    both = beside("a", "b", 0).unionByName(beside("b", "a", 1))
-    # the most frequent words have the longest lists: deal words out one by one
-    grouped = both.groupBy("word").agg(F.collect_list("x").alias("around"))
-    return durable(grouped.repartition(max(8, min(1024, moved // 256)), "word"))
-
-
-def _contexts(batch: pa.RecordBatch, classes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(words, how often each class follows each word, how often it precedes it)."""
-    words, lists = batch.column(0).to_numpy(), batch.column(1)
-    row = np.repeat(np.arange(len(words)), np.asarray(lists.value_lengths()))
-    slot, n = (lists.flatten().field(i).to_numpy() for i in range(2))
-    cell = (row * 2 + slot % 2) * k + classes[slot // 2]
-    counts = np.bincount(cell, n, len(words) * 2 * k).reshape(len(words), 2, k)
-    return words, counts[:, 0], counts[:, 1]
+def _some(row: tuple[np.ndarray, ...], keep: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The words that ``keep`` marks, with their lists."""
+    words, sizes, slots, n = row
+    mine = keep[words]
+    every = np.repeat(mine, sizes)
+    return words[mine], sizes[mine], slots[every], n[every]
 
 
-def class_pairs(around: DataFrame, fixed: np.ndarray, classes: np.ndarray, moved: int) -> np.ndarray:
-    """Class bigrams. ``fixed`` are those that no move changes, and pairs of a word with itself are in ``around`` of none."""
-    k = int(classes.max()) + 1
-    shared = around.sparkSession.sparkContext.broadcast(classes)
+def class_pairs(around: DataFrame, classes: np.ndarray, changed: np.ndarray, k: int, before: np.ndarray | None = None) -> np.ndarray:
+    """Class bigrams of all pairs with a ``changed`` word (less those under the classes ``before``). Pairs of a word with itself are left out."""
+    shared = around.sparkSession.sparkContext.broadcast((classes, changed, before))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, cls = np.zeros((k, k)), shared.value
+        total, (now, changed, before) = np.zeros((k, k)), shared.value
         for batch in batches:
-            words, right, left = _contexts(batch, cls, k)
-            np.add.at(total, cls[words], right)
-            # pairs of two moved words count where the first one stands
-            left[:, : CLASSES] = 0
-            np.add.at(total.T, cls[words], left)
+            for row in zip(*batch.columns):
+                row = _some(_unpack(row), changed)
+                for cls, sign in ((now, 1), (before, -1)):
+                    if cls is not None and len(row[0]):
+                        # pairs of two changed words count where the first one stands
+                        right, left = _contexts(row, cls, k, changed)
+                        np.add.at(total, cls[row[0]], sign * right)
+                        np.add.at(total.T, cls[row[0]], sign * left)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total.ravel()[some].astype("int64"))], ["cell", "n"])
 
-    got = around.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out = fixed.copy()
+    got = around.select("words", "sizes", "slots", "n").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros((k, k), "int64")
     out.ravel()[got["cell"].to_numpy()] += got["n"].to_numpy()
     return out
 
 
-def fixed_pairs(pairs: DataFrame, moved: int) -> tuple[np.ndarray, np.ndarray]:
-    """(class bigrams of endings and end, pairs of each moved word with itself)."""
+def unmoved_pairs(around: DataFrame, moved: int) -> tuple[np.ndarray, np.ndarray]:
+    """(class bigrams of endings and end, pairs of each moved word with itself): at most (ENDINGS + 1)² and ``moved`` pairs."""
     k = CLASSES + ENDINGS + 1
     fixed, own = np.zeros((k, k), "int64"), np.zeros(moved, "int64")
-    for r in pairs.where(f"a >= {moved} AND b >= {moved}").collect():  # at most (ENDINGS + 1)² rows
-        fixed[r["a"] - moved + CLASSES, r["b"] - moved + CLASSES] = r["n"]
-    same = pairs.where(f"a = b AND a < {moved}").select("a", "n").toArrow()
-    own[same["a"].to_numpy()] = same["n"].to_numpy()
+    for batch in around.where("part = -1").select("words", "sizes", "slots", "n").toArrow().to_batches():
+        for row in zip(*batch.columns):
+            words, sizes, slots, n = _unpack(row)
+            a, b = np.repeat(words, sizes), slots >> 1
+            same = a < moved
+            own[a[same]] = n[same]
+            fixed[a[~same] - moved + CLASSES, b[~same] - moved + CLASSES] = n[~same]
     return fixed, own
 
 
@@ -278,7 +400,7 @@ def _slices(right: np.ndarray, left: np.ndarray, cells: int = 4000, words: int =
     return [slice(a, b) for a, b in zip(cuts, cuts[1:])]
 
 
-def exchange(around: DataFrame, counts: np.ndarray, classes: np.ndarray, part: int, parts: int) -> np.ndarray:
+def exchange(around: DataFrame, counts: np.ndarray, classes: np.ndarray, part: int) -> np.ndarray:
     """One step: the words of a part move, all judged by the same class bigrams. No shuffle."""
     k = len(counts)
     shared = around.sparkSession.sparkContext.broadcast((classes, counts))
@@ -287,13 +409,14 @@ def exchange(around: DataFrame, counts: np.ndarray, classes: np.ndarray, part: i
         cls, counts = shared.value
         ready = Bigrams(counts)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            words, right, left = _contexts(batch, cls, k)
-            best = np.concatenate([best_classes(cls[words[x]], right[x], left[x], ready) for x in _slices(right, left)])
-            yield pa.RecordBatch.from_arrays([pa.array(words.astype("int64")), pa.array(best)], ["word", "class"])
-
-    moved = around.where(F.col("word") % parts == part).mapInArrow(judge, "word long, class long").toArrow()
+            for row in zip(*batch.columns):
+                row = _unpack(row)
+                (words, *_), (right, left) = row, _contexts(row, cls, k)
+                best = np.concatenate([best_classes(cls[words[x]], right[x], left[x], ready) for x in _slices(right, left)])
+                yield pa.RecordBatch.from_arrays([pa.array(words.astype("int64")), pa.array(best)], ["word", "class"])
+
+    mine = around.where(F.col("part") == part).select("words", "sizes", "slots", "n")
+    moved = mine.mapInArrow(judge, "word long, class long").toArrow()
     out = classes.copy()
     out[moved["word"].to_numpy()] = moved["class"].to_numpy()
     return out
@@ -315,24 +438,26 @@ def fit(train: DataFrame, rounds: int = 3, parts: int = 3) -> Model:
     few = (F.col("n") < LEAST) | (F.col("n") * MOVED < tokens)
     by_ending = {r["ending"]: r["n"] for r in words.where(few).groupBy("ending").agg(F.count("*").alias("n")).collect()}
 
-    pairs = count_pairs(train, dict(zip(index, symbol.tolist())), moved)
-    around = neighbours(pairs, moved)
-    fixed, own = fixed_pairs(pairs, moved)
+    around = neighbours(train, _texts_as(index), symbol, moved, tokens, parts)
+    fixed, own = unmoved_pairs(around, moved)
     classes = np.concatenate([np.arange(moved) % CLASSES, np.arange(CLASSES, CLASSES + ENDINGS + 1)])
-
-    def bigrams(classes: np.ndarray) -> np.ndarray:
-        out = class_pairs(around, fixed, classes, moved)
-        np.add.at(out, (classes[:moved], classes[:moved]), own)
-        return out
+    k, to_move = CLASSES + ENDINGS + 1, np.arange(len(classes)) < moved
+    bigrams = fixed + class_pairs(around.where("part >= 0"), classes, to_move, k)
+    np.add.at(bigrams, (classes[:moved], classes[:moved]), own)
 
     for _ in range(rounds if moved else 0):
-        before = classes
+        start = classes
         for part in range(parts):
-            classes = exchange(around, bigrams(classes), classes, part, parts)
-        if (classes == before).all():
+            before, classes = classes, exchange(around, bigrams, classes, part)
+            changed = classes != before
+            if changed.any():  # only pairs of words that moved are counted anew
+                bigrams = bigrams + class_pairs(around.where(F.col("part") == part), classes, changed, k, before)
+                np.add.at(bigrams, (classes[:moved], classes[:moved]), own)
+                np.add.at(bigrams, (before[:moved], before[:moved]), -own)
+        if (classes == start).all():
             break
     return Model(
-        index, counts, symbol, tokens, kinds, texts, classes, bigrams(classes), np.array([by_ending.get(k, 0) for k in range(ENDINGS)]), words,
+        index, counts, symbol, tokens, kinds, texts, classes, bigrams, np.array([by_ending.get(k, 0) for k in range(ENDINGS)]), words,
     )
 
 
@@ -345,43 +470,53 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") ->
     """
     spark = docs.sparkSession
     end_base = float(model.base(model.ends))
-    shared = spark.sparkContext.broadcast((model.index, model.symbol, model.classes, model.transitions(), model.inside(), model.base(model.counts)))
+    shared = spark.sparkContext.broadcast((_texts_as(model.index), model.symbol, model.classes, model.transitions(), model.inside(), model.base(model.counts)))
     moved = model.moved
 
-    def compute(texts: list[str | None]) -> dict:
-        index, symbol, classes, step, inside, base = shared.value
-        out = {"n_tokens": [], "frequent": [], "part_base": [], "part_score": []}
-        rare, times, offsets = [], [], [0]
-        for t in texts:
-            words = words_of(t)
-            ids = np.array([index.get(w, -1) for w in words], "int64")
-            known = ids >= 0
-            seen = ids[known]
-            s = np.empty(len(ids) + 2, "int64")
-            s[0] = s[-1] = moved + ENDINGS
-            body = s[1:-1]
-            body[known] = symbol[seen]
-            others = [words[i] for i in np.flatnonzero(~known)]
-            body[~known] = [moved + ending(w) for w in others]
-            c = classes[s]
-            out["n_tokens"].append(len(ids) + 1)
-            out["frequent"].append(len(seen))
-            out["part_base"].append(float(base[seen].sum()) + end_base)
-            out["part_score"].append(float(step[c[:-1], c[1:]].sum() + inside[seen].sum()))
-            several = Counter(others)
-            rare += several
-            times += several.values()
-            offsets.append(len(rare))
-        at = pa.array(offsets, pa.int32())
-        # Arrow takes the bytes as they are; they are whole UTF-8 words
-        out["rare"] = pa.ListArray.from_arrays(at, pa.array(rare, pa.binary()).cast(pa.string()))
-        out["times"] = pa.ListArray.from_arrays(at, pa.array(times, pa.int64()))
-        return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for texts in _stretches(batch.column(len(kept))):
+                rows = [c.slice(at, len(texts)) for c in batch.columns[: len(kept)]]
+                at += len(texts)
+                yield pa.RecordBatch.from_arrays([*rows, *compute(texts)], [*kept, *added.names])
+
+    def compute(texts: pa.Array) -> list[pa.Array]:
+        among, symbol, classes, step, inside, base = shared.value
+        cuts, ids, distinct = tokens_of(texts)
+        n, length = len(texts), np.diff(cuts)
+        text = np.repeat(np.arange(n), length)
+        number = _numbers(distinct, among)
+        end = moved + ENDINGS
+        of = np.where(number >= 0, symbol[number] if len(symbol) else 0, moved + endings(distinct))
+        known = number[ids] >= 0 if len(ids) else np.zeros(0, bool)
+        seen, where = number[ids[known]], text[known]
+        # a class before and after each word of a text, the end at both sides
+        c = classes[np.insert(of[ids] if len(ids) else ids.astype("int64"), np.repeat(cuts, 2)[1:-1], end)]
+        moves = np.repeat(np.arange(n), length + 1)
+        first = cuts[:-1] + 2 * np.arange(n)
+        steps = np.ones(len(c), bool)
+        steps[first + length + 1] = False
+        before = np.flatnonzero(steps)
+        score = np.bincount(moves, step[c[before], c[before + 1]], n) + np.bincount(where, inside[seen], n)
+        # rare words of each text, with their counts
+        rare, times = _runs(np.sort(text[~known] * len(distinct) + ids[~known]))
+        offsets = np.searchsorted(rare, np.arange(n + 1) * len(distinct)) if len(distinct) else np.zeros(n + 1, "int64")
+        offsets = pa.array(offsets, pa.int32())
+        return [
+            pa.array(length + 1, pa.int64()),
+            pa.array(np.bincount(where, minlength=n), pa.int64()),
+            pa.array(np.bincount(where, base[seen], n) + end_base, pa.float64()),
+            pa.array(score, pa.float64()),
+            pa.ListArray.from_arrays(offsets, distinct.take(pa.array(rare % max(1, len(distinct))))),
+            pa.ListArray.from_arrays(offsets, pa.array(times, pa.int64())),
+        ]
 
     schema = "n_tokens long, frequent long, part_base double, part_score double, rare array<string>, times array<long>"
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     named = docs.select(*[F.col(f"`{c}`") for c in keep], F.xxhash64(body).alias("_hash"), F.crc32(body.cast("binary")).alias("_crc"), body.alias("_body"))
-    parts = durable(map_texts(named, [*keep, "_hash", "_crc"], "_body", schema, compute))
+    kept, added = [*keep, "_hash", "_crc"], StructType.fromDDL(schema)
+    parts = durable(named.mapInArrow(run, StructType([*(named.schema[c] for c in kept), *added])))
 
     again = parts.select("_hash", "_crc", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("_hash", "_crc", F.col("r.rare").alias("word"), F.col("r.times").alias("m"))
     # a word is one row of the counts, so a hash table of a partition of them has no long chain

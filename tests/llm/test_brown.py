@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from shelfcast.functions.runtime import durable
@@ -145,3 +146,64 @@ def test_equal_texts_score_alike_and_edges(spark):
     assert brown.score(none, model, ["doc_id"]).count() == 0
     lone = brown.score(docs, model, ["doc_id"]).toPandas()
     assert np.isfinite(lone.score).all() and (lone.train_tokens == 0).all() and (lone.n_known == 0).all()
+
+
+def test_words_are_cut_like_bytes_and_packed_lists_hold_every_pair(spark, monkeypatch):
+    """Neighbours in packed lists, and class bigrams that follow the words that moved, against plain counts."""
+    monkeypatch.setattr(brown, "STRETCH", 200)
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("aB\u00e9 \x0b\n\t\x1c") for _ in range(rng.randrange(40))) for _ in range(300)] + ["", " \n", None, "aa " * 500]
+    plain = [(t or "").encode().lower().split() for t in texts]
+    got = []
+    for part in brown._stretches(pa.array(texts)):
+        cuts, ids, words = brown.tokens_of(part)
+        words = [w.encode() for w in words.to_pylist()]
+        got += [[words[i] for i in ids[a:b]] for a, b in zip(cuts, cuts[1:])]
+    assert got == plain
+
+    common = [w for w, _ in collections.Counter(w for t in plain for w in t).most_common(12)]
+    moved, parts = 9, 3
+    symbol = np.array([i if i < moved else moved + brown.ending(w) for i, w in enumerate(common)])
+    size, number = moved + brown.ENDINGS + 1, dict(zip(common, symbol.tolist()))
+    pairs = collections.Counter()
+    for t in plain:
+        s = [size - 1, *(number.get(w, moved + brown.ending(w)) for w in t), size - 1]
+        pairs.update(zip(s, s[1:]))
+    train = frame(spark, [(i, t, "x", "s", 0) for i, t in enumerate(texts)]).repartition(5)
+    around = brown.neighbours(train, pa.array([w.decode() for w in common]), symbol, moved, 2000, parts)
+    found = collections.Counter()
+    for r in around.collect():
+        words, sizes, slots, n = brown._unpack([pa.scalar(bytes(r[c])) for c in ("words", "sizes", "slots", "n")])
+        for w, s, m in zip(np.repeat(words, sizes).tolist(), slots.tolist(), n.tolist()):
+            assert r.part == (-1 if w >= moved or s == 2 * w else w % parts)
+            found[(s // 2, w, "left") if s % 2 else (w, s // 2, "right")] += m
+    want = {(a, b, "right"): n for (a, b), n in pairs.items() if a < moved or b >= moved}
+    assert found == want | {(a, b, "left"): n for (a, b), n in pairs.items() if b < moved and a != b}
+
+    k = brown.CLASSES + brown.ENDINGS + 1
+    ends = np.arange(brown.CLASSES, k)
+    before, after = (np.append([rng.randrange(4) for _ in range(moved)], ends) for _ in range(2))
+    after[[i for i in range(moved) if i % parts]] = before[[i for i in range(moved) if i % parts]]
+    after[0] = (before[0] + 1) % 4
+
+    def bigrams(cls):
+        out = np.zeros((k, k), "int64")
+        for (a, b), n in pairs.items():
+            out[cls[a], cls[b]] += n
+        return out
+
+    fixed, own = brown.unmoved_pairs(around, moved)
+    first = fixed + brown.class_pairs(around.where("part >= 0"), before, np.arange(size) < moved, k)
+    np.add.at(first, (before[:moved], before[:moved]), own)
+    assert (first == bigrams(before)).all()
+    then = first + brown.class_pairs(around.where("part = 0"), after, after != before, k, before)
+    np.add.at(then, (after[:moved], after[:moved]), own)
+    np.add.at(then, (before[:moved], before[:moved]), -own)
+    assert (then == bigrams(after)).all()
+
+
+def test_counts_over_a_byte_are_packed():
+    for most in (200, 60_000, 4_000_000_000, 2**40):
+        row = brown._pack(np.array([3, 3, 7]), np.array([1, 9, 4]), np.array([1, most, 2]))
+        words, sizes, slots, n = brown._unpack([pa.scalar(x) for x in row])
+        assert (words.tolist(), sizes.tolist(), slots.tolist(), n.tolist()) == ([3, 7], [2, 1], [1, 9, 4], [1, most, 2])
