@@ -7,11 +7,18 @@ features use one window per key set, so Spark computes them after one shuffle an
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from ..functions.columns import as_col, period_index, ratio, shift_period
+from ..functions.columns import as_col, period_index, period_range, ratio, shift_period
+from ..functions.rows import CELLS
+from ..functions.runtime import durable
 from .panel import by_series
 
 
@@ -283,6 +290,163 @@ def supervised(
     return out.where(F.col("origin").isNotNull() & F.col("period").isNotNull())
 
 
+@dataclass(frozen=True)
+class SeriesRows:
+    """The rows of ``supervised`` on the panel that ``densify`` makes between two periods, held as one record per series.
+
+    A record holds the keys, a hash of them, and the packed values of all periods. Rows are worked out from it in
+    batches where they are needed, by ``frame`` or ``matrices``; they need not be stored. ``first`` and ``end`` bound them.
+    """
+
+    series: DataFrame
+    keys: list[str]
+    schema: StructType
+    periods: np.ndarray
+    h: int
+    ks: tuple[int, ...]
+    ns: tuple[int, ...]
+    first: int
+    end: int
+
+    def before(self, cut) -> SeriesRows:
+        """The rows whose period lies before ``cut``."""
+        return replace(self, end=min(self.end, self._at(cut)))
+
+    def since(self, cut) -> SeriesRows:
+        return replace(self, first=max(self.first, self._at(cut)))
+
+    def _at(self, cut) -> int:
+        return int(np.searchsorted(self.periods[self.h :], np.datetime64(cut, "D")))
+
+    def parts(self, batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch, dict[str, tuple[np.ndarray, np.ndarray]]]]:
+        """Stretches of a batch of series: how many series, their records, and the features with what is known of them."""
+        length = len(self.periods)
+        some = max(1, CELLS // (128 * length))  # a stretch stays in the processor's cache
+        for a in range(0, batch.num_rows if self.end > self.first else 0, some):
+            part = batch.slice(a, some)
+            flat = lambda c, kind: np.frombuffer(b"".join(part.column(c).to_pylist()), kind).reshape(part.num_rows, length)
+            yield part.num_rows, part, self._features(flat("_y", np.float64), flat("_known", np.bool_))
+
+    def _features(self, y: np.ndarray, known: np.ndarray) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        """Sums run from the oldest value on, as they do in a window."""
+        rows, pad = self.end - self.first, max(*self.ks, *self.ns)
+        wide = lambda a: np.pad(a, ((0, 0), (pad, 0)))
+        back = lambda a, k: a[:, pad + 1 - k + self.first : pad + 1 - k + self.end]
+        v, has = wide(y), wide(known)
+        out = {f"lag_{k}": (back(v, k), back(has, k)) for k in self.ks}
+        for n in self.ns:
+            total, zeros, count, mean, m2 = (np.zeros((len(y), rows)) for _ in range(5))
+            least, most = (np.full((len(y), rows), np.nan) for _ in range(2))
+            for k in range(n, 0, -1):
+                x, on = back(v, k), back(has, k)
+                start = on & (count == 0)
+                total = np.where(on, total + x, total)
+                zeros += on & (x == 0)
+                count += on
+                delta = x - mean
+                step = delta / np.maximum(count, 1)
+                mean, m2 = np.where(on, mean + step, mean), np.where(on, m2 + delta * (delta - step), m2)
+                # NaN is the largest number
+                least = np.where(start, x, np.where(on, np.fmin(least, x), least))
+                most = np.where(start, x, np.where(on, np.maximum(most, x), most))
+            any_, two = count > 0, count > 1
+            out[f"mean_{n}"] = total / np.maximum(count, 1), any_
+            out[f"sd_{n}"] = np.sqrt(m2 / np.maximum(count - 1, 1)), two
+            out[f"min_{n}"], out[f"max_{n}"] = (least, any_), (most, any_)
+            out[f"zero_share_{n}"] = zeros / np.maximum(count, 1), any_
+        t = np.arange(len(self.periods))
+        sold = np.maximum.accumulate(np.where(known & ((y > 0) | np.isnan(y)), t, -1), axis=1)[:, self.first : self.end]
+        out["since_sale"] = t[self.first + 1 : self.end + 1] - sold, sold >= 0
+        target = slice(self.first + self.h, self.end + self.h)
+        out["label"] = y[:, target], known[:, target]
+        month = self.periods[target].astype("datetime64[M]").astype(int) % 12 + 1
+        out["month"] = np.tile(month, (len(y), 1)), np.ones((len(y), rows), bool)
+        return out
+
+    def matrices(self, batch: pa.RecordBatch, cols: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(columns × rows with NaN for what is missing, labels, a hash) of the rows with a label, by stretches of series."""
+        for _, part, made in self.parts(batch):
+            y, known = (a.ravel() for a in made["label"])
+            x = np.stack([np.where(made[c][1], made[c][0], np.nan).ravel()[known] for c in cols])
+            lot = part.column("_id").to_numpy().astype(np.uint64)[:, None] + np.arange(self.first, self.end, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            lot = (lot ^ (lot >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            lot = (lot ^ (lot >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            yield x, y[known], (lot ^ (lot >> np.uint64(31))).ravel()[known]
+
+    def frame(self) -> DataFrame:
+        """The rows as ``supervised`` returns them."""
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        types, rows = to_arrow_schema(self.schema), self.plain()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            many = rows.end - rows.first
+            same = {
+                "origin": rows.periods[rows.first : rows.end], "period": rows.periods[rows.first + rows.h : rows.end + rows.h],
+                "h": np.full(many, rows.h),
+            }
+            for batch in batches:
+                for n, part, made in rows.parts(batch):
+                    series_of, columns = pa.array(np.repeat(np.arange(n), many)), []
+                    for f in types:
+                        if f.name in rows.keys:
+                            columns.append(part.column(f.name).take(series_of))
+                        elif f.name in same:
+                            columns.append(pa.array(np.tile(same[f.name], n)).cast(f.type))
+                        else:
+                            x, known = made[f.name]
+                            columns.append(pa.array(x.ravel(), f.type, mask=~known.ravel()))
+                    yield pa.RecordBatch.from_arrays(columns, types.names)
+
+        return self.series.mapInArrow(run, self.schema)
+
+    def plain(self) -> SeriesRows:
+        """Without the frame, to go to the tasks."""
+        return replace(self, series=None)
+
+
+def supervised_series(
+    panel: DataFrame,
+    keys: list[str],
+    freq: str,
+    span: tuple,
+    h: int = 1,
+    ks: tuple[int, ...] = (1, 2, 3, 12),
+    ns: tuple[int, ...] = (3, 12),
+) -> SeriesRows:
+    """``supervised`` without its rows: for a sparse panel, every series of which gets 0 where it has no row between
+    the first and the last period (``span``). One record per series is stored."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    lo, hi = map(as_col, span)
+    made = panel.select(*keys, "period", F.col("qty").cast("double").alias("qty"))
+    schema = supervised(made, keys, freq, h, ks, ns).schema
+    start, days = panel.sparkSession.range(1).select(period_index(lo, freq), period_range(lo, hi, freq)).first()
+    length = len(days)
+    made = made.where((F.col("period") >= lo) & (F.col("period") <= hi))
+    cells = F.collect_list(F.struct((period_index("period", freq) - start).alias("t"), F.col("qty").alias("y")))
+    series = made.groupBy(*keys).agg(cells.alias("_cells")).select(*keys, F.xxhash64(*keys).alias("_id"), "_cells")
+    stored = StructType([*series.schema[:-1], StructField("_y", BinaryType()), StructField("_known", BinaryType())])
+    names = to_arrow_schema(stored).names
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, held = batch.num_rows, batch.column(len(keys) + 1)
+            flat = held.flatten()
+            at = np.repeat(np.arange(n), held.value_lengths().to_numpy(zero_copy_only=False)) * length + flat.field("t").to_numpy()
+            if len(np.unique(at)) < len(at):
+                raise ValueError("a series has two rows in one period")
+            value = flat.field("y")
+            y, known = np.zeros(n * length), np.ones(n * length, bool)
+            y[at], known[at] = value.fill_null(0.0).to_numpy(zero_copy_only=False), value.is_valid().to_numpy(zero_copy_only=False)
+            packed = [pa.array([r.tobytes() for r in a.reshape(n, length)], pa.binary()) for a in (y, known)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *packed], names)
+
+    return SeriesRows(
+        durable(series.mapInArrow(pack, stored)), keys, schema, np.array(days, dtype="datetime64[D]"), h, ks, ns, 0, max(0, length - h)
+    )
+
+
 def feature_names(ks: tuple[int, ...] = (1, 2, 3, 12), ns: tuple[int, ...] = (3, 12)) -> list[str]:
     """Names of the feature columns that ``supervised`` makes."""
     return [f"lag_{k}" for k in ks] + [

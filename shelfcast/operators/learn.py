@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.columns import as_col, shift_period
+from . import boost
 from .clusters import steady_order
+from .features import SeriesRows
 from .panel import by_series
 from .score import score
 
@@ -37,6 +39,8 @@ def _pipeline(sup: DataFrame, keys: list[str], cols: list[str], *stages, label:
 
 def feature_names(model) -> list[str]:
     """Names of the features of a fitted model, flags of missing values included."""
+    if isinstance(model, boost.Trees):
+        return model.names
     return [c.removeprefix(FILLED) for c in model.stages[1].getInputCols()]
 
 
@@ -53,7 +57,10 @@ def fit_forest(sup: DataFrame, keys: list[str], cols: list[str], trees: int = 20
     return _pipeline(sup, keys, cols, RandomForestRegressor(labelCol="label", predictionCol="yhat", numTrees=trees, maxDepth=depth, seed=seed))
 
 
-def fit_gbt(sup: DataFrame, keys: list[str], cols: list[str], trees: int = 20, depth: int = 4, seed: int = 1):
+def fit_gbt(sup: DataFrame | SeriesRows, keys: list[str], cols: list[str], trees: int = 20, depth: int = 4, seed: int = 1):
+    """Boosted trees; rows held as series may outgrow the executors' memory and are learned from in packed blocks."""
+    if isinstance(sup, SeriesRows):
+        return boost.fit(sup, cols, trees, depth, seed, MISSING)
     from pyspark.ml.regression import GBTRegressor
 
     return _pipeline(sup, keys, cols, GBTRegressor(labelCol="label", predictionCol="yhat", maxIter=trees, maxDepth=depth, seed=seed))
@@ -83,7 +90,7 @@ def predict(model, sup: DataFrame, keys: list[str], name: str, floor: float | No
 
 def importance(model, spark) -> DataFrame:
     """Importance of each feature of a fitted tree model, ranked. One row per feature."""
-    values = model.stages[-1].featureImportances.toArray()
+    values = model.importances() if isinstance(model, boost.Trees) else model.stages[-1].featureImportances.toArray()
     rows = sorted(zip(feature_names(model), map(float, values)), key=lambda r: (-r[1], r[0]))
     return spark.createDataFrame([(i + 1, n, v) for i, (n, v) in enumerate(rows)], "rank int, feature string, importance double")
 
