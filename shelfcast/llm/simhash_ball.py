@@ -66,7 +66,8 @@ def with_neighbours(fps: DataFrame) -> DataFrame:
     present = halves.groupBy(F.col("half").alias("at")).agg(F.count("*").alias("n"))
     tried = halves.select("fp", "half", F.explode(F.lit([0, *_flips(32, 1)])).alias("flip"))
     tried = tried.select("fp", F.col("half").bitwiseXOR(F.col("flip")).alias("at"), (F.col("flip") == 0).alias("own"))
-    return tried.join(present, "at").where("NOT own OR n > 1").select("fp").distinct()
+    # Spark sizes the 66 variants of a fingerprint as if they were a few rows, and would send them to the driver to broadcast them
+    return tried.join(present.hint("merge"), "at").where("NOT own OR n > 1").select("fp").distinct()
 
 
 def links(fps: DataFrame) -> DataFrame:

@@ -65,6 +65,20 @@ def test_distances_2_and_3_in_either_half_and_both(spark):
             assert sb.links(near).count() >= 1
 
 
+def test_variants_are_not_broadcast(spark):
+    """Their estimate is under the threshold while the halves that occur, once counted, are above it."""
+    rng = np.random.default_rng(9)
+    fps = durable(spark.createDataFrame([(v,) for v in rng.integers(-(2**63), 2**63, 3000).tolist()], "fp long"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100k")
+    try:
+        near = sb.with_neighbours(fps)
+        near.collect()
+        assert "Broadcast" not in near._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_edges(spark):
     found = durable(sb.fingerprints(frame(spark), ["doc_id"]))
     got = found.join(sb.classes(found), "fp").toPandas()
