@@ -59,6 +59,28 @@ def test_near_copies_go_and_others_stay(spark, planted):
     assert sum(2 * i + 1 in kept for i, s in enumerate(at) if s < 0.7) >= 0.9 * sum(s < 0.7 for s in at)
 
 
+def test_near_copies_broadcast_no_variants_of_fingerprints(spark, monkeypatch):
+    """The variants are estimated under the threshold, while the halves that occur are counted as above it."""
+    real, plans = near.simhash_ball.with_neighbours, []
+
+    def noted(fps):
+        found = real(fps)
+        found.collect()
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+        return found
+
+    monkeypatch.setattr(near.simhash_ball, "with_neighbours", noted)
+    rng = random.Random(9)
+    docs = frame(spark, [(i, " ".join(f"w{rng.randrange(3000)}" for _ in range(8)), "en", "s", 1) for i in range(3000)], clashing=False)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100k")
+    try:
+        assert cp.near_copies(spark, docs, SF).count() == 3000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(plans) == 1 and "Broadcast" not in plans[0]
+
+
 def classes(spark, texts):
     """Smallest place reached, per distinct text, by ``near.links``."""
     df = durable(spark.createDataFrame(list(enumerate(texts)), "node long, text string"))
