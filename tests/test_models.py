@@ -323,6 +323,37 @@ def test_index_in_many_cells_equals_all_pairs(spark, monkeypatch):
     assert found.agg({"compared": "max"}).first()[0] < 600
 
 
+def test_index_keeps_no_unit_vectors_and_leaves_no_tables_behind(make_panel, monkeypatch):
+    """Every stored row and every table that is left: quantities are kept, z-scores and what a later step has read are not."""
+    import os
+
+    from shelfcast.functions import runtime
+
+    stored = []
+
+    def noted(df, *args, **kwargs):
+        out = runtime.durable(df, *args, **kwargs)
+        stored.append(out)
+        return out
+
+    monkeypatch.setattr(E, "durable", noted)
+    monkeypatch.setattr(isax, "durable", noted)
+    rng = np.random.default_rng(12)
+    p = make_panel({f"s{i}": rng.poisson(2, 48).tolist() for i in range(8)})
+    fc = E.analog_indexed(p, ["s"], "month", month(41), 3, 6, 4)
+    assert not any({"emb", "unit", "units"} & set(df.columns) for df in stored)
+    left = [df for df in stored if os.path.exists(df._stored_at.removeprefix("file://"))]
+    # the windows and what the two searches found
+    assert [df.columns[0] for df in left] == ["s", "query_id", "query_id"] and fc.count() == 8 * 3
+
+
+def test_unit_windows_equal_scaled_windows(spark):
+    rng = np.random.default_rng(13)
+    x = np.concatenate([rng.poisson(0.6, (200, 12)), rng.normal(size=(200, 12)), np.ones((1, 12))]).astype(float)
+    rows = E.scaled_windows(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "i int, lookback array<double>"), 12).orderBy("i").collect()
+    assert (E._unit_windows(x) == isax._unit(np.array([r.emb for r in rows]))).all()
+
+
 def test_cuts_part_rows_evenly_and_reach_every_row():
     rng = np.random.default_rng(9)
     x = isax._unit(rng.poisson(0.5, (20_000, 12)) - 0.5)
